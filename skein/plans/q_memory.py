@@ -1 +1,238 @@
-"""(filled in below)"""
+"""Queries of the embedding / vector-memory / recall family."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import HASH_DIMS
+from ..functions.vectors import content_id, display_normalise, hash_embedding, round_half_up
+from ..operators import embed as E
+from ..operators import recall as R
+from ..operators import text as ops
+from ..session import unique_subdir
+from ..sources.memory import VectorMemory
+from ..sources.tables import table
+from . import sqlgen as S
+from .catalog import query
+from .q_text import INGEST
+
+RECALL_N = 3
+COSINE_N = 3
+LSH_BITS = 8
+LSH_TABLES = 4
+
+
+def document_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """The document memory: ingest chunks with hash embeddings."""
+    chunks = ops.chunk(table(spark, sf, "documents"), ["doc_id"], INGEST)
+    return E.hash_embed(chunks)
+
+
+def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return E.hash_embed(table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+def _ingest_ctes() -> str:
+    ctes, _ = S.chunk_ctes("documents", "doc_id", S.prefilter("text", INGEST.pre_filters), INGEST.separators,
+                           INGEST.max_tokens, INGEST.post_filter)
+    return ctes
+
+
+def _recall_sql(n: int) -> str:
+    return (
+        f"WITH RECURSIVE {_ingest_ctes()},\n"
+        f"mem AS MATERIALIZED ({S.hash_dense('c_chunks', 'doc_id, chunk_no', 'text')}),\n"
+        f"q AS MATERIALIZED ({S.hash_dense('benchmark', 'item_id', 'text')}),\n"
+        f"d AS (SELECT q.item_id, m.doc_id, m.chunk_no, list_distance(q.vec, m.vec) AS distance FROM q, mem m),\n"
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, doc_id, chunk_no) AS rank FROM d)\n"
+    )
+
+
+@query("hash_embed",
+       f"SELECT doc_id, dim::BIGINT AS dim, value::DOUBLE AS value FROM "
+       f"({S.hash_sparse('documents', 'doc_id', 'text')}) WHERE value <> 0")
+def hash_embed(spark, sf):
+    d = E.hash_embed(table(spark, sf, "documents").select("doc_id", "text"))
+    return (d.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+            .filter(F.col("value") != 0)
+            .select("doc_id", F.col("dim").cast("long"), F.col("value").cast("double")))
+
+
+@query("dim_check",
+       f"SELECT len(embedding)::BIGINT AS dims, count(*)::BIGINT AS n, len(embedding) = {HASH_DIMS} AS accepted "
+       f"FROM embeddings GROUP BY ALL")
+def dim_check(spark, sf):
+    e = table(spark, sf, "embeddings")
+    acc, rej = E.dim_check(e, HASH_DIMS)
+    both = acc.withColumn("accepted", F.lit(True)).unionByName(rej.drop("error").withColumn("accepted", F.lit(False)))
+    return both.groupBy(F.size("embedding").cast("long").alias("dims"), "accepted").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("content_id", f"SELECT doc_id, {S.content_id('text')} AS id FROM documents")
+def content_id_q(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", content_id(F.col("text")).alias("id"))
+
+
+def _labelled_chunks(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return E.hash_embed(ops.chunk(docs, ["doc_id"], INGEST))
+
+
+def _labelled_sql() -> str:
+    return "(SELECT * FROM c_chunks WHERE doc_id IN (SELECT doc_id FROM labels))"
+
+
+@query("memory_append",
+       f"WITH RECURSIVE {_ingest_ctes()}\n"
+       f"SELECT {S.content_id('text')} AS id, text, 0::BIGINT AS batch FROM c_chunks UNION ALL "
+       f"SELECT {S.content_id('text')} AS id, text, 1::BIGINT AS batch FROM {_labelled_sql()}")
+def memory_append(spark, sf):
+    mem = VectorMemory(spark, unique_subdir(spark, "memory-append"), HASH_DIMS, mode="append")
+    mem.store(document_memory(spark, sf))
+    mem.store(_labelled_chunks(spark, sf))
+    return mem.read().select("id", "text", F.col("batch").cast("long"))
+
+
+@query("memory_upsert",
+       f"WITH RECURSIVE {_ingest_ctes()}\n"
+       f"SELECT DISTINCT {S.content_id('text')} AS id, text FROM c_chunks")
+def memory_upsert(spark, sf):
+    mem = VectorMemory(spark, unique_subdir(spark, "memory-upsert"), HASH_DIMS, mode="upsert")
+    mem.store(document_memory(spark, sf))
+    mem.store(_labelled_chunks(spark, sf))
+    return mem.read().select("id", "text")
+
+
+@query("memory_forget",
+       f"WITH RECURSIVE {_ingest_ctes()}\n"
+       f"SELECT {S.content_id('text')} AS id, text, 0::BIGINT AS batch FROM {_labelled_sql()}")
+def memory_forget(spark, sf):
+    mem = VectorMemory(spark, unique_subdir(spark, "memory-forget"), HASH_DIMS, mode="append")
+    mem.store(document_memory(spark, sf))
+    mem.forget()
+    mem.store(_labelled_chunks(spark, sf))
+    return mem.read().select("id", "text", F.col("batch").cast("long"))
+
+
+@query("memory_list",
+       f"WITH RECURSIVE {_ingest_ctes()}\n"
+       f"SELECT d.source AS memory, count(*)::BIGINT AS n_rows FROM c_chunks c JOIN documents d USING (doc_id) "
+       f"GROUP BY d.source")
+def memory_list(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("memory"), "text")
+    chunks = ops.chunk(docs, ["doc_id", "memory"], INGEST)
+    return chunks.groupBy("memory").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _requested_memory():
+    # each user turn names a memory; names src20..src24 do not exist
+    return F.concat(F.lit("src"), F.pmod(F.col("conv_id"), F.lit(25)).cast("string"))
+
+
+@query("unknown_names",
+       "SELECT conv_id, turn, 'src' || (conv_id % 25)::VARCHAR AS memory FROM conversations "
+       "WHERE role = 'user' AND 'src' || (conv_id % 25)::VARCHAR NOT IN (SELECT DISTINCT source FROM documents)")
+def unknown_names(spark, sf):
+    from ..operators.stats import unknown_names as unknown
+
+    req = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
+        "conv_id", "turn", _requested_memory().alias("memory"))
+    registry = table(spark, sf, "documents").select(F.col("source").alias("name"))
+    return unknown(req, registry, "memory")
+
+
+@query("store_prompts",
+       f"SELECT conv_id, turn, {S.content_id('text')} AS id, text FROM conversations WHERE role = 'user'")
+def store_prompts(spark, sf):
+    users = table(spark, sf, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    mem = VectorMemory(spark, unique_subdir(spark, "prompt-memory"), HASH_DIMS, mode="append")
+    mem.store(E.hash_embed(users))
+    return mem.read().select("conv_id", "turn", "id", "text")
+
+
+@query("recall_l2",
+       _recall_sql(RECALL_N)
+       + f"SELECT item_id, rank::BIGINT AS rank, doc_id, chunk_no, round(distance, 4) AS distance FROM r "
+         f"WHERE rank <= {RECALL_N}")
+def recall_l2(spark, sf):
+    hits = R.knn(benchmark_queries(spark, sf), document_memory(spark, sf), RECALL_N, query_key="item_id",
+                 tie_keys=["doc_id", "chunk_no"], metric="l2", dims=HASH_DIMS)
+    return hits.select("item_id", F.col("rank").cast("long"), "doc_id", "chunk_no",
+                       F.round("distance", 4).alias("distance"))
+
+
+@query("recall_text",
+       _recall_sql(RECALL_N)
+       + f"SELECT q0.item_id, coalesce(string_agg(c.text, chr(10) ORDER BY r.rank), '') AS recall "
+         f"FROM benchmark q0 LEFT JOIN r ON r.item_id = q0.item_id AND r.rank <= {RECALL_N} "
+         f"LEFT JOIN c_chunks c ON c.doc_id = r.doc_id AND c.chunk_no = r.chunk_no GROUP BY q0.item_id")
+def recall_text(spark, sf):
+    q = benchmark_queries(spark, sf)
+    hits = R.knn(q, document_memory(spark, sf), RECALL_N, query_key="item_id",
+                 tie_keys=["doc_id", "chunk_no"], payload=["text"], metric="l2", dims=HASH_DIMS)
+    return R.recall_text(hits, "item_id", "text", queries=q)
+
+
+_COS_SQL = (
+    "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),\n"
+    "d AS (SELECT a.vec_id AS qid, b.vec_id, list_cosine_similarity(a.v, b.v) AS sim FROM e a, e b),\n"
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM d)\n"
+)
+
+
+@query("recall_cosine",
+       _COS_SQL + f"SELECT qid, rank::BIGINT AS rank, vec_id, round(sim, 4) AS similarity FROM r WHERE rank <= {COSINE_N}")
+def recall_cosine(spark, sf):
+    e = table(spark, sf, "embeddings")
+    hits = R.knn(e.select(F.col("vec_id").alias("qid"), "embedding"), e, COSINE_N, query_key="qid",
+                 tie_keys=["vec_id"], metric="cosine", dims=HASH_DIMS)
+    return hits.select("qid", F.col("rank").cast("long"), "vec_id", F.round("distance", 4).alias("similarity"))
+
+
+_NORM_SQL = (
+    "WITH e AS (SELECT vec_id, list_transform(embedding, "
+    "lambda x: pow(greatest(-1.0, least(1.0, x::DOUBLE)) / 2 + 0.5, 2) * 255) AS v FROM embeddings),\n"
+    "d AS (SELECT a.vec_id AS qid, b.vec_id, list_cosine_similarity(a.v, b.v) AS sim FROM e a, e b),\n"
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS rank FROM d)\n"
+)
+
+
+@query("cosine_matrix",
+       _NORM_SQL + f"SELECT qid, rank::BIGINT AS rank, vec_id, floor(sim * 100 + 0.5) / 100 AS similarity "
+                   f"FROM r WHERE rank <= {COSINE_N}")
+def cosine_matrix(spark, sf):
+    """Rows of the display cosine matrix: similarities of display-normalised
+    vectors, rounded half up to 2 decimals, for each vector's ``COSINE_N`` best
+    partners (the full matrix is all pairs; this keeps its useful top rows)."""
+    e = table(spark, sf, "embeddings").select("vec_id", display_normalise("embedding").alias("embedding"))
+    hits = R.knn(e.select(F.col("vec_id").alias("qid"), "embedding"), e, COSINE_N, query_key="qid",
+                 tie_keys=["vec_id"], metric="cosine", dims=HASH_DIMS)
+    return hits.select("qid", F.col("rank").cast("long"), "vec_id",
+                       round_half_up(F.col("distance"), 2).alias("similarity"))
+
+
+@query("vector_normalise",
+       "SELECT vec_id, (generate_subscripts(v, 1) - 1)::BIGINT AS dim, round(unnest(v), 4) AS value FROM "
+       "(SELECT vec_id, list_transform(embedding, "
+       "lambda x: pow(greatest(-1.0, least(1.0, x::DOUBLE)) / 2 + 0.5, 2) * 255) AS v FROM embeddings)")
+def vector_normalise(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.posexplode(display_normalise("embedding")).alias("dim", "value")).select(
+        "vec_id", F.col("dim").cast("long"), F.round("value", 4).alias("value"))
+
+
+@query("recall_lsh")
+def recall_lsh(spark, sf):
+    """Approximate recall: random-hyperplane codes in several tables; candidates
+    share a code in any table (equi-join on (table, code)); exact re-rank."""
+    from ..operators.lsh import lsh_knn
+
+    e = table(spark, sf, "embeddings")
+    hits = lsh_knn(e.select(F.col("vec_id").alias("qid"), "embedding"), e, RECALL_N, query_key="qid",
+                   memory_key="vec_id", dims=HASH_DIMS, bits=LSH_BITS, tables=LSH_TABLES)
+    return hits.select("qid", F.col("rank").cast("long"), "vec_id", F.round("distance", 4).alias("distance"))
+
+
+__all__ = ["document_memory", "benchmark_queries", "hash_embedding"]
