@@ -15,8 +15,7 @@ def completion_log(events: DataFrame, threads: int = DEFAULT_THREADS) -> DataFra
     """A completion log derived from ``events``: task = event_type, one row per
     inference step with predict tokens (``k`` of ``props``), prompt tokens (1),
     duration seconds (``value / 1000``) and thread count."""
-    k = F.get_json_object("props", "$.k").try_cast("long") if hasattr(F.Column, "try_cast") else \
-        F.expr("try_cast(get_json_object(props, '$.k') as bigint)")
+    k = F.get_json_object("props", "$.k").try_cast("long")
     return events.select(
         "event_id", "ts", "user_id", F.col("event_type").alias("task"),
         F.coalesce(k, F.lit(0)).alias("predict_tokens"),
@@ -69,7 +68,7 @@ def chat_throughput(stream: DataFrame, session_col: str = "user_id", ts_col: str
     after the send adds the gap since the previous one, and the gaps telescope
     to ``last - first``. A plain aggregate, so a huge session is combined
     map-side instead of being sorted in one task."""
-    secs = F.unix_micros(F.max(ts_col)) - F.unix_micros(F.min(ts_col))
+    secs = F.timestamp_diff("MICROSECOND", F.min(ts_col), F.max(ts_col)).cast("double")
     return stream.groupBy(session_col).agg(
         (F.count(F.lit(1)) - 1).cast("long").alias("n_tokens"),
         F.round(secs / 1e6, 6).alias("seconds"),

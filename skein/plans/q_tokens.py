@@ -1 +1,81 @@
-"""(filled in below)"""
+"""Queries of the generated-token post-processing family. Responses are the
+assistant turns of ``conversations``; response id = (conv_id, turn)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import detokenize
+from ..operators import tokens as G
+from ..sources.tables import table
+from . import sqlgen as S
+from .catalog import query
+
+STOPS = ("in the", "Die ", "ent")
+STOPS_TEXT = ("\n", ". ")
+MAX_TOKENS = 16
+EOT = "\n"
+PRIVATE = (",",)
+
+_RESP = f"(SELECT conv_id, turn, {S.tokens('text')} AS tk FROM conversations WHERE role = 'assistant')"
+
+
+@query("stop_tokens")
+def stop_tokens(spark, sf):
+    r = G.stop_tokens(G.response_tokens(table(spark, sf, "conversations")), STOPS)
+    return r.select("conv_id", "turn", F.col("stop_at").cast("long"), detokenize("tokens").alias("text"))
+
+
+@query("stop_text",
+       "SELECT conv_id, turn, p::BIGINT AS stop_at, CASE WHEN p IS NULL THEN text ELSE substr(text, 1, p - 1) END "
+       "AS text FROM (SELECT conv_id, turn, text, list_min(list_filter(["
+       + ", ".join(f"strpos(text, {S.lit(s)})" for s in STOPS_TEXT)
+       + "], lambda x: x > 0)) AS p FROM conversations WHERE role = 'assistant')")
+def stop_text(spark, sf):
+    a = table(spark, sf, "conversations").filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    return G.stop_text(a, STOPS_TEXT)
+
+
+@query("max_tokens",
+       f"SELECT conv_id, turn, array_to_string(tk[1:{MAX_TOKENS}], '') AS text, "
+       f"len(tk[1:{MAX_TOKENS}])::BIGINT AS n_tokens FROM {_RESP}")
+def max_tokens(spark, sf):
+    r = G.max_tokens(G.response_tokens(table(spark, sf, "conversations")), MAX_TOKENS)
+    return r.select("conv_id", "turn", detokenize("tokens").alias("text"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query("eot_cut",
+       f"SELECT conv_id, turn, CASE WHEN list_position(tk, {S.lit(EOT)}) IS NULL THEN array_to_string(tk, '') "
+       f"ELSE array_to_string(tk[1:list_position(tk, {S.lit(EOT)}) - 1], '') END AS text FROM {_RESP}")
+def eot_cut(spark, sf):
+    r = G.eot_cut(G.response_tokens(table(spark, sf, "conversations")), EOT)
+    return r.select("conv_id", "turn", detokenize("tokens").alias("text"))
+
+
+@query("swallow_private",
+       "SELECT conv_id, turn, array_to_string(list_filter(tk, lambda t: "
+       + " AND ".join(f"t <> {S.lit(p)}" for p in PRIVATE)
+       + f"), '') AS text FROM {_RESP}")
+def swallow_private(spark, sf):
+    r = G.swallow_private(G.response_tokens(table(spark, sf, "conversations")), PRIVATE)
+    return r.select("conv_id", "turn", detokenize("tokens").alias("text"))
+
+
+@query("response_text",
+       f"SELECT conv_id, turn, string_agg(token, '' ORDER BY pos) AS text FROM ("
+       f"SELECT conv_id, turn, generate_subscripts(tk, 1) AS pos, unnest(tk) AS token FROM {_RESP}) "
+       f"GROUP BY conv_id, turn")
+def response_text(spark, sf):
+    rows = G.response_token_rows(table(spark, sf, "conversations"))
+    return G.response_text(rows)
+
+
+@query("cycle_segments",
+       "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS msg_no, text "
+       "FROM conversations WHERE role = 'assistant'")
+def cycle_segments(spark, sf):
+    stream = G.reply_stream(table(spark, sf, "conversations")).select("conv_id", "pos", "token")
+    seg = G.cycle_segments(stream)
+    return (seg.groupBy("conv_id", "msg_no")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))),
+                                          lambda s: s["token"]), "").alias("text")))
