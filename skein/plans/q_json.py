@@ -1 +1,81 @@
-"""(filled in below)"""
+"""Queries of the JSON family over ``events.props`` (``{"k": n}``)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import jsonschema as J
+from ..functions.text import tokenize
+from ..operators import jsonmask as JM
+from ..sources.tables import table
+from . import sqlgen as S
+from .catalog import query
+
+# Result schema of the event payloads.
+PROPS_SCHEMA = {"type": "object", "required": ["k"],
+                "properties": {"k": {"type": "number", "min": 0, "max": 50, "max_decimals": 0}}}
+ENUM_MAX_LENGTH = 6
+
+
+@query("json_is_valid",
+       "SELECT event_id, coalesce(json_valid(props) AND json_type(props) = 'OBJECT' AND json_keys(props) = ['k'] "
+       "AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') "
+       "AND json_extract(props, '$.k')::DOUBLE BETWEEN 0 AND 50, false) AS valid FROM events")
+def json_is_valid(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", J.is_valid("props", PROPS_SCHEMA).alias("valid"))
+
+
+@query("json_strict",
+       "SELECT event_id, coalesce(regexp_full_match(t, '\\{\"k\":[1-9][0-9]*\\}') "
+       "AND json_extract(t, '$.k')::DOUBLE BETWEEN 0 AND 50, false) AS strict "
+       "FROM (SELECT event_id, replace(props, ' ', '') AS t FROM events)")
+def json_strict(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", J.is_strict(F.replace(F.col("props"), F.lit(" "), F.lit("")),
+                                            PROPS_SCHEMA).alias("strict"))
+
+
+@query("json_lexeme",
+       "SELECT CASE token WHEN 'true' THEN 'true' WHEN 'false' THEN 'false' WHEN 'null' THEN 'null' "
+       "WHEN ':' THEN 'colon' WHEN '.' THEN 'decimal' WHEN '{' THEN 'curly_open' WHEN '}' THEN 'curly_close' "
+       "WHEN '[' THEN 'bracket_open' WHEN ']' THEN 'bracket_close' WHEN ',' THEN 'comma' WHEN '-' THEN 'minus' "
+       "WHEN '\"' THEN 'double_quote' ELSE CASE WHEN regexp_full_match(token, '\\+?[0-9]+') AND "
+       "TRY_CAST(ltrim(token, '+') AS DECIMAL(38,0)) <= 18446744073709551615 THEN 'digit' "
+       "WHEN token = '\\' THEN 'invalid' ELSE 'string' END END AS lexeme, count(*)::BIGINT AS n "
+       f"FROM (SELECT unnest({S.tokens('props')}) AS token FROM events) GROUP BY ALL")
+def json_lexeme(spark, sf):
+    e = table(spark, sf, "events")
+    toks = e.select(F.explode(tokenize(F.col("props"))).alias("token"))
+    return toks.groupBy(J.lexeme("token").alias("lexeme")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ENUM_SQL = (
+    "vals AS (SELECT DISTINCT event_type AS v FROM events),\n"
+    "states AS (SELECT DISTINCT v[1:i] AS state FROM vals, range(0, 64) r(i) WHERE i <= len(v)),\n"
+    f"rem AS (SELECT state, v[len(state) + 1:] AS remainder, len(v) = len(state) AS may_end FROM states "
+    f"JOIN vals ON starts_with(v, state) WHERE strlen(v) <= {ENUM_MAX_LENGTH})\n"
+)
+
+
+def _states_and_values(spark, sf):
+    vals = table(spark, sf, "events").select(F.col("event_type").alias("value")).distinct()
+    return JM.prefixes(vals), vals
+
+
+@query("enum_remainders", "WITH " + _ENUM_SQL + "SELECT state, remainder, may_end FROM rem")
+def enum_remainders(spark, sf):
+    states, vals = _states_and_values(spark, sf)
+    return JM.enum_remainders(states, vals, ENUM_MAX_LENGTH)
+
+
+@query("vocab_mask",
+       "WITH " + _ENUM_SQL
+       + f", vocab AS (SELECT DISTINCT unnest({S.tokens('text')}) AS token FROM documents)\n"
+         "SELECT DISTINCT r.state, t.token FROM rem r JOIN vocab t ON len(t.token) > 0 AND "
+         "starts_with(r.remainder, t.token) AND NOT regexp_matches(t.token, '[\"\\n\\t\\r]')")
+def vocab_mask(spark, sf):
+    states, vals = _states_and_values(spark, sf)
+    rem = JM.enum_remainders(states, vals, ENUM_MAX_LENGTH)
+    vocab = table(spark, sf, "documents").select(F.explode(tokenize(F.col("text"))).alias("token"))
+    return JM.vocab_mask(rem, vocab)
