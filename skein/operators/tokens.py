@@ -56,6 +56,31 @@ def _stop_step(k: Column, tok: Column, stop: str) -> tuple[Column, Column]:
     return completed, new_k
 
 
+def stop_step_py(k: int, tok: bytes, stop: bytes) -> tuple[bool, int]:
+    """Plain-Python form of one stop-matching step (bytes), used by the live
+    stream operator: returns (completed, new offset)."""
+    if k >= len(stop):
+        return True, k
+
+    def from_state(kk: int) -> tuple[bool, bool]:
+        rem = stop[kk:]
+        return (len(tok) >= len(rem) and tok.startswith(rem),
+                len(tok) < len(rem) and rem.startswith(tok))
+
+    done, partial = from_state(k)
+    if done:
+        return True, 0
+    if partial:
+        return False, k + len(tok)
+    if k != 0:
+        done0, partial0 = from_state(0)
+        if done0:
+            return True, 0
+        if partial0:
+            return False, len(tok)
+    return False, 0
+
+
 def stop_position(tokens: Column | str, stops: Sequence[str]) -> Column:
     """1-based position of the first token that completes any stop sequence,
     or NULL. Folded natively over the token array (no UDF)."""
@@ -88,6 +113,30 @@ def stop_tokens(responses: DataFrame, stops: Sequence[str], tokens_col: str = "t
     return responses.withColumn("stop_at", pos).withColumn(tokens_col, kept)
 
 
+def postprocess(responses: DataFrame, stops: Sequence[str] = (), max_tokens: int | None = None,
+                eot: str | None = None, private_tokens: Sequence[str] = (),
+                tokens_col: str = "tokens") -> DataFrame:
+    """All generation stop rules in their order per token: end-of-text (not
+    emitted), stop sequence completed (not emitted), private token (swallowed
+    but counted), max tokens (inclusive). One native expression per row."""
+    tk = F.col(tokens_col)
+    n = F.size(tk)
+    end = n  # number of leading tokens that survive the cut
+    if eot is not None:
+        p = F.array_position(tk, F.lit(eot)).cast("int")
+        end = F.when(p > 0, p - 1).otherwise(end)
+    if stops:
+        sp = stop_position(tk, stops)
+        end = F.when(sp.isNotNull(), F.least(end, sp - 1)).otherwise(end)
+    if max_tokens is not None:
+        end = F.least(end, F.lit(max_tokens))
+    kept = F.slice(tk, 1, end)
+    if private_tokens:
+        priv = F.array(*[F.lit(t) for t in private_tokens])
+        kept = F.filter(kept, lambda t: ~F.array_contains(priv, t))
+    return responses.withColumn(tokens_col, kept)
+
+
 def stop_text(df: DataFrame, stops: Sequence[str], text_col: str = "text") -> DataFrame:
     """Text mode: cut at the earliest occurrence of any stop string."""
     t = F.col(text_col)
