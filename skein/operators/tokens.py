@@ -58,26 +58,21 @@ def _stop_step(k: Column, tok: Column, stop: str) -> tuple[Column, Column]:
 
 def stop_step_py(k: int, tok: bytes, stop: bytes) -> tuple[bool, int]:
     """Plain-Python form of one stop-matching step (bytes), used by the live
-    stream operator: returns (completed, new offset)."""
+    stream operator: returns (completed, new offset). A token longer than the
+    rest of the stop completes it and its tail is matched again from 0; an
+    exact completion stays complete; a mismatch with progress retries the
+    token from 0."""
     if k >= len(stop):
         return True, k
-
-    def from_state(kk: int) -> tuple[bool, bool]:
-        rem = stop[kk:]
-        return (len(tok) >= len(rem) and tok.startswith(rem),
-                len(tok) < len(rem) and rem.startswith(tok))
-
-    done, partial = from_state(k)
-    if done:
-        return True, 0
-    if partial:
-        return False, k + len(tok)
+    rem = stop[k:]
+    ov = min(len(rem), len(tok))
+    if rem.startswith(tok[:ov]):
+        k += ov
+        if len(tok) > len(rem):
+            return True, stop_step_py(0, tok[len(rem):], stop)[1]
+        return k == len(stop), k
     if k != 0:
-        done0, partial0 = from_state(0)
-        if done0:
-            return True, 0
-        if partial0:
-            return False, len(tok)
+        return stop_step_py(0, tok, stop)
     return False, 0
 
 
