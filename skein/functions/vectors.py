@@ -50,15 +50,17 @@ def hash_codes(text: Column | str, dims: int = HASH_DIMS) -> Column:
 def _make_bincount(dims: int):
     @F.pandas_udf("array<float>")
     def bincount(codes: pd.Series) -> pd.Series:
-        # Arrow batch in, one vectorised scatter-add for the whole batch.
+        # One Arrow batch in, one vectorised bincount for the whole batch:
+        # slot = row * 2 * dims + (d for +1, dims + d for -1).
+        n = len(codes)
+        if n == 0:
+            return pd.Series([], dtype=object)
         lens = codes.map(len).to_numpy()
-        flat = np.concatenate(codes.to_numpy()) if len(codes) else np.zeros(0, dtype=np.int64)
-        flat = flat.astype(np.int64)
-        rows = np.repeat(np.arange(len(codes)), lens)
-        out = np.zeros((len(codes), dims), dtype=np.float32)
-        pos = flat >= 0
-        np.add.at(out, (rows[pos], flat[pos]), 1.0)
-        np.add.at(out, (rows[~pos], -flat[~pos] - 1), -1.0)
+        flat = np.concatenate(codes.to_numpy()).astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+        slot = np.where(flat >= 0, flat, dims - flat - 1) + rows * (2 * dims)
+        counts = np.bincount(slot, minlength=n * 2 * dims).reshape(n, 2, dims)
+        out = (counts[:, 0, :] - counts[:, 1, :]).astype(np.float32)
         return pd.Series(list(out))
 
     return bincount

@@ -42,10 +42,12 @@ def lsh_knn(queries: DataFrame, memory: DataFrame, n: int, *, query_key: str, me
             dims: int, bits: int = 8, tables: int = 4, vec: str = "embedding",
             block_rows: int = DEFAULT_BLOCK_ROWS, seed: int = 7) -> DataFrame:
     planes = hyperplanes(dims, bits, tables, seed)
+    # codes always have one entry per table; *_outer avoids an inferred
+    # "size(codes) > 0" filter that would compute the codes twice
     q = queries.select(F.col(query_key).alias("__qid"), F.col(vec).alias("__qvec"),
-                       F.posexplode(lsh_codes(vec, planes)).alias("__t", "__code"))
+                       F.posexplode_outer(lsh_codes(vec, planes)).alias("__t", "__code"))
     m = memory.select(F.col(memory_key).alias("__mid"), F.col(vec).alias("__vec"),
-                      F.posexplode(lsh_codes(vec, planes)).alias("__t", "__code"))
+                      F.posexplode_outer(lsh_codes(vec, planes)).alias("__t", "__code"))
     # bucket sizes → number of sub-blocks per bucket (bounded table, broadcast)
     sizes = (m.groupBy("__t", "__code").agg(F.count(F.lit(1)).alias("__cnt"))
              .select("__t", "__code", F.greatest(F.lit(1), F.ceil(F.col("__cnt") / block_rows)).cast("int")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, TOKEN_PATTERN
 from ..functions import text as T
+from ..sources.tables import spread
 
 
 class InvalidChunkSeparator(ValueError):
@@ -43,7 +44,11 @@ def with_tokens(df: DataFrame, text_col: str = "text", out_col: str = "tokens")
 
 def token_rows(df: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
     """One row per token: ``keys..., pos (0-based), token``."""
-    return df.select(*keys, F.posexplode(T.tokenize(F.col(text_col))).alias("pos", "token"))
+    # *_outer generators: Catalyst infers no "size(...) > 0" filter from them,
+    # so the generator input is not evaluated a second time below the shuffle
+    return (spread(df.select(*keys, text_col))
+            .select(*keys, F.posexplode_outer(T.tokenize(F.col(text_col))).alias("pos", "token"))
+            .filter(F.col("token").isNotNull()))
 
 
 def vocabulary(tokens: DataFrame, token_col: str = "token", partitions: int | None = None) -> DataFrame:
@@ -82,19 +87,21 @@ def chunk(df: DataFrame, keys: Sequence[str], config: ChunkConfig = ChunkConfig(
     check_single_tokens(config.post_filter)
     src = T.prefilter(F.col(text_col), config.pre_filters) if clean_text else F.col(text_col)
     # tokens are materialised once per row: the chunk expression reads them many times
-    toks = df.select(*keys, T.tokenize(src).alias("__tk"))
+    toks = spread(df.select(*keys, F.col(text_col))).select(*keys, T.tokenize(src).alias("__tk"))
     chunks = T.chunk_tokens(F.col("__tk"), config.separators, config.max_tokens, config.post_filter)
     return (
-        toks.select(*keys, F.posexplode(chunks).alias("chunk_no", "tk"))
+        toks.select(*keys, F.posexplode_outer(chunks).alias("chunk_no", "tk"))
+        .filter(F.col("tk").isNotNull())
         .select(*keys, "chunk_no", T.detokenize("tk").alias("text"), F.size("tk").alias("n_tokens"))
     )
 
 
 def chunk_fixed(df: DataFrame, keys: Sequence[str], max_tokens: int, text_col: str = "text") -> DataFrame:
-    toks = df.select(*keys, T.tokenize(F.col(text_col)).alias("__tk"))
+    toks = spread(df.select(*keys, text_col)).select(*keys, T.tokenize(F.col(text_col)).alias("__tk"))
     chunks = T.fixed_chunk_tokens(F.col("__tk"), max_tokens)
     return (
-        toks.select(*keys, F.posexplode(chunks).alias("chunk_no", "tk"))
+        toks.select(*keys, F.posexplode_outer(chunks).alias("chunk_no", "tk"))
+        .filter(F.col("tk").isNotNull())
         .select(*keys, "chunk_no", T.detokenize("tk").alias("text"), F.size("tk").alias("n_tokens"))
     )
 
@@ -102,9 +109,10 @@ def chunk_fixed(df: DataFrame, keys: Sequence[str], max_tokens: int, text_col: s
 def chunk_size_report(df: DataFrame, config: ChunkConfig = ChunkConfig(), text_col: str = "text") -> DataFrame:
     """Chunk-size invariant: chunks (before post-filter) larger than the maximum.
     One row: number of chunks, number over the maximum (must be 0), largest."""
-    toks = df.select(T.tokenize(T.prefilter(F.col(text_col), config.pre_filters)).alias("__tk"))
+    toks = spread(df.select(text_col)).select(
+        T.tokenize(T.prefilter(F.col(text_col), config.pre_filters)).alias("__tk"))
     tk = F.col("__tk")
-    sizes = toks.select(F.explode(F.transform(T.chunk_bounds(tk, config.separators, config.max_tokens),
+    sizes = toks.select(F.explode_outer(F.transform(T.chunk_bounds(tk, config.separators, config.max_tokens),
                                             lambda b: b["e"] - b["s"] + 1)).alias("n"))
     sizes = sizes.filter(F.col("n") > 0)
     return sizes.agg(
@@ -118,7 +126,7 @@ def token_stats(df: DataFrame, keys: Sequence[str], text_col: str = "text") -> D
     """Token count, word count (split on runs of spaces) and tokens per word."""
     n = F.size(T.tokenize(F.col(text_col)))
     w = T.word_count(F.col(text_col))
-    return df.select(
+    return spread(df.select(*keys, text_col)).select(
         *keys,
         n.cast("long").alias("n_tokens"),
         w.cast("long").alias("n_words"),

@@ -23,7 +23,8 @@ def response_tokens(conv: DataFrame) -> DataFrame:
 def response_token_rows(conv: DataFrame) -> DataFrame:
     """Assistant turns as token rows: ``conv_id, turn, pos, token``."""
     return conv.filter(F.col("role") == "assistant").select(
-        "conv_id", "turn", F.posexplode(tokenize(F.col("text"))).alias("pos", "token"))
+        "conv_id", "turn", F.posexplode_outer(tokenize(F.col("text"))).alias("pos", "token")) \
+        .filter(F.col("token").isNotNull())
 
 
 def _stop_step(k: Column, tok: Column, stop: str) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonschema as J
 from ..functions.text import tokenize
 from ..operators import jsonmask as JM
+from ..operators import text as ops
 from ..sources.tables import table
 from . import sqlgen as S
 from .catalog import query
@@ -77,5 +78,5 @@ def enum_remainders(spark, sf):
 def vocab_mask(spark, sf):
     states, vals = _states_and_values(spark, sf)
     rem = JM.enum_remainders(states, vals, ENUM_MAX_LENGTH)
-    vocab = table(spark, sf, "documents").select(F.explode(tokenize(F.col("text"))).alias("token"))
+    vocab = ops.token_rows(table(spark, sf, "documents"), []).select("token")
     return JM.vocab_mask(rem, vocab)

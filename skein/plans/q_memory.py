@@ -54,7 +54,7 @@ def _recall_sql(n: int) -> str:
        f"({S.hash_sparse('documents', 'doc_id', 'text')}) WHERE value <> 0")
 def hash_embed(spark, sf):
     d = E.hash_embed(table(spark, sf, "documents").select("doc_id", "text"))
-    return (d.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+    return (d.select("doc_id", F.posexplode_outer("embedding").alias("dim", "value"))
             .filter(F.col("value") != 0)
             .select("doc_id", F.col("dim").cast("long"), F.col("value").cast("double")))
 

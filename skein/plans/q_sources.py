@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import MEDIA_DOCX
 from ..sources import documents as D
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .catalog import query
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """Uploads derived from the tables: documents as UTF-8 text, pages as HTML."""
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"),
         F.lit("text/plain; charset=utf-8").alias("content_type"), F.encode("text", "UTF-8").alias("content"))
     pages = table(spark, sf, "pages").select(
@@ -49,7 +49,7 @@ def utf8_gate(spark, sf):
 def docx_extract(spark, sf):
     """Documents packed as DOCX files (one paragraph per line), routed by
     media type and extracted back."""
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         "doc_id", F.lit(MEDIA_DOCX).alias("content_type"), D.docx_from_text(F.col("text")).alias("content"))
     routed = D.media_route(docs).drop("text")
     out = D.extract(routed, key_col="doc_id")

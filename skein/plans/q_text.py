@@ -42,17 +42,15 @@ def tokenize(spark, sf):
        f"SELECT token, count(*)::BIGINT AS n FROM (SELECT unnest({S.tokens('text')}) AS token FROM documents) "
        f"GROUP BY token")
 def token_counts(spark, sf):
-    d = table(spark, sf, "documents")
-    return (d.select(F.explode(T.tokenize(F.col("text"))).alias("token"))
-            .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    rows = ops.token_rows(table(spark, sf, "documents"), [])
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("vocabulary",
        f"SELECT token, dense_rank() OVER (ORDER BY token)::BIGINT AS token_id FROM "
        f"(SELECT DISTINCT unnest({S.tokens('text')}) AS token FROM documents)")
 def vocabulary(spark, sf):
-    d = table(spark, sf, "documents")
-    return ops.vocabulary(d.select(F.explode(T.tokenize(F.col("text"))).alias("token")))
+    return ops.vocabulary(ops.token_rows(table(spark, sf, "documents"), []))
 
 
 @query("chunk_one_level", _chunk_oracle(ONE_LEVEL))

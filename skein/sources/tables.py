@@ -16,3 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, factor: int = 4) -> DataFrame:
+    """Spread rows over the cluster before heavy per-row work (tokenising,
+    chunking, embedding, parsing).
+
+    A scan yields one task per file split; an input of few large splits (one
+    row group per file, say) would leave most cores idle while a handful of
+    tasks chew through every document. When the input has fewer partitions
+    than ``factor × defaultParallelism`` the rows are redistributed round-robin
+    (one cheap shuffle of the raw rows, before the expensive work). Inputs that
+    already have enough partitions - the normal case on a large cluster - are
+    left alone, so no shuffle is added there."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
