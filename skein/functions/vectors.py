@@ -63,7 +63,9 @@ def _make_bincount(dims: int):
         out = (counts[:, 0, :] - counts[:, 1, :]).astype(np.float32)
         return pd.Series(list(out))
 
-    return bincount
+    # Marked nondeterministic only so that Catalyst never copies the UDF into a
+    # pushed-down filter (e.g. a dimension check), which would run it twice.
+    return bincount.asNondeterministic()
 
 
 _BINCOUNT: dict[int, object] = {}
