@@ -171,6 +171,25 @@ def response_text(token_rows: DataFrame, keys: Sequence[str] = ("conv_id", "turn
                                  lambda s: s["token"]), "").alias("text"))
 
 
+def byte_pieces(texts: DataFrame, keys: Sequence[str], size: int, text_col: str = "text") -> DataFrame:
+    """Generated bytes as they arrive from a byte-level tokenizer: each text's
+    UTF-8 bytes cut into ``size``-byte pieces (pieces may split a character).
+    Output ``keys..., pos, piece (binary)``."""
+    b = F.encode(F.col(text_col), "UTF-8")
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(b), F.lit(1)), F.lit(size)),
+                         lambda i: F.substring(b, i, size))
+    return (texts.select(*keys, F.posexplode_outer(pieces).alias("pos", "piece"))
+            .filter(F.col("piece").isNotNull()))
+
+
+def reassemble_utf8(pieces: DataFrame, keys: Sequence[str] = ("conv_id", "turn"), piece_col: str = "piece") -> DataFrame:
+    """Concatenate byte pieces in order per response and decode; invalid
+    sequences become U+FFFD (lossy, like a lossy UTF-8 decode)."""
+    hexes = F.transform(F.array_sort(F.collect_list(F.struct("pos", piece_col))), lambda s: F.hex(s[piece_col]))
+    raw = F.unhex(F.array_join(hexes, ""))
+    return pieces.groupBy(*keys).agg(F.make_valid_utf8(raw.cast("string")).alias("text"))
+
+
 def cycle_segments(stream: DataFrame, key: str = "conv_id") -> DataFrame:
     """Split a token stream ``(key, pos, token)`` into messages: an empty token
     ends a reply. Adds ``msg_no`` = number of empty tokens strictly before."""

@@ -79,3 +79,12 @@ def cycle_segments(spark, sf):
     return (seg.groupBy("conv_id", "msg_no")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))),
                                           lambda s: s["token"]), "").alias("text")))
+
+
+@query("utf8_reassembly",
+       "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'")
+def utf8_reassembly(spark, sf):
+    """Assistant replies as 3-byte pieces (characters split across pieces),
+    reassembled in order and decoded."""
+    a = table(spark, sf, "conversations").filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    return G.reassemble_utf8(G.byte_pieces(a, ["conv_id", "turn"], 3))
