@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import checked_broadcast
+
 # Characters a free string token may not contain.
 STRING_FORBIDDEN = ('"', "\n", "\t", "\r")
 
@@ -16,11 +18,13 @@ def enum_remainders(states: DataFrame, values: DataFrame, max_length: int | None
     """For each typed prefix (state) the rest of every enum value it can still
     become (``remainder``; ``""`` means the value may end here). Values longer
     than ``max_length`` bytes are impossible. ``values`` is the enum (a schema's
-    literal list), so it is broadcast."""
+    literal list), so it is broadcast after a size check."""
     vals = values.select(F.col(value_col).alias("__v")).distinct()
     if max_length is not None:
         vals = vals.filter(F.octet_length("__v") <= max_length)
-    j = states.join(F.broadcast(vals), F.startswith(F.col("__v"), F.col(state_col)))
+    # the enum of a schema is small; check it before broadcasting (a prefix
+    # test cannot be a hash join, so the enum side must be the broadcast one)
+    j = states.join(checked_broadcast(vals, 100_000), F.startswith(F.col("__v"), F.col(state_col)))
     return j.select(state_col, F.expr(f"substring(__v, length({state_col}) + 1)").alias("remainder"),
                     (F.length("__v") == F.length(state_col)).alias("may_end"))
 

@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SAMPLER_REPEAT_LAST_N, SAMPLER_REPEAT_PENALTY, SAMPLER_TEMPERATURE
+from ..sources.tables import checked_broadcast
 
 G, C, S = "group_id", "candidate", "score"
 
 
 def flat_bias(cands: DataFrame, bias: DataFrame) -> DataFrame:
     """``score + bias`` for candidates listed in ``bias(candidate, bias)``.
-    The bias list is per task (bounded by the vocabulary), so it is broadcast."""
-    return (cands.join(F.broadcast(bias), C, "left")
+    The bias list is per task (at most one row per vocabulary entry): broadcast
+    after a size check."""
+    return (cands.join(checked_broadcast(bias), C, "left")
             .withColumn(S, F.col(S) + F.coalesce(F.col("bias"), F.lit(0.0)))
             .drop("bias"))
 
@@ -86,7 +88,7 @@ def weighted_draw(cands: DataFrame, seed: int = 0) -> DataFrame:
 def single_candidate(cands: DataFrame, bias: DataFrame) -> DataFrame:
     """Groups with exactly one positively biased candidate take it without
     scoring (``chosen``); other groups go through the chain (``scored``)."""
-    pos = cands.join(F.broadcast(bias.filter(F.col("bias") > 0)), C, "inner")
+    pos = cands.join(checked_broadcast(bias.filter(F.col("bias") > 0)), C, "inner")
     per = pos.groupBy(G).agg(F.count(F.lit(1)).alias("n_pos"), F.min(C).alias("forced"))
     return (cands.select(G).distinct().join(per, G, "left")
             .select(G, F.when(F.col("n_pos") == 1, F.col("forced")).alias("forced"),

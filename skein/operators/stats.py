@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import checked_broadcast
+
 DEFAULT_THREADS = 8
 
 
@@ -79,12 +81,12 @@ def chat_throughput(stream: DataFrame, session_col: str = "user_id", ts_col: str
 def grant_audit(requests: DataFrame, grants: DataFrame, caller_col: str, name_col: str) -> DataFrame:
     """Allowed if the caller's list is absent (NULL = unrestricted) or contains
     the requested name; else 401. Unknown callers are denied. ``grants`` is a
-    registry (one row per caller), broadcast."""
+    registry (one row per caller), broadcast after a size check."""
     g = grants.select(F.col("sub").alias(caller_col), F.col("names").alias("__names"),
                       F.lit(True).alias("__known"))
     allowed = F.coalesce(F.col("__known"), F.lit(False)) & (
         F.col("__names").isNull() | F.coalesce(F.array_contains("__names", F.col(name_col)), F.lit(False)))
-    return (requests.join(F.broadcast(g), caller_col, "left")
+    return (requests.join(checked_broadcast(g), caller_col, "left")
             .withColumn("status", F.when(allowed, F.lit(200)).otherwise(F.lit(401)).cast("long"))
             .drop("__names", "__known"))
 
