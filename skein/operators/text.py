@@ -92,7 +92,8 @@ def chunk(df: DataFrame, keys: Sequence[str], config: ChunkConfig = ChunkConfig(
     return (
         toks.select(*keys, F.posexplode_outer(chunks).alias("chunk_no", "tk"))
         .filter(F.col("tk").isNotNull())
-        .select(*keys, "chunk_no", T.detokenize("tk").alias("text"), F.size("tk").alias("n_tokens"))
+        .select(*keys, F.col("chunk_no").cast("long"), T.detokenize("tk").alias("text"),
+                F.size("tk").cast("long").alias("n_tokens"))
     )
 
 
@@ -102,7 +103,8 @@ def chunk_fixed(df: DataFrame, keys: Sequence[str], max_tokens: int, text_col: s
     return (
         toks.select(*keys, F.posexplode_outer(chunks).alias("chunk_no", "tk"))
         .filter(F.col("tk").isNotNull())
-        .select(*keys, "chunk_no", T.detokenize("tk").alias("text"), F.size("tk").alias("n_tokens"))
+        .select(*keys, F.col("chunk_no").cast("long"), T.detokenize("tk").alias("text"),
+                F.size("tk").cast("long").alias("n_tokens"))
     )
 
 
