@@ -80,3 +80,16 @@ def vocab_mask(spark, sf):
     rem = JM.enum_remainders(states, vals, ENUM_MAX_LENGTH)
     vocab = ops.token_rows(table(spark, sf, "documents"), []).select("token")
     return JM.vocab_mask(rem, vocab)
+
+
+STRING_REMAINING = 3
+
+
+@query("any_string_mask",
+       f"SELECT DISTINCT token FROM (SELECT unnest({S.tokens('text')}) AS token FROM documents) "
+       f"WHERE len(token) > 0 AND strlen(token) <= {STRING_REMAINING} "
+       "AND NOT regexp_matches(token, '[\"\\n\\t\\r]')")
+def any_string_mask(spark, sf):
+    """Vocabulary tokens allowed inside a free JSON string with a few bytes left."""
+    vocab = ops.token_rows(table(spark, sf, "documents"), []).select("token").distinct()
+    return JM.any_string_mask(vocab, STRING_REMAINING)

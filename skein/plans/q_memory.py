@@ -105,6 +105,18 @@ def memory_upsert(spark, sf):
     return mem.read().select("id", "text")
 
 
+@query("memory_compact",
+       f"WITH RECURSIVE {_ingest_ctes()}\n"
+       f"SELECT DISTINCT {S.content_id('text')} AS id, text, 0::BIGINT AS batch FROM c_chunks")
+def memory_compact(spark, sf):
+    """Upsert log of two ingests compacted into one batch of a new epoch."""
+    mem = VectorMemory(spark, unique_subdir(spark, "memory-compact"), HASH_DIMS, mode="upsert")
+    mem.store(document_memory(spark, sf))
+    mem.store(_labelled_chunks(spark, sf))
+    mem.compact()
+    return mem.read().select("id", "text", F.col("batch").cast("long"))
+
+
 @query("memory_forget",
        f"WITH RECURSIVE {_ingest_ctes()}\n"
        f"SELECT {S.content_id('text')} AS id, text, 0::BIGINT AS batch FROM {_labelled_sql()}")
@@ -191,6 +203,25 @@ def recall_cosine(spark, sf):
     return hits.select("qid", F.col("rank").cast("long"), "vec_id", F.round("distance", 4).alias("similarity"))
 
 
+_L2_SELF_SQL = (
+    "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),\n"
+    "d AS (SELECT a.vec_id AS qid, b.vec_id, list_distance(a.v, b.v) AS distance FROM e a, e b),\n"
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM d)\n"
+)
+
+
+@query("recall_l2_blocked",
+       _L2_SELF_SQL + f"SELECT qid, rank::BIGINT AS rank, vec_id, round(distance, 4) AS distance FROM r "
+                      f"WHERE rank <= {RECALL_N}")
+def recall_l2_blocked(spark, sf):
+    """Every vector's nearest neighbours among all (self-join batch): the
+    blocked strategy, as used when the query batch is too large to broadcast."""
+    e = table(spark, sf, "embeddings")
+    hits = R.knn(e.select(F.col("vec_id").alias("qid"), "embedding"), e, RECALL_N, query_key="qid",
+                 tie_keys=["vec_id"], metric="l2", dims=HASH_DIMS, strategy="blocked", block_rows=256)
+    return hits.select("qid", F.col("rank").cast("long"), "vec_id", F.round("distance", 4).alias("distance"))
+
+
 _NORM_SQL = (
     "WITH e AS (SELECT vec_id, list_transform(embedding, "
     "lambda x: pow(greatest(-1.0, least(1.0, x::DOUBLE)) / 2 + 0.5, 2) * 255) AS v FROM embeddings),\n"
