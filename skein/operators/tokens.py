@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .prefix import running_sum
 
 
 def response_tokens(conv: DataFrame) -> DataFrame:
@@ -192,10 +193,11 @@ def reassemble_utf8(pieces: DataFrame, keys: Sequence[str] = ("conv_id", "turn")
 
 def cycle_segments(stream: DataFrame, key: str = "conv_id") -> DataFrame:
     """Split a token stream ``(key, pos, token)`` into messages: an empty token
-    ends a reply. Adds ``msg_no`` = number of empty tokens strictly before."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return stream.withColumn(
-        "msg_no", F.coalesce(F.sum(F.when(F.col("token") == "", 1).otherwise(0)).over(w), F.lit(0)).cast("long"))
+    ends a reply. Adds ``msg_no`` = number of empty tokens strictly before
+    (a block-wise running count, see ``operators.prefix``)."""
+    ends = F.when(F.col("token") == "", 1).otherwise(0).cast("long")
+    out = running_sum(stream.withColumn("__end", ends), [key], "pos", "__end", "__cum")
+    return out.withColumn("msg_no", (F.col("__cum") - F.col("__end")).cast("long")).drop("__end", "__cum")
 
 
 def reply_stream(conv: DataFrame) -> DataFrame:
