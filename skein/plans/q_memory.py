@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import HASH_DIMS
-from ..functions.vectors import content_id, display_normalise, hash_embedding, round_half_up
+from ..functions.vectors import content_id, display_normalise, round_half_up
 from ..operators import embed as E
 from ..operators import recall as R
 from ..operators import text as ops
@@ -265,5 +265,3 @@ def recall_lsh(spark, sf):
                    memory_key="vec_id", dims=HASH_DIMS, bits=LSH_BITS, tables=LSH_TABLES)
     return hits.select("qid", F.col("rank").cast("long"), "vec_id", F.round("distance", 4).alias("distance"))
 
-
-__all__ = ["document_memory", "benchmark_queries", "hash_embedding"]
