@@ -44,18 +44,28 @@ def work_dir(spark: SparkSession) -> str:
     session without that setting (tests, the benchmark) gets a fresh private
     folder, which is then recorded in the session so that every caller agrees.
     """
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _LOCAL_WORK:
+        return _LOCAL_WORK[key]
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        try:
+            path = spark.conf.get("spark.checkpoint.dir")
+        except Exception:  # noqa: BLE001 - unset
+            path = None
+    if not path:
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="skein-work-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
+    _LOCAL_WORK[key] = path
     return path
 
 
+_LOCAL_WORK: dict[str, str] = {}
+
+
 def unique_subdir(spark: SparkSession, name: str) -> str:
     """A new, never reused folder under the shared work folder."""
     base = work_dir(spark)
