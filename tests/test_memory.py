@@ -87,3 +87,28 @@ def test_lsh_recall_against_exact(spark):
     recall = hit / exact.count()
     print(f"LSH recall@3 = {recall:.3f}")
     assert recall > 0.3
+
+
+def test_lsh_hot_bucket_split_is_exact_within_candidates(spark):
+    """Many identical vectors fall in one bucket; splitting it into sub-blocks
+    must not change the result."""
+    from skein.operators.lsh import lsh_knn
+
+    rows = [(i, [1.0, 1.0, 1.0]) for i in range(300)] + [(1000 + i, [float(i), -1.0, 2.0]) for i in range(20)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (2, [3.0, -1.0, 2.0])], "qid long, embedding array<float>")
+    small = lsh_knn(q, e, 5, query_key="qid", memory_key="vec_id", dims=3, bits=2, tables=2, block_rows=16)
+    big = lsh_knn(q, e, 5, query_key="qid", memory_key="vec_id", dims=3, bits=2, tables=2, block_rows=100000)
+    key = lambda df: sorted((r.qid, r.rank, r.vec_id) for r in df.collect())
+    assert key(small) == key(big)
+    assert [r.vec_id for r in small.filter("qid = 1").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_blocked_knn_composite_keys_match_broadcast(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = e.select((F.col("vec_id") % 7).alias("a"), "vec_id", "embedding").withColumnRenamed("vec_id", "b")
+    kw = dict(query_key=["a", "b"], tie_keys=["vec_id"], dims=64, metric="l2")
+    b1 = R.knn(q, e, 4, strategy="broadcast", **kw)
+    b2 = R.knn(q, e, 4, strategy="blocked", block_rows=50, **kw)
+    key = lambda df: sorted((r.a, r.b, r.rank, r.vec_id, round(r.distance, 9)) for r in df.collect())
+    assert key(b1) == key(b2)
