@@ -112,3 +112,23 @@ def test_blocked_knn_composite_keys_match_broadcast(spark):
     b2 = R.knn(q, e, 4, strategy="blocked", block_rows=50, **kw)
     key = lambda df: sorted((r.a, r.b, r.rank, r.vec_id, round(r.distance, 9)) for r in df.collect())
     assert key(b1) == key(b2)
+
+
+def test_user_model_embedder_slot(spark):
+    """A user model plugs in as a batch predictor (Arrow batches)."""
+    import numpy as np
+    from pyspark.ml.functions import predict_batch_udf
+
+    from skein.operators.embed import model_embed
+
+    def make_predict():
+        def predict(texts: np.ndarray) -> np.ndarray:
+            return np.stack([[float(len(t)), float(t.count(" ")), 1.0] for t in texts]).astype(np.float32)
+        return predict
+
+    from pyspark.sql import types as T
+
+    embedder = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=8)
+    df = spark.createDataFrame([("a b",), ("hello",)], "text string")
+    out = sorted(tuple(r.embedding) for r in model_embed(df, embedder).collect())
+    assert out == [(3.0, 1.0, 1.0), (5.0, 0.0, 1.0)]
