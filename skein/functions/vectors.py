@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,20 +48,19 @@ def hash_codes(text: Column | str, dims: int = HASH_DIMS) -> Column:
 
 
 def _make_bincount(dims: int):
-    @F.pandas_udf("array<float>")
-    def bincount(codes: pd.Series) -> pd.Series:
-        # One Arrow batch in, one vectorised bincount for the whole batch:
-        # slot = row * 2 * dims + (d for +1, dims + d for -1).
+    @F.arrow_udf("array<float>")
+    def bincount(codes: pa.Array) -> pa.Array:
+        # Arrow in, Arrow out, no per-row Python objects: one bincount over the
+        # flattened codes of the whole batch, slot = row * 2 * dims +
+        # (d for +1, dims + d for -1).
         n = len(codes)
-        if n == 0:
-            return pd.Series([], dtype=object)
-        lens = codes.map(len).to_numpy()
-        flat = np.concatenate(codes.to_numpy()).astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
-        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = codes.value_parent_indices().to_numpy(zero_copy_only=False).astype(np.int64)
         slot = np.where(flat >= 0, flat, dims - flat - 1) + rows * (2 * dims)
         counts = np.bincount(slot, minlength=n * 2 * dims).reshape(n, 2, dims)
-        out = (counts[:, 0, :] - counts[:, 1, :]).astype(np.float32)
-        return pd.Series(list(out))
+        values = (counts[:, 0, :] - counts[:, 1, :]).astype(np.float32).ravel()
+        offsets = pa.array(np.arange(0, (n + 1) * dims, dims, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(values, type=pa.float32()))
 
     # Marked nondeterministic only so that Catalyst never copies the UDF into a
     # pushed-down filter (e.g. a dimension check), which would run it twice.
@@ -74,7 +73,7 @@ _BINCOUNT: dict[int, object] = {}
 def hash_embedding(text: Column | str, dims: int = HASH_DIMS) -> Column:
     """Deterministic integer-valued embedding ``array<float>`` of ``dims``.
 
-    Hashing runs natively; only the per-batch scatter-add runs in numpy."""
+    Hashing runs natively; only the per-batch bincount runs in numpy (Arrow UDF)."""
     if dims not in _BINCOUNT:
         _BINCOUNT[dims] = _make_bincount(dims)
     return _BINCOUNT[dims](hash_codes(text, dims))
