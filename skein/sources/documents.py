@@ -38,6 +38,15 @@ def read_uploads(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     return r.load(path)
 
 
+def read_text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Plain-text files, one document per file: ``path, text`` (whole file as
+    one value, as an uploaded text body)."""
+    r = spark.read
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
 def route(content_type: Column | str) -> Column:
     """``text`` for any ``text/plain*`` (prefix match), ``docx`` / ``pdf`` on
     exact equality, else ``unsupported`` (also when missing)."""

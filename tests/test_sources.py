@@ -62,3 +62,12 @@ def test_binary_file_source(spark, tmp_path):
     files = D.read_uploads(spark, str(p), "*.docx").withColumn("content_type", F.lit(MEDIA_DOCX))
     out = D.extract(D.media_route(files).drop("text")).first()
     assert (out.status, out.text) == (200, "hello\n")
+
+
+def test_whole_text_files(spark, tmp_path):
+    d = tmp_path / "txt"
+    d.mkdir()
+    (d / "a.txt").write_text("line one\nline two\n", encoding="utf-8")
+    (d / "b.txt").write_text("héllo", encoding="utf-8")
+    got = sorted(r.text for r in D.read_text_files(spark, str(d), "*.txt").collect())
+    assert got == ["héllo", "line one\nline two\n"]
