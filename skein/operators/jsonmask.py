@@ -18,13 +18,15 @@ def enum_remainders(states: DataFrame, values: DataFrame, max_length: int | None
     """For each typed prefix (state) the rest of every enum value it can still
     become (``remainder``; ``""`` means the value may end here). Values longer
     than ``max_length`` bytes are impossible. ``values`` is the enum (a schema's
-    literal list), so it is broadcast after a size check."""
+    literal list), broadcast after a size check."""
     vals = values.select(F.col(value_col).alias("__v")).distinct()
     if max_length is not None:
         vals = vals.filter(F.octet_length("__v") <= max_length)
-    # the enum of a schema is small; check it before broadcasting (a prefix
-    # test cannot be a hash join, so the enum side must be the broadcast one)
-    j = states.join(checked_broadcast(vals, 100_000), F.startswith(F.col("__v"), F.col(state_col)))
+    # "value starts with state" as an equi-join: every value is expanded into
+    # all of its prefixes (as many as its length) and joined on equality
+    pref = vals.select("__v", F.explode(F.transform(F.sequence(F.lit(0), F.length("__v")),
+                                                    lambda i: F.substring("__v", 1, i))).alias("__p"))
+    j = states.join(checked_broadcast(pref, 1_000_000), F.col(state_col) == F.col("__p"))
     return j.select(state_col, F.expr(f"substring(__v, length({state_col}) + 1)").alias("remainder"),
                     (F.length("__v") == F.length(state_col)).alias("may_end"))
 
