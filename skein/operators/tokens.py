@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.tables import spread
 from .prefix import running_sum
 
 
 def response_tokens(conv: DataFrame) -> DataFrame:
     """Assistant turns as token arrays: ``conv_id, turn, tokens``."""
-    return conv.filter(F.col("role") == "assistant").select(
-        "conv_id", "turn", tokenize(F.col("text")).alias("tokens"))
+    replies = spread(conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text"))
+    return replies.select("conv_id", "turn", tokenize(F.col("text")).alias("tokens"))
 
 
 def response_token_rows(conv: DataFrame) -> DataFrame:
@@ -98,7 +99,14 @@ def stop_position(tokens: Column | str, stops: Sequence[str]) -> Column:
         hit = F.when(acc["hit"].isNull() & any_done, i).otherwise(acc["hit"])
         return F.struct(i.alias("i"), hit.alias("hit"), *parts)
 
-    return F.aggregate(tk, init, merge, lambda acc: acc["hit"])
+    fold = F.aggregate(tk, init, merge, lambda acc: acc["hit"])
+    # A token-aligned match spells the stop string inside the response text, so
+    # responses containing none of them skip the fold.
+    text = F.array_join(tk, "")
+    maybe = F.lit(False)
+    for stop in stops:
+        maybe = maybe | F.contains(text, F.lit(stop))
+    return F.when(maybe, fold).otherwise(F.lit(None).cast("int"))
 
 
 def stop_tokens(responses: DataFrame, stops: Sequence[str], tokens_col: str = "tokens") -> DataFrame:
