@@ -75,8 +75,15 @@ def content_id_q(spark, sf):
     return table(spark, sf, "documents").select("doc_id", content_id(F.col("text")).alias("id"))
 
 
-def _labelled_chunks(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+def _labelled_chunks(spark, sf, stored: DataFrame | None = None) -> DataFrame:
+    """Chunks of the labelled documents. When the memory already holds the
+    documents' chunks (``stored``, a written table), they are read back from it
+    instead of being cleaned, chunked and embedded again."""
+    labels = table(spark, sf, "labels").select("doc_id")
+    if stored is not None:
+        return stored.join(labels, "doc_id", "left_semi").select(
+            "doc_id", "chunk_no", "text", "n_tokens", "embedding")
+    docs = table(spark, sf, "documents").join(labels, "doc_id", "left_semi")
     return E.hash_embed(ops.chunk(docs, ["doc_id"], INGEST))
 
 
@@ -91,7 +98,7 @@ def _labelled_sql() -> str:
 def memory_append(spark, sf):
     mem = VectorMemory(spark, unique_subdir(spark, "memory-append"), HASH_DIMS, mode="append")
     mem.store(document_memory(spark, sf))
-    mem.store(_labelled_chunks(spark, sf))
+    mem.store(_labelled_chunks(spark, sf, mem.read_batch(0)))
     return mem.read().select("id", "text", F.col("batch").cast("long"))
 
 
@@ -101,7 +108,7 @@ def memory_append(spark, sf):
 def memory_upsert(spark, sf):
     mem = VectorMemory(spark, unique_subdir(spark, "memory-upsert"), HASH_DIMS, mode="upsert")
     mem.store(document_memory(spark, sf))
-    mem.store(_labelled_chunks(spark, sf))
+    mem.store(_labelled_chunks(spark, sf, mem.read_batch(0)))
     return mem.read().select("id", "text")
 
 
@@ -112,7 +119,7 @@ def memory_compact(spark, sf):
     """Upsert log of two ingests compacted into one batch of a new epoch."""
     mem = VectorMemory(spark, unique_subdir(spark, "memory-compact"), HASH_DIMS, mode="upsert")
     mem.store(document_memory(spark, sf))
-    mem.store(_labelled_chunks(spark, sf))
+    mem.store(_labelled_chunks(spark, sf, mem.read_batch(0)))
     mem.compact()
     return mem.read().select("id", "text", F.col("batch").cast("long"))
 
@@ -123,8 +130,9 @@ def memory_compact(spark, sf):
 def memory_forget(spark, sf):
     mem = VectorMemory(spark, unique_subdir(spark, "memory-forget"), HASH_DIMS, mode="append")
     mem.store(document_memory(spark, sf))
+    stored = mem.read_batch(0)
     mem.forget()
-    mem.store(_labelled_chunks(spark, sf))
+    mem.store(_labelled_chunks(spark, sf, stored))
     return mem.read().select("id", "text", F.col("batch").cast("long"))
 
 
