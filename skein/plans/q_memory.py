@@ -19,7 +19,7 @@ from .q_text import INGEST
 
 RECALL_N = 3
 COSINE_N = 3
-LSH_BITS = 8
+LSH_BITS = 6
 LSH_TABLES = 4
 
 

@@ -82,7 +82,7 @@ def test_lsh_recall_against_exact(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     q = e.select(F.col("vec_id").alias("qid"), "embedding")
     exact = R.knn(q, e, 3, query_key="qid", tie_keys=["vec_id"], dims=64)
-    approx = lsh_knn(q, e, 3, query_key="qid", memory_key="vec_id", dims=64, bits=8, tables=4)
+    approx = lsh_knn(q, e, 3, query_key="qid", memory_key="vec_id", dims=64, bits=6, tables=4)
     hit = exact.join(approx, ["qid", "vec_id"]).count()
     recall = hit / exact.count()
     print(f"LSH recall@3 = {recall:.3f}")
