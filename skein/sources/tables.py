@@ -24,17 +24,33 @@ def spread(df: DataFrame, factor: int = 4) -> DataFrame:
 
     A scan yields one task per file split; an input of few large splits (one
     row group per file, say) would leave most cores idle while a handful of
-    tasks chew through every document. When the input has fewer partitions
-    than ``factor × defaultParallelism`` the rows are redistributed round-robin
-    (one cheap shuffle of the raw rows, before the expensive work). Inputs that
-    already have enough partitions - the normal case on a large cluster - are
-    left alone, so no shuffle is added there."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
+    tasks chew through every document. When the input is smaller than
+    ``factor × defaultParallelism`` splits (by the optimizer's size estimate -
+    nothing is executed to decide) the rows are redistributed round-robin: one
+    cheap shuffle of the raw rows before the expensive work. Large inputs - the
+    normal case on a cluster - and inputs already redistributed are left alone.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism * factor
+    logical = df._jdf.queryExecution().optimizedPlan()
+    if "Repartition" in logical.toString():
+        return df
+    size = int(str(logical.stats().sizeInBytes()))
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
+    if size >= target * split:
         return df
     return df.repartition(target)
 
 
+def _bytes(v: str) -> int:
+    v = v.strip().lower()
+    for suffix, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("tb", 1 << 40),
+                         ("k", 1 << 10), ("m", 1 << 20), ("g", 1 << 30), ("t", 1 << 40), ("b", 1)):
+        if v.endswith(suffix):
+            return int(float(v[: -len(suffix)]) * mult)
+    return int(v)
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast hint only for a side proven small: at most ``max_rows`` rows
     (counted with a bounded ``limit``). Larger sides are left to the planner
