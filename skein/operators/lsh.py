@@ -3,8 +3,9 @@
 Every vector gets one ``bits``-bit sign code per table (native dot products
 with fixed hyperplanes). A query's candidates are the memory rows sharing its
 code in any table. Each bucket is scored by the exact top-n kernel of
-``recall`` (one cogroup task per bucket and sub-block), so a bucket never emits
-all its pairs; buckets larger than ``block_rows`` are split into sub-blocks
+``recall`` inside cogroup tasks (a task holds several buckets, compared only
+within a code), so a bucket never emits all its pairs; buckets larger than
+``block_rows`` are split into sub-blocks
 (counts per bucket are a tiny table: tables × 2^bits rows), so a hot bucket is
 spread over many tasks. Candidates are then merged exactly per query.
 """
@@ -61,19 +62,32 @@ def lsh_knn(queries: DataFrame, memory: DataFrame, n: int, *, query_key: str, me
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("mid", mtype),
                            T.StructField("distance", T.DoubleType())])
 
+    # Several buckets share one cogroup task (key = table, code mod n_groups,
+    # sub-block): the per-task overhead is paid per group, not per bucket, and
+    # rows of different codes in a task are still only compared within a code.
+    n_groups = max(1, min(1 << bits, queries.sparkSession.sparkContext.defaultParallelism * 4))
+    q = q.withColumn("__g", F.pmod(F.col("__code"), F.lit(n_groups)))
+    m = m.withColumn("__g", F.pmod(F.col("__code"), F.lit(n_groups)))
+
     def cokernel(qpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(mpdf) == 0:
+        parts = []
+        if len(qpdf) and len(mpdf):
+            mpdf = mpdf.sort_values("__mid", kind="stable")
+            qcodes, mcodes = qpdf["__code"].to_numpy(), mpdf["__code"].to_numpy()
+            for code in np.intersect1d(qcodes, mcodes):
+                qs, ms = qpdf[qcodes == code], mpdf[mcodes == code]
+                Q = np.stack(qs["__qvec"].to_numpy()).astype(np.float64)
+                M = np.stack(ms["__vec"].to_numpy()).astype(np.float64)
+                idx, val = _top_n(Q, M, n, "l2")
+                k = idx.shape[1]
+                parts.append(pd.DataFrame({"qid": np.repeat(qs["__qid"].to_numpy(), k),
+                                           "mid": ms["__mid"].to_numpy()[idx.ravel()],
+                                           "distance": val.ravel()}))
+        if not parts:
             return pd.DataFrame({"qid": [], "mid": [], "distance": []})
-        mpdf = mpdf.sort_values("__mid", kind="stable").reset_index(drop=True)
-        Q = np.stack(qpdf["__qvec"].to_numpy()).astype(np.float64)
-        M = np.stack(mpdf["__vec"].to_numpy()).astype(np.float64)
-        idx, val = _top_n(Q, M, n, "l2")
-        k = idx.shape[1]
-        return pd.DataFrame({"qid": np.repeat(qpdf["__qid"].to_numpy(), k),
-                             "mid": mpdf["__mid"].to_numpy()[idx.ravel()],
-                             "distance": val.ravel()})
+        return pd.concat(parts, ignore_index=True)
 
-    cand = (q.groupBy("__t", "__code", "__sub").cogroup(m.groupBy("__t", "__code", "__sub"))
+    cand = (q.groupBy("__t", "__g", "__sub").cogroup(m.groupBy("__t", "__g", "__sub"))
             .applyInPandas(cokernel, schema))
     best = cand.groupBy("qid", "mid").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col("mid").asc())
