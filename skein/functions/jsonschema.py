@@ -6,7 +6,7 @@ Schemas are dicts tagged by ``type``: ``boolean``, ``null``,
 They are compiled once, on the driver, into a ``Column`` over a ``VARIANT``
 (``try_parse_json``): no UDF, evaluated per row inside codegen'd stages.
 
-* :func:`is_valid` - validity (reference semantics: ``enum``, ``max_length`` and
+* :func:`is_valid` - validity (default semantics: ``enum``, ``max_length`` and
   ``max_decimals`` are not checked unless ``check_all``).
 * :func:`strict_regex` / :func:`is_strict` - would the schema grammar have
   produced this exact text (keys in required order, no optional keys, no

@@ -41,7 +41,7 @@ def test_stop_step_py_golden(stops, tokens, flags):
     assert first == _first(flags)
 
 
-def test_reference_set_case():
+def test_stop_set_stateful_case():
     # stops {def, a}: "a" completes; after a reset "defde" completes, then "ef" does not
     stops = [b"def", b"a"]
 
