@@ -8,7 +8,7 @@ from ..functions import jsonschema as J
 from ..functions.text import tokenize
 from ..operators import jsonmask as JM
 from ..operators import text as ops
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import sqlgen as S
 from .catalog import query
 
@@ -23,7 +23,7 @@ ENUM_MAX_LENGTH = 6
        "AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') "
        "AND json_extract(props, '$.k')::DOUBLE BETWEEN 0 AND 50, false) AS valid FROM events")
 def json_is_valid(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events").select("event_id", "props"))
     return e.select("event_id", J.is_valid("props", PROPS_SCHEMA).alias("valid"))
 
 
@@ -32,7 +32,7 @@ def json_is_valid(spark, sf):
        "AND json_extract(t, '$.k')::DOUBLE BETWEEN 0 AND 50, false) AS strict "
        "FROM (SELECT event_id, replace(props, ' ', '') AS t FROM events)")
 def json_strict(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events").select("event_id", "props"))
     return e.select("event_id", J.is_strict(F.replace(F.col("props"), F.lit(" "), F.lit("")),
                                             PROPS_SCHEMA).alias("strict"))
 
