@@ -81,6 +81,26 @@ def fit_rank(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, seed: int = 11)
     return RankModel(tuple(mean), tuple(scale), tuple(w), cut, 3.0 / spread)
 
 
+def learn(docs: DataFrame, labels: DataFrame, modulus: int, remainder: int, max_labelled: int) -> RankModel | None:
+    """The model of at most ``max_labelled`` labelled ids outside the held-out remainder."""
+
+    def train(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], ["x", "y"])
+
+    sample = label_sample(labels, "quality", modulus, remainder, max_labelled)
+    rows = map_batches(labelled_texts(docs, sample), train, "x array<double>, y int").collect()
+    if not rows:
+        return None
+    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    order = np.lexsort(np.vstack([y[None, :], x.T]))
+    return fit_rank(x[order], y[order])
+
+
+def scores(model: RankModel | None, texts: list[str | None]) -> np.ndarray:
+    return model.score(np.array([features(t) for t in texts])) if model else np.full(len(texts), CUT)
+
+
 def rank_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2,
                  max_labelled: int = 20_000) -> DataFrame:
     """(doc_id, score, predicted) of every row of ``docs``.
@@ -91,21 +111,24 @@ def rank_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder
     texts have zero features and a score like any other text; repeated rows get equal
     scores; an empty table gives no rows; other columns are not read.
     """
-    def train(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], ["x", "y"])
-
-    sample = label_sample(labels, "quality", modulus, remainder, max_labelled)
-    rows = map_batches(labelled_texts(docs, sample), train, "x array<double>, y int").collect()
-    x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), -1)
-    order = np.lexsort(x.T) if len(rows) else []
-    model = fit_rank(x[order], np.array([r.y for r in rows])[order]) if len(rows) else None
+    model = learn(docs, labels, modulus, remainder, max_labelled)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        f = np.array([features(t) for t in b.column(1).to_pylist()])
-        s = model.score(f) if model else np.full(b.num_rows, CUT)
+        s = scores(model, b.column(1).to_pylist())
         return pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, predicted int")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2,
+                 max_labelled: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score reaches the threshold."""
+    model = learn(docs, labels, modulus, remainder, max_labelled)
+    at = docs.columns.index("text")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(scores(model, b.column(at).to_pylist()) >= CUT))
+
+    return map_batches(docs, run, docs.schema)

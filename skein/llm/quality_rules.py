@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, written
 from .textstats import text_stats
@@ -97,29 +98,24 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false
     return VoteModel(prior, tuple(map(float, pg)), tuple(map(float, pb)))
 
 
-def stats_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id and the whole-text statistics."""
+def with_stats(docs: DataFrame, text_col: str = "text", name: str = "_stats") -> DataFrame:
+    """``docs`` with the whole-text statistics as one more struct column."""
+    kind = pa.struct([(c, pa.int64()) for c in STATS])
+    at = docs.columns.index(text_col)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols = list(zip(*map(text_stats, b.column(1).to_pylist())))
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], [id_col, *STATS])
+        rows = [dict(zip(STATS, text_stats(t))) for t in b.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], [*b.schema.names, name])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), run, f"{id_col} {kind}, " + ", ".join(f"{c} bigint" for c in STATS))
+    fields = [T.StructField(c, T.LongType()) for c in STATS]
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType(fields))])
+    return map_batches(docs, run, schema)
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
-                min_posterior: float = 0.5) -> DataFrame:
-    """One row per input row: statistics, one ``vote_<rule>`` per rule, ``posterior``,
-    ``base_failed`` and ``kept`` (= not base_failed and posterior >= min_posterior).
-
-    Null and empty texts have zero words and fail the base rule. Repeated rows are
-    judged alike. An empty table gives an empty result. Other columns are ignored.
-    """
-    table = stats_table(docs, id_col, text_col).select("*", *(r.vote().alias(f"vote_{r.name}") for r in rules))
-    table = written(table, "quality-votes")
+def _judged(table: DataFrame, rules: tuple[Rule, ...], min_posterior: float) -> DataFrame:
+    """``table`` (with statistics and votes) with posterior, base_failed and kept, by
+    the model of its vote patterns (at most 3^rules rows reach the driver)."""
     votes = [f"vote_{r.name}" for r in rules]
-    # at most 3^rules patterns
     seen = table.where("n_words > 0").groupBy(*votes).count().collect()
     pats = np.array([[r[v] for v in votes] for r in seen], dtype=np.int8).reshape(-1, len(votes))
     model = fit_votes(pats, np.array([r["count"] for r in seen], dtype=float))
@@ -127,3 +123,26 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (table.withColumn("posterior", model.posterior([F.col(v) for v in votes]))
             .withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= min_posterior)))
+
+
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
+                min_posterior: float = 0.5) -> DataFrame:
+    """One row per input row: the id, statistics, one ``vote_<rule>`` per rule,
+    ``posterior``, ``base_failed`` and ``kept`` (= not base_failed and posterior >=
+    min_posterior).
+
+    Null and empty texts have zero words and fail the base rule. Repeated rows are
+    judged alike. An empty table gives an empty result. Other columns are ignored.
+    """
+    table = with_stats(docs.select(id_col, text_col), text_col).select(id_col, "_stats.*")
+    table = table.select("*", *(r.vote().alias(f"vote_{r.name}") for r in rules))
+    return _judged(written(table, "quality-votes"), rules, min_posterior)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_posterior: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, unchanged, that :func:`apply_rules` keeps. Texts are read
+    twice (for the vote patterns and for the verdict) rather than shuffled or copied."""
+    table = with_stats(docs, text_col)
+    rows = F.struct(*(table[c] for c in docs.columns)).alias("_row")
+    table = table.select(rows, "_stats.*").select("*", *(r.vote().alias(f"vote_{r.name}") for r in rules))
+    return _judged(table, rules, min_posterior).where("kept").select("_row.*")
