@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,48 +31,165 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class ByteTokenizer:
-    """Token ids of a byte-level BPE vocabulary file, as little-endian unsigned 32-bit bytes.
+    """Token ids of a byte-level BPE vocabulary file (read by ``tokenizers``).
 
-    The file is read by ``tokenizers``; ``tiktoken`` merges the same ranks faster.
-    White space never joins tokens of two words but for one leading space, so the ids
-    of a space-and-word run do not depend on its neighbours and are kept in a bounded
-    cache. Texts with a character that only some white-space classes hold take the
-    direct way.
+    White space joins a word's tokens only as one leading space, so the ids of a run
+    " word" do not depend on its neighbours. A chunk of texts is cut into such runs with
+    array operations; each run is looked up by a 64-bit hash, and only runs not met
+    before are tokenised (by ``tiktoken``, which merges the same ranks faster). Texts
+    with rare white space, on which pattern dialects differ, are tokenised whole.
     """
 
-    _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-    _RUNS = regex.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-    _ODD = regex.compile("[\x1c-\x1f᠎​﻿]")
-
-    def __init__(self, path: str, cache_entries: int = 300_000):
-        import re
+    BOUNDARY = 0xFF  # no byte of UTF-8
+    CHUNK = 1 << 20
 
+    def __init__(self, path: str, max_runs: int = 1_500_000):
         import tiktoken
         from tokenizers import Tokenizer
 
-        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
         back = _byte_characters()
         ranks = {}
-        for token, i in vocab.items():
-            try:
+        for token, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=False).items():
+            if all(c in back for c in token):  # others are added tokens: ordinary text here
                 ranks[bytes(back[c] for c in token)] = i
-            except KeyError:  # an added token, such as the end of text: ordinary text here
-                continue
+        ranks = {k: v for k, v in ranks.items() if k != b"<|endoftext|>"}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-        self.cache_entries = cache_entries
-        self.runs = re.compile(self._RUNS.pattern)
-
-    def ids(self, text: str) -> bytes:
-        if self._ODD.search(text):
-            return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
-        cache, parts = self.cache, self.runs.findall(text)
-        for p in set(parts).difference(cache):
-            cache[p] = np.array(self.encoding.encode_ordinary(p), dtype="<u4").tobytes()
-        out = b"".join([cache[p] for p in parts])
-        if len(cache) > self.cache_entries:
-            cache.clear()
-        return out
+        self.newline = self.encoding.encode_ordinary("\n")[0]
+        self.max_runs = max_runs
+        self.kind = np.zeros(256, np.uint8)
+        self.kind[[9, 10, 11, 12, 13, 32]] = 1
+        self.kind[self.BOUNDARY] = 2
+        self.odd = np.zeros(256, bool)
+        self.odd[[0x1C, 0x1D, 0x1E, 0x1F, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+        rng = np.random.default_rng(20)
+        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
+        self.powers = self.inverse = np.zeros(0, np.uint64)
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.off = np.zeros(0, np.int64)
+        self.len = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        out: list[np.ndarray] = []
+        chunk: list[bytes] = []
+        size = 0
+        for t in texts:
+            raw = t.encode("utf-8", "replace")
+            chunk.append(raw)
+            size += len(raw)
+            if size > self.CHUNK:
+                out += self._chunk(chunk)
+                chunk, size = [], 0
+        return out + (self._chunk(chunk) if chunk else [])
+
+    def _whole(self, raw: bytes) -> np.ndarray:
+        return np.array([*self.encoding.encode_ordinary(raw.decode()), END], dtype=np.uint32)
+
+    def _chunk(self, raws: list[bytes]) -> list[np.ndarray]:
+        end = bytes([self.BOUNDARY])
+        joined = end.join(raws) + end
+        a = np.frombuffer(joined, np.uint8)
+        odd = self.odd[a]
+        odd[:-1] |= (a[:-1] == 0xC2) & ((a[1:] == 0x85) | (a[1:] == 0xA0))
+        if odd.any():
+            ends = np.flatnonzero(a == self.BOUNDARY)
+            own = set(np.searchsorted(ends, np.flatnonzero(odd)).tolist())
+            rest = iter(self._chunk([r for i, r in enumerate(raws) if i not in own]) if len(own) < len(raws) else ())
+            return [self._whole(r) if i in own else next(rest) for i, r in enumerate(raws)]
+        start, stop = self._runs(a)
+        h = self._hashes(a, start, stop)
+        uniq, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, uniq)
+        new = np.ones(len(uniq), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != uniq[inside]
+        if new.any():
+            if len(self.keys) + int(new.sum()) > self.max_runs:
+                self.reset()
+                new[:] = True
+            self._learn(joined, a, uniq[new], start[first[new]], stop[first[new]])
+            at = np.searchsorted(self.keys, uniq)
+        at = at[inv]
+        n, off = self.len[at], self.off[at]
+        total = np.cumsum(n)
+        flat = self.pool[np.repeat(off - (total - n), n) + np.arange(int(total[-1]))]
+        return np.split(flat, total[a[start] == self.BOUNDARY][:-1])
+
+    def _runs(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs that tile the bytes: a word with one leading space, white space by the
+        pattern's rule (all but the last character before a word; all at a text's end),
+        and each boundary."""
+        kind = self.kind[a]
+        cut = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == 2)) + 1
+        rs = np.concatenate(([0], cut))
+        re = np.concatenate((cut, [len(a)]))
+        rk = kind[rs]
+        blank = rk == 1
+        before_word = blank & (np.append(rk[1:], 2) == 0)
+        space = a[re - 1] == 32
+        word = rk == 0
+        spaced = word & np.concatenate(([False], (blank & space)[:-1]))
+        first = np.zeros(len(a), bool)
+        first[rs[rk == 2]] = True
+        first[rs[word & ~spaced]] = True
+        first[rs[spaced] - 1] = True
+        first[rs[blank & ~before_word]] = True
+        first[rs[before_word & (re - rs > 1)]] = True
+        first[re[before_word & ~space] - 1] = True
+        start = np.flatnonzero(first)
+        return start, np.append(start[1:], len(a))
+
+    def _hashes(self, a: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        if len(self.powers) < len(a):
+            self.powers = self._powers(self.base, len(a))
+            self.inverse = self._powers(pow(self.base, -1, 1 << 64), len(a))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.table[a] * self.powers[:len(a)])))
+        h = (sums[stop] - sums[start]) * self.inverse[start]
+        h ^= (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+        return h * np.uint64(0xBF58476D1CE4E5B9)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.ones(n, np.uint64)
+        out[1:] = np.uint64(base & ((1 << 64) - 1))
+        return np.multiply.accumulate(out)
+
+    def _learn(self, joined: bytes, a: np.ndarray, keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        is_word = self.kind[a[stop - 1]] == 0
+        runs = [joined[s:e] for s, e in zip(start[is_word].tolist(), stop[is_word].tolist())]
+        # a line feed between two runs is a token of its own
+        got = np.array(self.encoding.encode_ordinary(b"\n".join(runs).decode()), dtype=np.uint32)
+        breaks = got == self.newline
+        if int(breaks.sum()) != max(0, len(runs) - 1):
+            raise ValueError("the vocabulary has a token that joins lines")
+        n_words = np.diff(np.concatenate(([-1], np.flatnonzero(breaks), [len(got)]))) - 1 if runs else np.zeros(0, np.int64)
+        blanks = [joined[s:e] for s, e in zip(start[~is_word].tolist(), stop[~is_word].tolist())]
+        rest = [[END] if r[0] == self.BOUNDARY else self.encoding.encode_ordinary(r.decode()) for r in blanks]
+        keys = np.concatenate((keys[is_word], keys[~is_word]))
+        n = np.concatenate((n_words, np.array([len(x) for x in rest], np.int64))).astype(np.int64)
+        ids = [got[~breaks], np.array([i for x in rest for i in x], np.uint32)]
+        all_keys = np.concatenate((self.keys, keys))
+        order = np.argsort(all_keys, kind="stable")
+        self.keys = all_keys[order]
+        self.off = np.concatenate((self.off, len(self.pool) + np.cumsum(n) - n))[order]
+        self.len = np.concatenate((self.len, n))[order]
+        self.pool = np.concatenate((self.pool, *ids))
+
+
+_TOKENIZERS: dict[str, ByteTokenizer] = {}
+
+
+def tokenizer(path: str) -> ByteTokenizer:
+    """One tokenizer per Python worker: its runs serve all tasks of that worker."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = ByteTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def _byte_characters() -> dict[str, int]:
@@ -139,20 +255,18 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, capacity:
     Only remainders need their ids later, unless ``with_ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ByteTokenizer(path)
-        end = np.array([END], dtype="<u4").tobytes()
+        tok = tokenizer(path)
         step = 4 * capacity
         for b in batches:
             doc, row, texts = (b.column(i).to_pylist() for i in range(3))
             rows: list[tuple] = []
             size = 0
-            for d, r, t in zip(doc, row, texts):
-                raw = tok.ids(t or "") + end
-                total = len(raw) // 4
+            for d, r, ids in zip(doc, row, tok.encode([t or "" for t in texts])):
+                raw = ids.astype("<u4").tobytes()
+                total = len(ids)
                 for at in range(0, len(raw), step):
                     piece = raw[at:at + step]
                     keep = with_ids or len(piece) < step
-                    # 16 bits are enough for the ids of a vocabulary below 65,536
                     rows.append((d, r, total, at // 4, len(piece) // 4, piece if keep else None, zlib.crc32(piece)))
                     size += len(piece) if keep else 0
                 if size > 8 << 20:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import language_codes, quality_rank, quality_rules, toxic_segments
+from . import language_codes, mixing, packing, quality_rank, quality_rules, toxic_segments
 from .common import held_out
 
 
@@ -37,5 +37,20 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_language_codes, op4_pairwise_quality, op7_toxic_segments)}
-ORACLES: dict[str, str] = {}
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def op10_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_language_codes, op4_pairwise_quality, op7_toxic_segments,
+                                   op8_source_mix, op10_balanced_packing)}
+ORACLES: dict[str, str] = {"op8_source_mix": mixing.oracle()}
