@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import language_codes, mixing, packing, quality_rank, quality_rules, toxic_segments
+from . import arc_convert, language_codes, mixing, packing, quality_rank, quality_rules, toxic_segments, url_sweep
 from .common import held_out
 
 
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept", "posterior")
 
 
+def op2_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_convert.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -30,6 +34,16 @@ def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+#: The rules of the query: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op5_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_sweep.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     r = toxic_segments.score_toxicity(docs, labels, 5, 0)
@@ -51,6 +65,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_language_codes, op4_pairwise_quality, op7_toxic_segments,
-                                   op8_source_mix, op10_balanced_packing)}
-ORACLES: dict[str, str] = {"op8_source_mix": mixing.oracle()}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_arc_convert, op3_language_codes, op4_pairwise_quality, op5_url_sweep,
+                                   op7_toxic_segments, op8_source_mix, op10_balanced_packing)}
+ORACLES: dict[str, str] = {
+    "op2_arc_convert": arc_convert.oracle(),
+    "op5_url_sweep": url_sweep.oracle(URL_RULES),
+    "op8_source_mix": mixing.oracle(),
+}
