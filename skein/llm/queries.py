@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import arc_convert, language_codes, mixing, packing, quality_rank, quality_rules, toxic_segments, url_sweep
+from . import arc_convert, language_codes, mixing, packing, quality_rank, quality_rules, rp_forest, toxic_segments, url_sweep
 from .common import held_out
 
 
@@ -55,6 +55,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -66,7 +70,7 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_arc_convert, op3_language_codes, op4_pairwise_quality, op5_url_sweep,
-                                   op7_toxic_segments, op8_source_mix, op10_balanced_packing)}
+                                   op7_toxic_segments, op8_source_mix, op9_projection_forest, op10_balanced_packing)}
 ORACLES: dict[str, str] = {
     "op2_arc_convert": arc_convert.oracle(),
     "op5_url_sweep": url_sweep.oracle(URL_RULES),
