@@ -94,3 +94,35 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, intercept: bool
             break
         w, best = w - t * step, new
     return w
+
+
+class RunHash:
+    """64-bit hashes of byte ranges of an array, all at once: polynomials over random
+    byte values modulo 2^64, mixed with the range's length."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
+        self.powers = self.inverse = np.zeros(0, np.uint64)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.ones(n, np.uint64)
+        out[1:] = np.uint64(base & ((1 << 64) - 1))
+        return np.multiply.accumulate(out)
+
+    def __call__(self, a: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        if len(self.powers) < len(a):
+            self.powers = self._powers(self.base, len(a))
+            self.inverse = self._powers(pow(self.base, -1, 1 << 64), len(a))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.table[a] * self.powers[:len(a)])))
+        h = (sums[stop] - sums[start]) * self.inverse[np.minimum(start, max(0, len(a) - 1))]
+        return mixed(h ^ ((stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))

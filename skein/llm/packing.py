@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import RunHash
+
 CAPACITY = 2048
 END = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
@@ -61,10 +63,7 @@ class ByteTokenizer:
         self.kind[self.BOUNDARY] = 2
         self.odd = np.zeros(256, bool)
         self.odd[[0x1C, 0x1D, 0x1E, 0x1F, 0xE1, 0xE2, 0xE3, 0xEF]] = True
-        rng = np.random.default_rng(20)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
-        self.powers = self.inverse = np.zeros(0, np.uint64)
+        self.hash = RunHash(20)
         self.reset()
 
     def reset(self) -> None:
@@ -102,7 +101,7 @@ class ByteTokenizer:
             rest = iter(self._chunk([r for i, r in enumerate(raws) if i not in own]) if len(own) < len(raws) else ())
             return [self._whole(r) if i in own else next(rest) for i, r in enumerate(raws)]
         start, stop = self._runs(a)
-        h = self._hashes(a, start, stop)
+        h = self.hash(a, start, stop)
         uniq, first, inv = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, uniq)
         new = np.ones(len(uniq), bool)
@@ -144,22 +143,6 @@ class ByteTokenizer:
         start = np.flatnonzero(first)
         return start, np.append(start[1:], len(a))
 
-    def _hashes(self, a: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        if len(self.powers) < len(a):
-            self.powers = self._powers(self.base, len(a))
-            self.inverse = self._powers(pow(self.base, -1, 1 << 64), len(a))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.table[a] * self.powers[:len(a)])))
-        h = (sums[stop] - sums[start]) * self.inverse[start]
-        h ^= (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-        return h * np.uint64(0xBF58476D1CE4E5B9)
-
-    @staticmethod
-    def _powers(base: int, n: int) -> np.ndarray:
-        out = np.ones(n, np.uint64)
-        out[1:] = np.uint64(base & ((1 << 64) - 1))
-        return np.multiply.accumulate(out)
-
     def _learn(self, joined: bytes, a: np.ndarray, keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
         is_word = self.kind[a[stop - 1]] == 0
         runs = [joined[s:e] for s, e in zip(start[is_word].tolist(), stop[is_word].tolist())]

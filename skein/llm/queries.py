@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import arc_convert, language_codes, mixing, packing, quality_rank, quality_rules, rp_forest, toxic_segments, url_sweep
+from . import arc_convert, language_codes, mixing, ngram_rtree, packing, quality_rank, quality_rules, rp_forest, toxic_segments, url_sweep
 from .common import held_out
 
 
@@ -44,6 +44,10 @@ def op5_url_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_sweep.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_rtree.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     r = toxic_segments.score_toxicity(docs, labels, 5, 0)
@@ -70,7 +74,7 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_arc_convert, op3_language_codes, op4_pairwise_quality, op5_url_sweep,
-                                   op7_toxic_segments, op8_source_mix, op9_projection_forest, op10_balanced_packing)}
+                                   op6_count_rtree, op7_toxic_segments, op8_source_mix, op9_projection_forest, op10_balanced_packing)}
 ORACLES: dict[str, str] = {
     "op2_arc_convert": arc_convert.oracle(),
     "op5_url_sweep": url_sweep.oracle(URL_RULES),
