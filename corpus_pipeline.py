@@ -7,10 +7,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skein.llm import quality_rank, quality_rules
+from skein.llm import mixing, ngram_rtree, packing, quality_rank, quality_rules
 from skein.llm.common import written
+from skein.llm.queries import tokenizer_path
 from skein.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,9 +26,31 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
-STAGES = [("quality classifier", classify), ("quality rules", judge)]
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near copies the first document stays."""
+    return ngram_rtree.keep_one(docs.select(*COLUMNS))
 
-#: Learned scores, hash order and token ids have no SQL form.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources to target weights: documents, or the blocks of words taken of them, as
+    often as the mix takes them."""
+    return mixing.mix_documents(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the pieces of all documents in sequences, with their token ids."""
+    return packing.pack_documents(docs.select(*COLUMNS), tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", judge),
+    ("n-gram jaccard join", deduplicate),
+    ("source mixing", mix),
+    ("packing", pack),
+]
+
+#: Learned scores and token ids have no SQL form.
 ORACLE_SQL = None
 
 
