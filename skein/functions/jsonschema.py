@@ -10,14 +10,14 @@ They are compiled once, on the driver, into a ``Column`` over a ``VARIANT``
   ``max_decimals`` are not checked unless ``check_all``).
 * :func:`strict_regex` / :func:`is_strict` - would the schema grammar have
   produced this exact text (keys in required order, no optional keys, no
-  whitespace, numbers start with 1-9, arrays never empty and up to max+1
-  items)? Regular for a finite schema: one anchored regex plus value checks.
+  whitespace, numbers start with 1-9 and grow by the rules of :func:`_grown`,
+  arrays never empty and up to max+1 items)? Regular for a finite schema but for
+  the numbers: one anchored regex plus value checks.
 * :func:`lexeme` - JSON lexeme class of a token string.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Mapping
 from typing import Any
@@ -27,15 +27,7 @@ from pyspark.sql import functions as F
 
 Schema = Mapping[str, Any]
 U64_MAX = 18446744073709551615
-
-
-def load_schema(text_or_path: str) -> Schema:
-    """A schema from JSON text or from a ``.json`` file path."""
-    s = text_or_path.strip()
-    if s.startswith("{"):
-        return json.loads(s)
-    with open(text_or_path, encoding="utf-8") as fh:
-        return json.load(fh)
+U32_MAX = 4294967295
 
 
 def _kind(v: Column) -> Column:
@@ -47,9 +39,39 @@ def _is_number(v: Column) -> Column:
     return k.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
 
 
-def _valid(schema: Schema, v: Column, check_all: bool) -> Column:
+def _grown(txt: Column, schema: Schema) -> Column:
+    """Whether a number literal can be written character by character: a first digit
+    is within [min, max] unless a minus precedes it; a literal grows on only while its
+    value so far lies strictly between min and max and below 2^32 - 1, to one within
+    [min, max]. Values move one way as digits follow, so the first digit, the literal
+    without its last character, and the whole decide."""
+    lo = None if schema.get("min") is None else F.lit(float(schema["min"]))
+    hi = None if schema.get("max") is None else F.lit(float(schema["max"]))
+
+    def inside(v: Column, strict: bool) -> Column:
+        ok = F.lit(True)
+        if lo is not None:
+            ok = ok & ((v > lo) if strict else (v >= lo))
+        if hi is not None:
+            ok = ok & ((v < hi) if strict else (v <= hi))
+        return ok
+
+    value = txt.try_cast("double")
+    before = F.substring(txt, F.lit(1), F.length(txt) - 1).try_cast("double")
+    signed = F.startswith(txt, F.lit("-"))
+    head = F.substring(txt, F.lit(1), F.when(signed, 2).otherwise(1))
+    first = head.try_cast("double")
+    whole = txt == head
+    grows = inside(first, True) & inside(before, True) & (before < U32_MAX) & inside(value, False)
+    ok = F.when(whole, signed | inside(value, False)).otherwise(grows & (signed | inside(first, False)))
+    return txt.rlike(r"^-?[1-9][0-9]*(\.[0-9]+)?$") & ok
+
+
+def _valid(schema: Schema, v: Column, check_all: bool, grammar: bool = False) -> Column:
     t = schema.get("type")
     k = _kind(v)
+    if t == "number" and grammar:
+        return F.coalesce(_is_number(v) & _grown(F.try_variant_get(v, "$", "string"), schema), F.lit(False))
     if t == "boolean":
         return k == "BOOLEAN"
     if t == "null":
@@ -86,7 +108,7 @@ def _valid(schema: Schema, v: Column, check_all: bool) -> Column:
             cond = cond & (n >= int(schema["min_items"]))
         if schema.get("max_items") is not None:
             cond = cond & (n <= int(schema["max_items"]))
-        cond = cond & F.forall(items, lambda x: _valid(schema["items"], x, check_all))
+        cond = cond & F.forall(items, lambda x: _valid(schema["items"], x, check_all, grammar))
         return F.coalesce(cond, F.lit(False))
     if t == "object":
         m = v.try_cast("map<string,variant>")
@@ -99,7 +121,7 @@ def _valid(schema: Schema, v: Column, check_all: bool) -> Column:
         cond = cond & F.forall(keys, lambda key: F.array_contains(allowed, key))
         for p, sub in props.items():
             val = F.try_element_at(m, F.lit(p))
-            cond = cond & (val.isNull() | _valid(sub, val, check_all))
+            cond = cond & (val.isNull() | _valid(sub, val, check_all, grammar))
         return F.coalesce(cond, F.lit(False))
     raise ValueError(f"unknown schema type {t!r}")
 
@@ -124,7 +146,7 @@ def _rx(schema: Schema) -> str:
         return "null"
     if t == "number":
         md = int(schema.get("max_decimals") or 0)
-        neg = "-?" if schema.get("min") is None or float(schema["min"]) < 0 else ""
+        neg = "-?" if any(schema.get(b) is None or float(schema[b]) < 0 for b in ("min", "max")) else ""
         frac = rf"(?:\.[0-9]{{1,{md}}})?" if md > 0 else ""
         return neg + "[1-9][0-9]*" + frac
     if t == "string":
@@ -159,10 +181,12 @@ def _grammar_schema(schema: Schema) -> Schema:
 
 def is_strict(text: Column | str, schema: Schema) -> Column:
     col = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(col.rlike(strict_regex(schema)) & is_valid(col, _grammar_schema(schema), check_all=True),
+    v = F.try_parse_json(col)
+    return F.coalesce(col.rlike(strict_regex(schema)) & v.isNotNull() & _valid(_grammar_schema(schema), v, True, grammar=True),
                       F.lit(False))
 
 
+#: The lexeme classes.
 LEXEMES = {
     "true": "true", "false": "false", "null": "null", ":": "colon", ".": "decimal",
     "{": "curly_open", "}": "curly_close", "[": "bracket_open", "]": "bracket_close",

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import checked_broadcast
-
 # Characters a free string token may not contain.
 STRING_FORBIDDEN = ('"', "\n", "\t", "\r")
 
@@ -18,7 +16,7 @@ def enum_remainders(states: DataFrame, values: DataFrame, max_length: int | None
     """For each typed prefix (state) the rest of every enum value it can still
     become (``remainder``; ``""`` means the value may end here). Values longer
     than ``max_length`` bytes are impossible. ``values`` is the enum (a schema's
-    literal list), broadcast after a size check."""
+    literal list)."""
     vals = values.select(F.col(value_col).alias("__v")).distinct()
     if max_length is not None:
         vals = vals.filter(F.octet_length("__v") <= max_length)
@@ -26,7 +24,7 @@ def enum_remainders(states: DataFrame, values: DataFrame, max_length: int | None
     # all of its prefixes (as many as its length) and joined on equality
     pref = vals.select("__v", F.explode(F.transform(F.sequence(F.lit(0), F.length("__v")),
                                                     lambda i: F.substring("__v", 1, i))).alias("__p"))
-    j = states.join(checked_broadcast(pref, 1_000_000), F.col(state_col) == F.col("__p"))
+    j = states.join(pref, F.col(state_col) == F.col("__p"))
     return j.select(state_col, F.expr(f"substring(__v, length({state_col}) + 1)").alias("remainder"),
                     (F.length("__v") == F.length(state_col)).alias("may_end"))
 
@@ -47,10 +45,12 @@ def vocab_mask(remainders: DataFrame, vocab: DataFrame, state_col: str = "state"
     return pref.join(v, "__p").select(state_col, F.col("__p").alias(token_col))
 
 
-def any_string_mask(vocab: DataFrame, remaining: int, token_col: str = "token") -> DataFrame:
-    """Tokens allowed inside a free string with ``remaining`` bytes left."""
-    return vocab.filter((F.length(token_col) > 0) & (F.octet_length(token_col) <= remaining)
-                        & ~F.col(token_col).rlike('["\\n\\t\\r]'))
+def any_string_mask(vocab: DataFrame, remaining: int | None = None, token_col: str = "token") -> DataFrame:
+    """Tokens allowed inside a free string with ``remaining`` bytes left (None: no
+    maximum), and the closing quote, which always is."""
+    fits = F.lit(True) if remaining is None else F.octet_length(token_col) <= remaining
+    inside = (F.length(token_col) > 0) & fits & ~F.col(token_col).rlike('["\\n\\t\\r]')
+    return vocab.filter(inside | (F.col(token_col) == '"'))
 
 
 def prefixes(values: DataFrame, value_col: str = "value", out_col: str = "state") -> DataFrame:

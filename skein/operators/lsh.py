@@ -2,16 +2,16 @@
 
 Every vector gets one ``bits``-bit sign code per table (native dot products
 with fixed hyperplanes). A query's candidates are the memory rows sharing its
-code in any table. Each bucket is scored by the exact top-n kernel of
-``recall`` inside cogroup tasks (a task holds several buckets, compared only
-within a code), so a bucket never emits all its pairs; buckets larger than
-``block_rows`` are split into sub-blocks
-(counts per bucket are a tiny table: tables × 2^bits rows), so a hot bucket is
-spread over many tasks. Candidates are then merged exactly per query.
+code, or one that differs in a bit, in any table. Each bucket is scored by the exact
+top-n kernel of ``recall`` inside cogroup tasks, so a bucket never emits all its pairs;
+where either side of a bucket is larger than ``block_rows`` it is split, so a hot bucket
+is spread over a grid of tasks. Candidates are then merged exactly per query.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,56 +40,61 @@ def lsh_codes(vec: str, planes: np.ndarray) -> F.Column:
 
 
 def lsh_knn(queries: DataFrame, memory: DataFrame, n: int, *, query_key: str, memory_key: str,
-            dims: int, bits: int = 8, tables: int = 4, vec: str = "embedding",
-            block_rows: int = DEFAULT_BLOCK_ROWS, seed: int = 7) -> DataFrame:
+            dims: int, bits: int | None = None, tables: int = 8, vec: str = "embedding",
+            block_rows: int = DEFAULT_BLOCK_ROWS, bucket_rows: int = 256, seed: int = 7) -> DataFrame:
+    """``query_key, rank, memory_key, distance, found``: the best ``n`` among the
+    candidates of each query, and how many candidates were found (at most ``n``). A
+    query without any has one row, with a null rank and ``found`` 0.
+
+    ``bits`` (default: from the number of memory rows, so that a bucket holds about
+    ``bucket_rows``) is a code's length. A query looks at its own bucket and at those
+    that differ in one bit, in every table.
+    """
+    if bits is None:
+        bits = max(0, math.ceil(math.log2(max(1, memory.count() / bucket_rows))))
     planes = hyperplanes(dims, bits, tables, seed)
     # codes always have one entry per table; *_outer avoids an inferred
     # "size(codes) > 0" filter that would compute the codes twice
     q = queries.select(F.col(query_key).alias("__qid"), F.col(vec).alias("__qvec"),
-                       F.posexplode_outer(lsh_codes(vec, planes)).alias("__t", "__code"))
+                       F.posexplode_outer(lsh_codes(vec, planes)).alias("__t", "__own"))
+    probes = F.array(F.col("__own"), *[F.col("__own").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
+    q = q.withColumn("__code", F.explode(probes)).drop("__own")
     m = memory.select(F.col(memory_key).alias("__mid"), F.col(vec).alias("__vec"),
                       F.posexplode_outer(lsh_codes(vec, planes)).alias("__t", "__code"))
-    # bucket sizes → number of sub-blocks per bucket (bounded table, broadcast)
-    sizes = (m.groupBy("__t", "__code").agg(F.count(F.lit(1)).alias("__cnt"))
-             .select("__t", "__code", F.greatest(F.lit(1), F.ceil(F.col("__cnt") / block_rows)).cast("int")
-                     .alias("__nsub")))
-    m = (m.join(F.broadcast(sizes), ["__t", "__code"])
-         .withColumn("__sub", F.pmod(F.xxhash64("__mid"), F.col("__nsub")).cast("int")).drop("__nsub"))
-    q = (q.join(F.broadcast(sizes), ["__t", "__code"])
-         .withColumn("__sub", F.explode(F.sequence(F.lit(0), F.col("__nsub") - 1))).drop("__nsub"))
+
+    def subs(side: DataFrame, out: str) -> DataFrame:
+        return side.groupBy("__t", "__code").agg(
+            F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias(out))
+
+    # blocks per bucket and side (tables x 2^bits rows): a hot bucket becomes a grid of tasks
+    sizes = subs(m, "__ms").join(subs(q, "__qs"), ["__t", "__code"])
+    m = (m.join(sizes, ["__t", "__code"]).withColumn("__sub", F.pmod(F.xxhash64("__mid"), F.col("__ms")).cast("int"))
+         .withColumn("__qsub", F.explode(F.sequence(F.lit(0), F.col("__qs") - 1))).drop("__ms", "__qs"))
+    q = (q.join(sizes, ["__t", "__code"]).withColumn("__qsub", F.pmod(F.xxhash64("__qid"), F.col("__qs")).cast("int"))
+         .withColumn("__sub", F.explode(F.sequence(F.lit(0), F.col("__ms") - 1))).drop("__ms", "__qs"))
     qtype = queries.schema[query_key].dataType
     mtype = memory.schema[memory_key].dataType
     schema = T.StructType([T.StructField("qid", qtype), T.StructField("mid", mtype),
                            T.StructField("distance", T.DoubleType())])
 
-    # Several buckets share one cogroup task (key = table, code mod n_groups,
-    # sub-block): the per-task overhead is paid per group, not per bucket, and
-    # rows of different codes in a task are still only compared within a code.
-    n_groups = max(1, min(1 << bits, queries.sparkSession.sparkContext.defaultParallelism * 4))
-    q = q.withColumn("__g", F.pmod(F.col("__code"), F.lit(n_groups)))
-    m = m.withColumn("__g", F.pmod(F.col("__code"), F.lit(n_groups)))
-
     def cokernel(qpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(qpdf) and len(mpdf):
-            mpdf = mpdf.sort_values("__mid", kind="stable")
-            qcodes, mcodes = qpdf["__code"].to_numpy(), mpdf["__code"].to_numpy()
-            for code in np.intersect1d(qcodes, mcodes):
-                qs, ms = qpdf[qcodes == code], mpdf[mcodes == code]
-                Q = np.stack(qs["__qvec"].to_numpy()).astype(np.float64)
-                M = np.stack(ms["__vec"].to_numpy()).astype(np.float64)
-                idx, val = _top_n(Q, M, n, "l2")
-                k = idx.shape[1]
-                parts.append(pd.DataFrame({"qid": np.repeat(qs["__qid"].to_numpy(), k),
-                                           "mid": ms["__mid"].to_numpy()[idx.ravel()],
-                                           "distance": val.ravel()}))
-        if not parts:
+        if not len(qpdf) or not len(mpdf):
             return pd.DataFrame({"qid": [], "mid": [], "distance": []})
-        return pd.concat(parts, ignore_index=True)
+        mpdf = mpdf.sort_values("__mid", kind="stable")
+        Q = np.stack(qpdf["__qvec"].to_numpy()).astype(np.float64)
+        M = np.stack(mpdf["__vec"].to_numpy()).astype(np.float64)
+        idx, val = _top_n(Q, M, n, "l2")
+        k = idx.shape[1]
+        return pd.DataFrame({"qid": np.repeat(qpdf["__qid"].to_numpy(), k), "mid": mpdf["__mid"].to_numpy()[idx.ravel()],
+                             "distance": val.ravel()})
 
-    cand = (q.groupBy("__t", "__g", "__sub").cogroup(m.groupBy("__t", "__g", "__sub"))
-            .applyInPandas(cokernel, schema))
+    keys = ["__t", "__code", "__sub", "__qsub"]
+    cand = q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(cokernel, schema)
     best = cand.groupBy("qid", "mid").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col("mid").asc())
-    return (best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-            .select(F.col("qid").alias(query_key), "rank", F.col("mid").alias(memory_key), "distance"))
+    best = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    best = best.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("qid")))
+    asked = queries.select(F.col(query_key).alias("__asked")).distinct()
+    return (asked.join(best, F.col("__asked") == F.col("qid"), "left")
+            .select(F.col("__asked").alias(query_key), "rank", F.col("mid").alias(memory_key), "distance",
+                    F.coalesce("found", F.lit(0)).alias("found")))

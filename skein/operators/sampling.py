@@ -8,20 +8,21 @@ vocabulary entry: windows over ``group_id`` sort bounded groups.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SAMPLER_REPEAT_LAST_N, SAMPLER_REPEAT_PENALTY, SAMPLER_TEMPERATURE
-from ..sources.tables import checked_broadcast
 
 G, C, S = "group_id", "candidate", "score"
 
 
 def flat_bias(cands: DataFrame, bias: DataFrame) -> DataFrame:
-    """``score + bias`` for candidates listed in ``bias(candidate, bias)``.
-    The bias list is per task (at most one row per vocabulary entry): broadcast
-    after a size check."""
-    return (cands.join(checked_broadcast(bias), C, "left")
+    """``score + bias`` for candidates listed in ``bias([group_id,] candidate, bias)``:
+    one list for all groups, or one per group (request and step). The join strategy
+    is left to adaptive execution, which sees the list's size."""
+    return (cands.join(bias, [G, C] if G in bias.columns else [C], "left")
             .withColumn(S, F.col(S) + F.coalesce(F.col("bias"), F.lit(0.0)))
             .drop("bias"))
 
@@ -85,11 +86,18 @@ def weighted_draw(cands: DataFrame, seed: int = 0) -> DataFrame:
             .agg(F.max_by(C, "__key").alias(C)))
 
 
-def single_candidate(cands: DataFrame, bias: DataFrame) -> DataFrame:
-    """Groups with exactly one positively biased candidate take it without
-    scoring (``chosen``); other groups go through the chain (``scored``)."""
-    pos = cands.join(checked_broadcast(bias.filter(F.col("bias") > 0)), C, "inner")
-    per = pos.groupBy(G).agg(F.count(F.lit(1)).alias("n_pos"), F.min(C).alias("forced"))
-    return (cands.select(G).distinct().join(per, G, "left")
-            .select(G, F.when(F.col("n_pos") == 1, F.col("forced")).alias("forced"),
-                    (F.col("n_pos") == 1).alias("shortcut")).fillna(False, ["shortcut"]))
+def single_candidate(cands: DataFrame, bias: DataFrame, private: Sequence[int] = ()) -> DataFrame:
+    """A group whose bias list has exactly one entry, a positive one, takes that
+    candidate without scoring (``forced``); other groups go through the chain. Private
+    candidates leave the list first. ``bias([group_id,] candidate, bias)``: one list
+    for all groups or one per group; a listed candidate need not be scored."""
+    listed = bias.filter(~F.col(C).isin(list(private))) if private else bias
+    groups = cands.select(G).distinct()
+    if G in bias.columns:
+        only = F.when((F.count(F.lit(1)) == 1) & (F.min("bias") > 0), F.min(C))
+        joined = groups.join(listed.groupBy(G).agg(only.alias("forced")), G, "left")
+    else:
+        two = listed.select(C, "bias").limit(2).collect()  # is there exactly one?
+        forced = two[0][C] if len(two) == 1 and (two[0]["bias"] or 0) > 0 else None
+        joined = groups.withColumn("forced", F.lit(forced).cast(cands.schema[C].dataType))
+    return joined.select(G, "forced", F.col("forced").isNotNull().alias("shortcut"))

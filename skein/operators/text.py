@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, TOKEN_PATTERN
 from ..functions import text as T
+from ..session import unique_subdir
 from ..sources.tables import spread
 
 
@@ -38,10 +39,6 @@ def clean(df: DataFrame, text_col: str = "text", patterns: Sequence[str] | None
     return df.withColumn(out_col, T.prefilter(F.col(text_col), pats))
 
 
-def with_tokens(df: DataFrame, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
-    return df.withColumn(out_col, T.tokenize(F.col(text_col)))
-
-
 def token_rows(df: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
     """One row per token: ``keys..., pos (0-based), token``."""
     # *_outer generators: Catalyst infers no "size(...) > 0" filter from them,
@@ -57,8 +54,9 @@ def vocabulary(tokens: DataFrame, token_col: str = "token", partitions: int | No
     A global ``dense_rank`` would put the whole vocabulary in one task. Instead
     the distinct tokens are range-partitioned and sorted; each partition numbers
     its rows locally (``monotonically_increasing_id`` minus the partition base)
-    and adds the count of all earlier partitions. Only one row per partition
-    reaches the small offsets table.
+    and adds the count of all earlier partitions. The numbered rows are written
+    once, so that counts and rows are of the same ranges; only one row per
+    partition reaches the small offsets table.
     """
     distinct = tokens.select(F.col(token_col).alias("token")).distinct()
     n = partitions or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -67,6 +65,10 @@ def vocabulary(tokens: DataFrame, token_col: str = "token", partitions: int | No
         .withColumn("pid", F.spark_partition_id())
         .withColumn("local", F.monotonically_increasing_id() - F.shiftleft(F.col("pid").cast("long"), 33))
     )
+    spark = tokens.sparkSession
+    path = unique_subdir(spark, "vocabulary")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"))
     offsets = counts.select(
         "pid",
@@ -76,6 +78,11 @@ def vocabulary(tokens: DataFrame, token_col: str = "token", partitions: int | No
         "token", (F.col("base") + F.col("local") + 1).alias("token_id"))
 
 
+def token_ids(rows: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Token rows with the ``token_id`` of a vocabulary (null: not in it)."""
+    return rows.join(vocab.select("token", "token_id"), "token", "left").select(*rows.columns, "token_id")
+
+
 def chunk(df: DataFrame, keys: Sequence[str], config: ChunkConfig = ChunkConfig(),
           text_col: str = "text", clean_text: bool = True) -> DataFrame:
     """Ingest chunking: pre-filter → tokenise → hierarchical chunks →

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..sources.tables import spread
-from .prefix import running_sum
+from .prefix import join_null_safe, running_sum
 
 
 def response_tokens(conv: DataFrame) -> DataFrame:
@@ -29,6 +29,11 @@ def response_token_rows(conv: DataFrame) -> DataFrame:
         .filter(F.col("token").isNotNull())
 
 
+def responses(conv: DataFrame) -> DataFrame:
+    """The keys of all assistant turns, those without tokens included."""
+    return conv.filter(F.col("role") == "assistant").select("conv_id", "turn")
+
+
 def _stop_step(k: Column, tok: Column, stop: str) -> tuple[Column, Column]:
     """One step of token-aligned stop matching for one stop string.
 
@@ -59,23 +64,16 @@ def _stop_step(k: Column, tok: Column, stop: str) -> tuple[Column, Column]:
     return completed, new_k
 
 
-def stop_step_py(k: int, tok: bytes, stop: bytes) -> tuple[bool, int]:
-    """Plain-Python form of one stop-matching step (bytes), used by the live
-    stream operator: returns (completed, new offset). A token longer than the
-    rest of the stop completes it and its tail is matched again from 0; an
-    exact completion stays complete; a mismatch with progress retries the
-    token from 0."""
-    if k >= len(stop):
-        return True, k
-    rem = stop[k:]
-    ov = min(len(rem), len(tok))
-    if rem.startswith(tok[:ov]):
-        k += ov
-        if len(tok) > len(rem):
-            return True, stop_step_py(0, tok[len(rem):], stop)[1]
-        return k == len(stop), k
-    if k != 0:
-        return stop_step_py(0, tok, stop)
+def stop_advance(matched: int, token: bytes, stop: bytes) -> tuple[bool, int]:
+    """:func:`_stop_step` for one row at a time (the live stream): whether ``token``
+    completes ``stop``, and how much of it is matched after. What follows a
+    completion is not tracked: the response ends there."""
+    for start in dict.fromkeys((matched, 0)):
+        rest = stop[start:]
+        if token.startswith(rest):
+            return True, len(stop)
+        if rest.startswith(token):
+            return False, start + len(token)
     return False, 0
 
 
@@ -173,11 +171,17 @@ def swallow_private(responses: DataFrame, private_tokens: Sequence[str], tokens_
     return responses.withColumn(tokens_col, F.filter(F.col(tokens_col), lambda t: ~F.array_contains(priv, t)))
 
 
-def response_text(token_rows: DataFrame, keys: Sequence[str] = ("conv_id", "turn")) -> DataFrame:
-    """Concatenate token rows in position order into the response text."""
-    return token_rows.groupBy(*keys).agg(
+def response_text(token_rows: DataFrame, keys: Sequence[str] = ("conv_id", "turn"),
+                  all_responses: DataFrame | None = None) -> DataFrame:
+    """Concatenate token rows in position order into the response text. Given
+    ``all_responses`` (the keys), a response without rows gets an empty text."""
+    texts = token_rows.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))),
                                  lambda s: s["token"]), "").alias("text"))
+    if all_responses is None:
+        return texts
+    return join_null_safe(all_responses.select(*keys), texts, list(keys), "left").withColumn(
+        "text", F.coalesce("text", F.lit("")))
 
 
 def byte_pieces(texts: DataFrame, keys: Sequence[str], size: int, text_col: str = "text") -> DataFrame:

@@ -27,14 +27,45 @@ def json_is_valid(spark, sf):
     return e.select("event_id", J.is_valid("props", PROPS_SCHEMA).alias("valid"))
 
 
+#: Number bounds (min, max) whose grammars the strict query runs.
+BOUNDS = ((0, 50), (5, 50), (20, 50), (None, None), (0, None), (None, 3))
+
+
+def _number_schema(lo, hi):
+    return {"type": "object", "required": ["k"], "properties": {"k": {"type": "number", "min": lo, "max": hi}}}
+
+
+def _grammar_sql(lo, hi) -> str:
+    """A literal ``n`` (text) by the grammar's rules, prefix by prefix: every character
+    after the first needs all shorter prefixes strictly inside the bounds."""
+    def inside(v, strict):
+        ops = (">", "<") if strict else (">=", "<=")
+        return " AND ".join([f"{v} {op} {b}" for op, b in zip(ops, (lo, hi)) if b is not None] or ["true"])
+    minus = "-?" if any(b is None or b < 0 for b in (lo, hi)) else ""
+    head = "(CASE WHEN n LIKE '-%' THEN 2 ELSE 1 END)"
+    step = f"len(list_filter(range({head}, len(n)), lambda i: NOT ({inside('TRY_CAST(n[1:i] AS DOUBLE)', True)} AND TRY_CAST(n[1:i] AS DOUBLE) < 4294967295 " \
+           f"AND {inside('TRY_CAST(n[1:i+1] AS DOUBLE)', False)}))) = 0"
+    return (f"CASE WHEN regexp_full_match(n, '{minus}[1-9][0-9]*') THEN (n LIKE '-%' OR {inside('TRY_CAST(n[1:1] AS DOUBLE)', False)}) AND {step} "
+            f"ELSE false END")
+
+
 @query("json_strict",
-       "SELECT event_id, coalesce(regexp_full_match(t, '\\{\"k\":[1-9][0-9]*\\}') "
-       "AND json_extract(t, '$.k')::DOUBLE BETWEEN 0 AND 50, false) AS strict "
-       "FROM (SELECT event_id, replace(props, ' ', '') AS t FROM events)")
+       "WITH t AS (SELECT event_id, props, regexp_extract(props, '(-?[0-9]+)', 1) AS d FROM events),\n"
+       "v AS (SELECT event_id, props, unnest([d, '-' || d, d || '7', d || '000000000']) AS n, "
+       "unnest([0, 1, 2, 3])::BIGINT AS variant FROM t)\n"
+       "SELECT event_id, variant, regexp_full_match(props, '\\{\"k\":[1-9][0-9]*\\}') AS strict_raw, "
+       + ", ".join(f"{_grammar_sql(*b)} AS strict_{i}" for i, b in enumerate(BOUNDS)) + " FROM v")
 def json_strict(spark, sf):
+    """The payloads as they are (they hold a space, so the grammar rejects them), and
+    objects around numbers derived from them: as given, negated, and with digits added."""
     e = spread(table(spark, sf, "events").select("event_id", "props"))
-    return e.select("event_id", J.is_strict(F.replace(F.col("props"), F.lit(" "), F.lit("")),
-                                            PROPS_SCHEMA).alias("strict"))
+    d = F.regexp_extract("props", "(-?[0-9]+)", 1)
+    n = F.array(d, F.concat(F.lit("-"), d), F.concat(d, F.lit("7")), F.concat(d, F.lit("000000000")))
+    v = e.select("event_id", "props", F.posexplode(n).alias("variant", "n"))
+    text = F.concat(F.lit('{"k":'), F.col("n"), F.lit("}"))
+    return v.select("event_id", F.col("variant").cast("long").alias("variant"),
+                    J.is_strict("props", _number_schema(None, None)).alias("strict_raw"),
+                    *[J.is_strict(text, _number_schema(*b)).alias(f"strict_{i}") for i, b in enumerate(BOUNDS)])
 
 
 @query("json_lexeme",
@@ -88,8 +119,9 @@ STRING_REMAINING = 3
 @query("any_string_mask",
        f"SELECT DISTINCT token FROM (SELECT unnest({S.tokens('text')}) AS token FROM documents) "
        f"WHERE len(token) > 0 AND strlen(token) <= {STRING_REMAINING} "
-       "AND NOT regexp_matches(token, '[\"\\n\\t\\r]')")
+       "AND NOT regexp_matches(token, '[\"\\n\\t\\r]') UNION SELECT '\"' AS token")
 def any_string_mask(spark, sf):
     """Vocabulary tokens allowed inside a free JSON string with a few bytes left."""
-    vocab = ops.token_rows(table(spark, sf, "documents"), []).select("token").distinct()
-    return JM.any_string_mask(vocab, STRING_REMAINING)
+    vocab = ops.token_rows(table(spark, sf, "documents"), []).select("token")
+    quote = spark.range(1).select(F.lit('"').alias("token"))  # every vocabulary has it
+    return JM.any_string_mask(vocab.unionByName(quote).distinct(), STRING_REMAINING)

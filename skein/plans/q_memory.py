@@ -19,14 +19,21 @@ from .q_text import INGEST
 
 RECALL_N = 3
 COSINE_N = 3
-LSH_BITS = 6
-LSH_TABLES = 4
 
 
-def document_memory(spark: SparkSession, sf: str) -> DataFrame:
-    """The document memory: ingest chunks with hash embeddings."""
-    chunks = ops.chunk(table(spark, sf, "documents"), ["doc_id"], INGEST)
-    return E.hash_embed(chunks)
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_documents(spark: SparkSession, sf: str) -> VectorMemory:
+    """The document memory as a stored table, written once per application and input."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = unique_subdir(spark, "documents-memory")
+        docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+        mem = VectorMemory(spark, path, HASH_DIMS)
+        mem.store(E.hash_embed(ops.chunk(docs, ["doc_id", "source"], INGEST)))
+        _STORED[key] = path
+    return VectorMemory(spark, _STORED[key], HASH_DIMS)
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,53 +82,52 @@ def content_id_q(spark, sf):
     return table(spark, sf, "documents").select("doc_id", content_id(F.col("text")).alias("id"))
 
 
-def _labelled_chunks(spark, sf, stored: DataFrame | None = None) -> DataFrame:
-    """Chunks of the labelled documents. When the memory already holds the
-    documents' chunks (``stored``, a written table), they are read back from it
-    instead of being cleaned, chunked and embedded again."""
+def _labelled_chunks(spark, sf, stored: DataFrame) -> DataFrame:
+    """The stored chunks of the labelled documents, with negated vectors: a second
+    write that differs from the first."""
     labels = table(spark, sf, "labels").select("doc_id")
-    if stored is not None:
-        return stored.join(labels, "doc_id", "left_semi").select(
-            "doc_id", "chunk_no", "text", "n_tokens", "embedding")
-    docs = table(spark, sf, "documents").join(labels, "doc_id", "left_semi")
-    return E.hash_embed(ops.chunk(docs, ["doc_id"], INGEST))
+    return stored.join(labels, "doc_id", "left_semi").select(
+        "doc_id", "chunk_no", "text", "n_tokens",
+        F.transform("embedding", lambda x: -x).alias("embedding"))
+
+
+def _two_writes(spark, sf, mode: str) -> VectorMemory:
+    mem = VectorMemory(spark, unique_subdir(spark, f"memory-{mode}"), HASH_DIMS, mode=mode)
+    chunks = stored_documents(spark, sf).read().select("doc_id", "chunk_no", "text", "n_tokens", "embedding")
+    mem.store(chunks, order_by=["doc_id", "chunk_no"])
+    mem.store(_labelled_chunks(spark, sf, chunks), order_by=["doc_id", "chunk_no"])
+    return mem
 
 
 def _labelled_sql() -> str:
     return "(SELECT * FROM c_chunks WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 
+def _total():
+    """The sum of a (whole-numbered) hash embedding: tells a vector from its negative."""
+    return F.aggregate(F.transform("embedding", lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _writes_sql() -> str:
+    total = "list_sum(list_transform(vec, lambda x: x::BIGINT))::BIGINT"
+    return (f"h AS MATERIALIZED ({S.hash_dense('c_chunks', 'doc_id, chunk_no', 'text')}),\n"
+            f"w AS (SELECT c.text, 0::BIGINT AS batch, {total} AS total FROM c_chunks c JOIN h USING (doc_id, chunk_no) UNION ALL "
+            f"SELECT c.text, 1::BIGINT, -{total} FROM {_labelled_sql()} c JOIN h USING (doc_id, chunk_no))")
+
+
 @query("memory_append",
-       f"WITH RECURSIVE {_ingest_ctes()}\n"
-       f"SELECT {S.content_id('text')} AS id, text, 0::BIGINT AS batch FROM c_chunks UNION ALL "
-       f"SELECT {S.content_id('text')} AS id, text, 1::BIGINT AS batch FROM {_labelled_sql()}")
+       f"WITH RECURSIVE {_ingest_ctes()},\n{_writes_sql()}\n"
+       f"SELECT {S.content_id('text')} AS id, text, batch, total FROM w")
 def memory_append(spark, sf):
-    mem = VectorMemory(spark, unique_subdir(spark, "memory-append"), HASH_DIMS, mode="append")
-    mem.store(document_memory(spark, sf))
-    mem.store(_labelled_chunks(spark, sf, mem.read_batch(0)))
-    return mem.read().select("id", "text", F.col("batch").cast("long"))
+    return _two_writes(spark, sf, "append").read().select("id", "text", F.col("batch").cast("long"), _total().alias("total"))
 
 
 @query("memory_upsert",
-       f"WITH RECURSIVE {_ingest_ctes()}\n"
-       f"SELECT DISTINCT {S.content_id('text')} AS id, text FROM c_chunks")
+       f"WITH RECURSIVE {_ingest_ctes()},\n{_writes_sql()}\n"
+       f"SELECT {S.content_id('text')} AS id, text, max(batch) AS batch, arg_max(total, batch) AS total FROM w GROUP BY text")
 def memory_upsert(spark, sf):
-    mem = VectorMemory(spark, unique_subdir(spark, "memory-upsert"), HASH_DIMS, mode="upsert")
-    mem.store(document_memory(spark, sf))
-    mem.store(_labelled_chunks(spark, sf, mem.read_batch(0)))
-    return mem.read().select("id", "text")
-
-
-@query("memory_compact",
-       f"WITH RECURSIVE {_ingest_ctes()}\n"
-       f"SELECT DISTINCT {S.content_id('text')} AS id, text, 0::BIGINT AS batch FROM c_chunks")
-def memory_compact(spark, sf):
-    """Upsert log of two ingests compacted into one batch of a new epoch."""
-    mem = VectorMemory(spark, unique_subdir(spark, "memory-compact"), HASH_DIMS, mode="upsert")
-    mem.store(document_memory(spark, sf))
-    mem.store(_labelled_chunks(spark, sf, mem.read_batch(0)))
-    mem.compact()
-    return mem.read().select("id", "text", F.col("batch").cast("long"))
+    """The last write of each text wins: its batch and its vector."""
+    return _two_writes(spark, sf, "upsert").read().select("id", "text", F.col("batch").cast("long"), _total().alias("total"))
 
 
 @query("memory_forget",
@@ -129,21 +135,20 @@ def memory_compact(spark, sf):
        f"SELECT {S.content_id('text')} AS id, text, 0::BIGINT AS batch FROM {_labelled_sql()}")
 def memory_forget(spark, sf):
     mem = VectorMemory(spark, unique_subdir(spark, "memory-forget"), HASH_DIMS, mode="append")
-    mem.store(document_memory(spark, sf))
-    stored = mem.read_batch(0)
+    chunks = stored_documents(spark, sf).read().select("doc_id", "chunk_no", "text", "n_tokens", "embedding")
+    mem.store(chunks)
     mem.forget()
-    mem.store(_labelled_chunks(spark, sf, stored))
+    mem.store(_labelled_chunks(spark, sf, chunks))
     return mem.read().select("id", "text", F.col("batch").cast("long"))
 
 
 @query("memory_list",
        f"WITH RECURSIVE {_ingest_ctes()}\n"
-       f"SELECT d.source AS memory, count(*)::BIGINT AS n_rows FROM c_chunks c JOIN documents d USING (doc_id) "
-       f"GROUP BY d.source")
+       f"SELECT d.source AS memory, count(*)::BIGINT AS n_rows, 0::BIGINT AS last_batch FROM c_chunks c "
+       f"JOIN documents d USING (doc_id) GROUP BY d.source")
 def memory_list(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("memory"), "text")
-    chunks = ops.chunk(docs, ["doc_id", "memory"], INGEST)
-    return chunks.groupBy("memory").agg(F.count(F.lit(1)).alias("n_rows"))
+    """What is stored, by the source that it came from."""
+    return stored_documents(spark, sf).listing("source").withColumnRenamed("source", "memory")
 
 
 def _requested_memory():
@@ -177,8 +182,8 @@ def store_prompts(spark, sf):
        + f"SELECT item_id, rank::BIGINT AS rank, doc_id, chunk_no, round(distance, 4) AS distance FROM r "
          f"WHERE rank <= {RECALL_N}")
 def recall_l2(spark, sf):
-    hits = R.knn(benchmark_queries(spark, sf), document_memory(spark, sf), RECALL_N, query_key="item_id",
-                 tie_keys=["doc_id", "chunk_no"], metric="l2", dims=HASH_DIMS)
+    hits = stored_documents(spark, sf).recall(benchmark_queries(spark, sf), RECALL_N, query_key="item_id",
+                                              tie_keys=["doc_id", "chunk_no"], payload=[])
     return hits.select("item_id", F.col("rank").cast("long"), "doc_id", "chunk_no",
                        F.round("distance", 4).alias("distance"))
 
@@ -190,8 +195,7 @@ def recall_l2(spark, sf):
          f"LEFT JOIN c_chunks c ON c.doc_id = r.doc_id AND c.chunk_no = r.chunk_no GROUP BY q0.item_id")
 def recall_text(spark, sf):
     q = benchmark_queries(spark, sf)
-    hits = R.knn(q, document_memory(spark, sf), RECALL_N, query_key="item_id",
-                 tie_keys=["doc_id", "chunk_no"], payload=["text"], metric="l2", dims=HASH_DIMS)
+    hits = stored_documents(spark, sf).recall(q, RECALL_N, query_key="item_id", tie_keys=["doc_id", "chunk_no"])
     return R.recall_text(hits, "item_id", "text", queries=q)
 
 
@@ -264,12 +268,13 @@ def vector_normalise(spark, sf):
 
 @query("recall_lsh")
 def recall_lsh(spark, sf):
-    """Approximate recall: random-hyperplane codes in several tables; candidates
-    share a code in any table (equi-join on (table, code)); exact re-rank."""
+    """Approximate recall: random-hyperplane codes, their length from the row count;
+    candidates share a code but for one bit in any table; exact re-rank."""
     from ..operators.lsh import lsh_knn
 
     e = table(spark, sf, "embeddings")
     hits = lsh_knn(e.select(F.col("vec_id").alias("qid"), "embedding"), e, RECALL_N, query_key="qid",
-                   memory_key="vec_id", dims=HASH_DIMS, bits=LSH_BITS, tables=LSH_TABLES)
-    return hits.select("qid", F.col("rank").cast("long"), "vec_id", F.round("distance", 4).alias("distance"))
+                   memory_key="vec_id", dims=HASH_DIMS)
+    return hits.select("qid", F.col("rank").cast("long"), "vec_id", F.round("distance", 4).alias("distance"),
+                       F.col("found").cast("long").alias("found"))
 

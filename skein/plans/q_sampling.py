@@ -23,7 +23,13 @@ CHAIN_K = 40
 CHAIN_P = 0.95
 # Bias list of the task: candidate → bias.
 BIAS = ((1, BIAS_FORBID), (4, BIAS_ALLOW))
-SHORTCUT_BIAS = ((3, BIAS_ALLOW), (5, BIAS_ALLOW))
+#: Private candidates leave a bias list before the single-candidate test.
+PRIVATE_CANDIDATE = 7
+# Bias lists keyed by group (request and step): what the group's order number says.
+GROUP_BIAS_SQL = (
+    f"gbias AS (SELECT group_id, 1::BIGINT AS candidate, {BIAS_FORBID}::DOUBLE AS bias FROM g WHERE group_id % 3 = 0 UNION ALL "
+    f"SELECT group_id, 2::BIGINT, {BIAS_ALLOW}::DOUBLE FROM g WHERE group_id % 2 = 0 UNION ALL "
+    f"SELECT group_id, {PRIVATE_CANDIDATE}::BIGINT, {BIAS_ALLOW}::DOUBLE FROM g WHERE group_id % 4 = 0)")
 
 CANDS_SQL = ("cands AS (SELECT l_orderkey AS group_id, l_linenumber::BIGINT AS candidate, "
              "max(l_extendedprice) / 10000 AS score FROM lineitem GROUP BY ALL)")
@@ -39,6 +45,16 @@ def _bias(spark: SparkSession, pairs) -> DataFrame:
     return spark.createDataFrame([(int(c), float(b)) for c, b in pairs], "candidate long, bias double")
 
 
+def group_bias(cands: DataFrame) -> DataFrame:
+    g = cands.select("group_id").distinct()
+    n = F.col("group_id")
+    listed = F.array(
+        F.when(n % 3 == 0, F.struct(F.lit(1).cast("long").alias("candidate"), F.lit(float(BIAS_FORBID)).alias("bias"))),
+        F.when(n % 2 == 0, F.struct(F.lit(2).cast("long").alias("candidate"), F.lit(float(BIAS_ALLOW)).alias("bias"))),
+        F.when(n % 4 == 0, F.struct(F.lit(PRIVATE_CANDIDATE).cast("long").alias("candidate"), F.lit(float(BIAS_ALLOW)).alias("bias"))))
+    return g.select("group_id", F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("x")).select("group_id", "x.*")
+
+
 def _bias_sql(pairs) -> str:
     return "bias(candidate, bias) AS (VALUES " + ", ".join(f"({c}::BIGINT, {b}::DOUBLE)" for c, b in pairs) + ")"
 
@@ -61,11 +77,14 @@ _PENALTY_SQL = (
 
 
 @query("flat_bias",
-       f"WITH {CANDS_SQL}, {_bias_sql(BIAS)}\n"
-       f"SELECT c.group_id, c.candidate, round(c.score + coalesce(b.bias, 0), 6) AS score "
-       f"FROM cands c LEFT JOIN bias b USING (candidate)")
+       f"WITH {CANDS_SQL}, {_bias_sql(BIAS)}, g AS (SELECT DISTINCT group_id FROM cands), {GROUP_BIAS_SQL}\n"
+       f"SELECT c.group_id, c.candidate, round(c.score + coalesce(b.bias, 0) + coalesce(gb.bias, 0), 6) AS score "
+       f"FROM cands c LEFT JOIN bias b USING (candidate) "
+       f"LEFT JOIN gbias gb ON gb.group_id = c.group_id AND gb.candidate = c.candidate")
 def flat_bias(spark, sf):
-    r = SM.flat_bias(candidates(spark, sf), _bias(spark, BIAS))
+    """A list for all groups, then one per group."""
+    c = candidates(spark, sf)
+    r = SM.flat_bias(SM.flat_bias(c, _bias(spark, BIAS)), group_bias(c))
     return r.select("group_id", "candidate", F.round("score", 6).alias("score"))
 
 
@@ -86,12 +105,6 @@ def top_k(spark, sf):
     return r.select("group_id", "candidate", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
 
-def _softmax_sql(src: str, t: float = 1.0) -> str:
-    return (f"SELECT *, exp(score / {t} - max(score / {t}) OVER (PARTITION BY group_id)) / "
-            f"sum(exp(score / {t} - max(score / {t}) OVER (PARTITION BY group_id))) OVER (PARTITION BY group_id) "
-            f"AS prob FROM {src}")
-
-
 def _softmax_sql2(src: str, t: float = 1.0) -> str:
     inner = f"(SELECT *, exp(score / {t} - max(score / {t}) OVER (PARTITION BY group_id)) AS e FROM {src})"
     return f"SELECT * EXCLUDE (e), e / sum(e) OVER (PARTITION BY group_id) AS prob FROM {inner}"
@@ -143,10 +156,11 @@ def weighted_draw(spark, sf):
 
 
 @query("single_candidate",
-       f"WITH {CANDS_SQL}, {_bias_sql(SHORTCUT_BIAS)},\n"
-       f"per AS (SELECT group_id, count(*) AS n_pos, min(candidate) AS forced FROM cands JOIN bias USING (candidate) "
-       f"WHERE bias > 0 GROUP BY group_id)\n"
-       f"SELECT g.group_id, CASE WHEN n_pos = 1 THEN forced END AS forced, coalesce(n_pos = 1, false) AS shortcut "
-       f"FROM (SELECT DISTINCT group_id FROM cands) g LEFT JOIN per USING (group_id)")
+       f"WITH {CANDS_SQL}, g AS (SELECT DISTINCT group_id FROM cands), {GROUP_BIAS_SQL}\n"
+       f"SELECT g.group_id, CASE WHEN count(b.candidate) = 1 AND min(b.bias) > 0 THEN min(b.candidate) END AS forced, "
+       f"count(b.candidate) = 1 AND coalesce(min(b.bias) > 0, false) AS shortcut "
+       f"FROM g LEFT JOIN gbias b ON b.group_id = g.group_id AND b.candidate <> {PRIVATE_CANDIDATE} GROUP BY g.group_id")
 def single_candidate(spark, sf):
-    return SM.single_candidate(candidates(spark, sf), _bias(spark, SHORTCUT_BIAS))
+    """One list per group: empty, one entry of either sign, several, or with a private one."""
+    c = candidates(spark, sf)
+    return SM.single_candidate(c, group_bias(c), [PRIVATE_CANDIDATE])

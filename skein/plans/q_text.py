@@ -31,11 +31,13 @@ def prefilter(spark, sf):
 
 
 @query("tokenize",
+       f"SELECT *, dense_rank() OVER (ORDER BY token)::BIGINT AS token_id FROM ("
        f"SELECT doc_id, (generate_subscripts(tk, 1) - 1)::BIGINT AS pos, unnest(tk) AS token "
-       f"FROM (SELECT doc_id, {S.tokens('text')} AS tk FROM documents)")
+       f"FROM (SELECT doc_id, {S.tokens('text')} AS tk FROM documents))")
 def tokenize(spark, sf):
-    d = table(spark, sf, "documents")
-    return ops.token_rows(d, ["doc_id"]).withColumn("pos", F.col("pos").cast("long"))
+    """Tokens with their ids in the corpus vocabulary."""
+    rows = ops.token_rows(table(spark, sf, "documents"), ["doc_id"])
+    return ops.token_ids(rows, ops.vocabulary(rows)).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("token_counts",

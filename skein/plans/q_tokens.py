@@ -20,12 +20,45 @@ PRIVATE = (",",)
 _RESP = f"(SELECT conv_id, turn, {S.tokens('text')} AS tk FROM conversations WHERE role = 'assistant')"
 
 
-@query("stop_tokens")
+#: The first token that completes a stop string, by the rules: matching starts at a token
+#: boundary, partial progress (k characters) carries over, and a token that breaks it is
+#: tried again from the start.
+_STOP_CTES = (
+    f"WITH RECURSIVE r AS (SELECT row_number() OVER () AS rid, conv_id, turn, tk FROM {_RESP}),\n"
+    "t AS (SELECT rid, unnest(range(1, len(tk) + 1)) AS i, unnest(tk) AS token FROM r),\n"
+    "st(stop) AS (VALUES " + ", ".join(f"({S.lit(s)})" for s in STOPS) + "),\n"
+    "m(rid, stop, i, k, hit) AS (SELECT rid, stop, 0::BIGINT, 0::BIGINT, false FROM r, st UNION ALL\n"
+    "  SELECT m.rid, stop, m.i + 1, CASE WHEN starts_with(token, stop[k + 1:]) THEN 0 "
+    "WHEN starts_with(stop[k + 1:], token) THEN k + len(token) WHEN starts_with(stop, token) THEN len(token) ELSE 0 END, "
+    "starts_with(token, stop[k + 1:]) OR (NOT starts_with(stop[k + 1:], token) AND starts_with(token, stop))\n"
+    "  FROM m JOIN t ON t.rid = m.rid AND t.i = m.i + 1 WHERE NOT hit),\n"
+    "c AS (SELECT rid, min(i) AS stop_at FROM m WHERE hit GROUP BY rid)\n"
+)
+_CUT = "tk[1:coalesce(stop_at - 1, len(tk))]"
+
+
+@query("stop_tokens",
+       _STOP_CTES + f"SELECT conv_id, turn, stop_at::BIGINT AS stop_at, coalesce(array_to_string({_CUT}, ''), '') AS text "
+                    "FROM r LEFT JOIN c USING (rid)")
 def stop_tokens(spark, sf):
     r = G.stop_tokens(G.response_tokens(table(spark, sf, "conversations")), STOPS)
     return r.select("conv_id", "turn", F.col("stop_at").cast("long"), detokenize("tokens").alias("text"))
 
 
+POSTPROCESS_SQL = (
+    _STOP_CTES + f"SELECT conv_id, turn, coalesce(array_to_string(list_filter("
+    f"tk[1:least(len(tk), {MAX_TOKENS}, coalesce(stop_at - 1, len(tk)), coalesce(nullif(list_position(tk, {S.lit(EOT)}), 0) - 1, len(tk)))], "
+    "lambda t: " + " AND ".join(f"t <> {S.lit(p)}" for p in PRIVATE) + "), ''), '') AS text FROM r LEFT JOIN c USING (rid)"
+)
+
+
+@query("postprocess", POSTPROCESS_SQL)
+def postprocess(spark, sf):
+    """All generation stop rules together."""
+    r = G.postprocess(G.response_tokens(table(spark, sf, "conversations")), STOPS, MAX_TOKENS, EOT, PRIVATE)
+    return r.select("conv_id", "turn", detokenize("tokens").alias("text"))
+
+
 @query("stop_text",
        "SELECT conv_id, turn, p::BIGINT AS stop_at, CASE WHEN p IS NULL THEN text ELSE substr(text, 1, p - 1) END "
        "AS text FROM (SELECT conv_id, turn, text, list_min(list_filter(["
@@ -62,12 +95,10 @@ def swallow_private(spark, sf):
 
 
 @query("response_text",
-       f"SELECT conv_id, turn, string_agg(token, '' ORDER BY pos) AS text FROM ("
-       f"SELECT conv_id, turn, generate_subscripts(tk, 1) AS pos, unnest(tk) AS token FROM {_RESP}) "
-       f"GROUP BY conv_id, turn")
+       f"SELECT conv_id, turn, coalesce(array_to_string(tk, ''), '') AS text FROM {_RESP}")
 def response_text(spark, sf):
-    rows = G.response_token_rows(table(spark, sf, "conversations"))
-    return G.response_text(rows)
+    conv = table(spark, sf, "conversations")
+    return G.response_text(G.response_token_rows(conv), all_responses=G.responses(conv))
 
 
 @query("cycle_segments",

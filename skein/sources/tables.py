@@ -49,13 +49,3 @@ def _bytes(v: str) -> int:
         if v.endswith(suffix):
             return int(float(v[: -len(suffix)]) * mult)
     return int(v)
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only for a side proven small: at most ``max_rows`` rows
-    (counted with a bounded ``limit``). Larger sides are left to the planner
-    (AQE still broadcasts at run time when the measured size allows)."""
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -2,7 +2,7 @@
 
 Documents arrive as files (Parquet rows or uploaded binaries); each micro-batch
 is chunked, embedded and written to the memory by ``foreachBatch``. The write
-of micro-batch ``b`` replaces the memory's batch directory ``b``, so a batch
+of micro-batch ``b`` replaces this stream's own directory ``b`` in the memory, so a batch
 that is replayed after a failure (same id, from the checkpoint) rewrites the
 same rows instead of appending them twice. Rows that cannot be stored go to a
 dead-letter folder for the same batch id; they never stop the stream.
@@ -14,6 +14,7 @@ ingest queue); ``wait=True`` runs everything available and blocks
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -29,6 +30,12 @@ from ..sources.memory import VectorMemory
 
 def document_stream(spark: SparkSession, path: str, schema: StructType, glob: str | None = None,
                     max_files_per_trigger: int = 1) -> DataFrame:
+    """A stream over a table's files: ``path`` is a folder, or one Parquet file or
+    table. Its last character is written as a pattern, since Spark streams from a
+    single file only through one; ``glob`` filters the names of the files inside."""
+    path = path.rstrip("/")
+    if path[-1] not in "*?]}":
+        path = f"{path[:-1]}[{path[-1]}]"
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -36,20 +43,29 @@ def document_stream(spark: SparkSession, path: str, schema: StructType, glob: st
 
 
 def ingest_batch(memory: VectorMemory, config: ChunkConfig, keys: list[str], dead_letters: str,
-                 embed: Callable[[DataFrame], DataFrame] = E.hash_embed):
-    """The ``foreachBatch`` function: chunk → embed → store (idempotent per id)."""
+                 embed: Callable[[DataFrame], DataFrame] = E.hash_embed, writer: str = "ingest"):
+    """The ``foreachBatch`` function: chunk → embed → store (idempotent per writer and
+    id). Chunks that cannot be stored, such as those on which an embedder of
+    ``embed.python_embed`` failed, go to ``dead_letters/rejected``."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        chunks = embed(ops.chunk(batch, keys, config))
-        rejected = memory.store(chunks, batch_id=batch_id)
-        rejected.write.mode("overwrite").parquet(os.path.join(dead_letters, f"batch={batch_id}"))
+        # embedded once: the store and the rejects read the same rows
+        staged = os.path.join(dead_letters, "staged", f"batch={batch_id}")
+        embed(ops.chunk(batch, keys, config)).write.mode("overwrite").parquet(staged)
+        chunks = batch.sparkSession.read.parquet(staged)
+        rejected = memory.store(chunks, batch_id=batch_id, writer=writer)
+        rejected.write.mode("overwrite").parquet(os.path.join(dead_letters, "rejected", f"batch={batch_id}"))
 
     return run
 
 
 def start_ingest(stream: DataFrame, memory: VectorMemory, config: ChunkConfig, checkpoint: str,
                  dead_letters: str, keys: list[str] | None = None, wait: bool = True,
-                 timeout: float | None = 600, processing_time: str = "5 seconds") -> StreamingQuery:
-    w = (stream.writeStream.foreachBatch(ingest_batch(memory, config, keys or ["doc_id"], dead_letters))
+                 timeout: float | None = 600, processing_time: str = "5 seconds", writer: str | None = None,
+                 embed: Callable[[DataFrame], DataFrame] = E.hash_embed) -> StreamingQuery:
+    """Start the stream. ``writer`` names its folder in the memory; by default the name
+    follows from the checkpoint, so a restart is the same writer and another stream is not."""
+    name = writer or hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+    w = (stream.writeStream.foreachBatch(ingest_batch(memory, config, keys or ["doc_id"], dead_letters, embed, name))
          .option("checkpointLocation", checkpoint))
     if wait:
         q = w.trigger(availableNow=True).start()

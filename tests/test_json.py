@@ -4,7 +4,7 @@ from skein.functions import jsonschema as J
 
 NUM = {"type": "number", "min": 0, "max": 10, "max_decimals": 1}
 ENUM = {"type": "string", "enum": ["g", "ml"], "max_length": 2}
-ARR = {"type": "array", "items": {"type": "boolean"}, "min_items": 2, "max_items": 3}
+ARR = {"type": "array", "items": {"type": "boolean"}, "min_items": 3, "max_items": 5}
 OBJ = {"type": "object", "required": ["a"], "properties": {"a": {"type": "number"}, "b": {"type": "string"}}}
 
 CASES = [
@@ -18,9 +18,9 @@ CASES = [
     (NUM, "3.14159", True, False),
     (ENUM, '"g"', True, True),
     (ENUM, '"cups"', True, False),
-    (ARR, "[true]", False, False),
-    (ARR, "[true,false]", True, True),
-    (ARR, "[true,false,true,false]", False, False),
+    (ARR, "[false,true]", False, False),
+    (ARR, "[false,false,true,true]", True, True),
+    (ARR, "[true,false,true,false,true,true]", False, False),
     (OBJ, '{"a":1}', True, True),
     (OBJ, '{"b":"x"}', False, False),
     (OBJ, '{"a":1,"c":2}', False, False),
@@ -77,3 +77,38 @@ def test_vocab_mask_and_remainders(spark):
     vocab = spark.createDataFrame([("m",), ("ml",), ("g",), ("x",), ('"',), ("",)], "token string")
     mask = sorted((r.state, r.token) for r in JM.vocab_mask(rem, vocab).collect())
     assert mask == [("", "g"), ("", "m"), ("", "ml")]
+
+
+@pytest.mark.parametrize("lo,hi,text,want", [
+    (5, 50, "25", False),        # the first digit is below min
+    (5, 50, "5", True),
+    (5, 50, "55", False),
+    (5, 90, "52", False),        # 5 is not above min: it does not grow
+    (5, 90, "62", True),
+    (20, 50, "25", False),
+    (0, 50, "50", True),
+    (0, 50, "500", False),
+    (0, 4, "41", False),         # 4 has reached max
+    (None, None, "123456789012345", False),
+    (None, None, "42949672951", False),   # 4294967295 does not grow
+    (None, None, "42949672941", True),
+    (0, None, "-5", True),       # a minus without max, and its digit is not tested
+    (0, None, "-55", False),
+    (-90, -10, "-55", False),    # -5 is above max: it does not grow
+    (-90, 0, "-55", True),
+    (-90, 0, "-95", False),
+    (0, 50, "-5", False),
+    (None, None, "05", False),
+])
+def test_number_grammar(spark, lo, hi, text, want):
+    schema = {"type": "number", "min": lo, "max": hi}
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(J.is_strict("t", schema).alias("s")).first().s is want
+
+
+def test_free_string_mask(spark):
+    from skein.operators import jsonmask as JM
+
+    vocab = spark.createDataFrame([("ab",), ("é",), ("long",), ('"',), ('a"',), ("",), ("\n",)], "token string")
+    run = lambda *a: {r.token for r in JM.any_string_mask(vocab, *a).collect()}
+    assert run(2) == {"ab", "é", '"'} and run(0) == {'"'} and run() == {"ab", "é", "long", '"'}

@@ -1,33 +1,78 @@
 import uuid
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skein.config import CONTENT_ID_NAMESPACE
 from skein.functions.vectors import content_id, hash_embedding
 from skein.operators import recall as R
 from skein.session import unique_subdir
-from skein.sources.memory import VectorMemory
+from skein.sources.memory import DimensionalityMismatch, VectorMemory
 
-STORE = [("foo", [1.0, 2.0, 3.0]), ("bar", [-1.0, 2.0, 3.0]), ("baz", [1.0, -2.0, 3.0]), ("boo", [1.0, -2.0, -3.0])]
+#: Two of them equal, two as far from the second query.
+STORE = [("north", [0.0, 4.0]), ("east", [4.0, 0.0]), ("north again", [0.0, 4.0]), ("far", [-30.0, 1.0]), ("mid", [2.0, 2.0])]
 
 
 def _store_df(spark):
-    return spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(STORE)], "seq long, text string, embedding array<float>")
+    return spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(STORE)], "pos long, text string, embedding array<float>")
 
 
-def test_vector_store_golden_both_strategies(spark):
-    mem = _store_df(spark)
-    q = spark.createDataFrame([(1, [0.0, -1.0, 0.0])], "qid long, embedding array<float>")
+def _queries(spark):
+    return spark.createDataFrame([(1, [0.5, 4.0]), (2, [3.0, 3.0])], "qid long, embedding array<float>")
+
+
+def _ranked(hits):
+    rows = sorted(hits.collect(), key=lambda r: (r.qid, r.rank))
+    return {q: [r.text for r in rows if r.qid == q] for q in {r.qid for r in rows}}
+
+
+def test_nearest_rows_both_strategies(spark):
     for strategy in ("broadcast", "blocked"):
-        hits = R.knn(q, mem, 2, tie_keys=["seq"], payload=["text"], dims=3, strategy=strategy, block_rows=2)
-        got = [r.text for r in hits.orderBy("rank").collect()]
-        assert got == ["baz", "boo"], strategy
+        hits = R.knn(_queries(spark), _store_df(spark), 3, tie_keys=["pos"], payload=["text"], dims=2, strategy=strategy, block_rows=2)
+        assert _ranked(hits) == {1: ["north", "north again", "mid"], 2: ["mid", "north", "east"]}, strategy
+
+
+def test_recall_from_the_stored_memory(spark):
+    path = unique_subdir(spark, "t-recall")
+    VectorMemory(spark, path, 2).store(_store_df(spark))
+    hits = VectorMemory(spark, path, 2).recall(_queries(spark), 2, tie_keys=["pos"])
+    assert _ranked(hits) == {1: ["north", "north again"], 2: ["mid", "north"]}
+    plan = hits._jdf.queryExecution().toString()
+    assert "t-recall" in plan
+    wrong = spark.createDataFrame([(9, [1.0]), (8, None)], "qid long, embedding array<float>")
+    mem = VectorMemory(spark, path, 2)
+    assert mem.recall(wrong, 2, tie_keys=["pos"]).count() == 0 and wrong.filter(~mem.fits()).count() == 2
+    with pytest.raises(DimensionalityMismatch):
+        VectorMemory(spark, path, 3)
+    cos = VectorMemory(spark, path, 2, metric="cosine").recall(_queries(spark), 3, tie_keys=["pos"])
+    assert _ranked(cos)[2] == ["mid", "north", "east"]
+
+
+def test_equal_vectors_keep_tie_order(spark):
+    """Many equal rows, in any order of arrival: the first by key come first, by both metrics."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((20, 8))
+    rows = [(int(i), base[i % 20].tolist()) for i in rng.permutation(4000)]
+    mem = spark.createDataFrame(rows, "pos long, embedding array<double>").repartition(7)
+    q = spark.createDataFrame([(k, base[k].tolist()) for k in range(20)], "qid long, embedding array<double>")
+    for metric in ("l2", "cosine"):
+        for strategy in ("broadcast", "blocked"):
+            hits = R.knn(q, mem, 3, tie_keys=["pos"], metric=metric, dims=8, strategy=strategy, block_rows=300)
+            got = {(r.qid, r.rank): r.pos for r in hits.collect()}
+            assert got == {(k, r): k + 20 * (r - 1) for k in range(20) for r in (1, 2, 3)}
+
+
+def test_empty_memory_without_dims(spark):
+    empty = spark.createDataFrame([], "pos long, text string, embedding array<float>")
+    hits = R.knn(_queries(spark), empty, 3, tie_keys=["pos"], payload=["text"])
+    assert [r.recall for r in R.recall_text(hits, "qid", "text", queries=_queries(spark)).collect()] == ["", ""]
 
 
 def test_recall_text_empty_memory(spark):
     q = spark.createDataFrame([(1, [0.0, 1.0, 0.0])], "qid long, embedding array<float>")
-    empty = spark.createDataFrame([], "seq long, text string, embedding array<float>")
-    hits = R.knn(q, empty, 3, tie_keys=["seq"], payload=["text"], dims=3)
+    empty = spark.createDataFrame([], "pos long, text string, embedding array<float>")
+    hits = R.knn(q, empty, 3, tie_keys=["pos"], payload=["text"], dims=3)
     out = R.recall_text(hits, "qid", "text", queries=q).first()
     assert out.recall == ""
 
@@ -49,24 +94,41 @@ def test_hash_embedding_integer_and_dims(spark):
 
 
 def test_memory_append_upsert_forget(spark):
-    df = _store_df(spark).drop("seq")
-    app = VectorMemory(spark, unique_subdir(spark, "t-app"), 3, mode="append")
+    df = _store_df(spark)
+    app = VectorMemory(spark, unique_subdir(spark, "t-app"), 2, mode="append")
     app.store(df)
     app.store(df)
-    assert app.read().count() == 8
-    up = VectorMemory(spark, unique_subdir(spark, "t-up"), 3, mode="upsert")
+    assert app.read().count() == 10 and {r.batch for r in app.read().collect()} == {0, 1}
+    up = VectorMemory(spark, unique_subdir(spark, "t-up"), 2, mode="upsert")
     up.store(df)
-    up.store(df, batch_id=0)  # replay of batch 0: idempotent
-    assert up.read().count() == 4
-    up.store(df.filter(F.col("text") == "foo").withColumn("embedding", F.array(*[F.lit(9.0).cast("float")] * 3)))
-    foo = up.read().filter(F.col("text") == "foo").first()
-    assert list(foo.embedding) == [9.0, 9.0, 9.0]
+    up.store(df.limit(2).withColumn("embedding", F.array(*[F.lit(9.0).cast("float")] * 2)).withColumn("pos", F.col("pos") + 10))
+    got = {r.text: list(r.embedding) for r in up.read().collect()}
+    assert len(got) == 5 and got["north"] == got["east"] == [9.0, 9.0] and got["mid"] == [2.0, 2.0]
+    columns = set(up.read().columns)
     up.forget()
-    assert up.read().count() == 0
+    assert up.read().count() == 0 and set(up.read().columns) == columns
     up.store(df)
-    assert up.read().count() == 4
-    up.compact()
-    assert up.read().count() == 4
+    assert up.read().count() == 5
+
+
+def test_last_row_of_one_write_wins(spark):
+    rows = [(k, "same", [float(k), 0.0]) for k in range(50)]
+    df = spark.createDataFrame(rows, "pos long, text string, embedding array<float>").repartition(5)
+    mem = VectorMemory(spark, unique_subdir(spark, "t-order"), 2, mode="upsert")
+    mem.store(df, order_by=["pos"])
+    assert [list(r.embedding) for r in mem.read().collect()] == [[49.0, 0.0]]
+
+
+def test_writers_do_not_meet(spark):
+    """A direct write, two streams and a replay: only the replay replaces, and only its own."""
+    df = _store_df(spark)
+    mem = VectorMemory(spark, unique_subdir(spark, "t-writers"), 2)
+    mem.store(df)
+    mem.store(df, batch_id=0, writer="a")
+    mem.store(df, batch_id=0, writer="b")
+    mem.store(df, batch_id=0, writer="a")
+    mem.store(df, batch_id=0)
+    assert mem.read().count() == 20
 
 
 def test_dimension_mismatch_rejected(spark):
@@ -77,16 +139,24 @@ def test_dimension_mismatch_rejected(spark):
 
 
 def test_lsh_recall_against_exact(spark):
+    """Recall of the three nearest others (a vector's hit on itself does not count)."""
     from skein.operators.lsh import lsh_knn
 
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     q = e.select(F.col("vec_id").alias("qid"), "embedding")
-    exact = R.knn(q, e, 3, query_key="qid", tie_keys=["vec_id"], dims=64)
-    approx = lsh_knn(q, e, 3, query_key="qid", memory_key="vec_id", dims=64, bits=6, tables=4)
+    exact = R.knn(q, e, 4, query_key="qid", tie_keys=["vec_id"], dims=64).filter("qid <> vec_id")
+    approx = lsh_knn(q, e, 4, query_key="qid", memory_key="vec_id", dims=64, bucket_rows=64)
     hit = exact.join(approx, ["qid", "vec_id"]).count()
-    recall = hit / exact.count()
-    print(f"LSH recall@3 = {recall:.3f}")
-    assert recall > 0.3
+    assert hit / exact.count() >= 0.8
+
+
+def test_lsh_answers_every_query(spark):
+    from skein.operators.lsh import lsh_knn
+
+    e = spark.createDataFrame([(1, [1.0, 1.0, 1.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (2, [-1.0, -1.0, -1.0])], "qid long, embedding array<float>")
+    got = {r.qid: (r.rank, r.vec_id, r.found) for r in lsh_knn(q, e, 2, query_key="qid", memory_key="vec_id", dims=3, bits=8, tables=2).collect()}
+    assert got == {1: (1, 1, 1), 2: (None, None, 0)}
 
 
 def test_lsh_hot_bucket_split_is_exact_within_candidates(spark):

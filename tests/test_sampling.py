@@ -33,6 +33,14 @@ def test_draw_is_deterministic_and_valid(spark):
 
 
 def test_single_candidate(spark):
-    bias = spark.createDataFrame([(3, 10000.0)], "candidate long, bias double")
-    got = {r.group_id: (r.forced, r.shortcut) for r in SM.single_candidate(_cands(spark), bias).collect()}
-    assert got == {1: (3, True), 2: (None, False)}
+    c = _cands(spark)
+    run = lambda rows, **kw: {r.group_id: (r.forced, r.shortcut) for r in SM.single_candidate(
+        c, spark.createDataFrame(rows, "candidate long, bias double"), **kw).collect()}
+    assert run([(3, 9.0)]) == {1: (3, True), 2: (3, True)}
+    assert run([(3, -9.0)]) == {1: (None, False), 2: (None, False)}
+    assert run([(1, -9.0), (3, 9.0)])[1] == (None, False)  # a second entry, even a negative one
+    assert run([(1, 9.0), (3, 9.0)], private=[1])[1] == (3, True)
+    per = spark.createDataFrame([(1, 2, 5.0), (2, 1, 5.0), (2, 2, -5.0)], "group_id long, candidate long, bias double")
+    assert {r.group_id: r.forced for r in SM.single_candidate(c, per).collect()} == {1: 2, 2: None}
+    got = {(r.group_id, r.candidate): r.score for r in SM.flat_bias(c, per).collect()}
+    assert got[(1, 2)] == 6.0 and got[(2, 2)] == -2.0 and got[(1, 1)] == 2.0

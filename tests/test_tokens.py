@@ -1,64 +1,53 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import tokens as G
 
-# (stops, tokens, expected completion flags per token, first true ends the response)
-GOLDEN = [
-    (["def"], ["defq"], [True]),
-    (["def"], ["xdef", "y"], [False, False]),
-    (["aab"], ["a", "a", "a", "b"], [False] * 4),
-    (["<|im_end|>"], ["hi", "<|", "im_end", "|>", "more"], [False, False, False, True, True]),
-    (["ab"], ["a", "ab"], [False, True]),
-    (["abc"], ["ab", "x", "abc"], [False, False, True]),
-    (["stop"], ["s", "t", "stop"], [False, False, True]),
-    (["def"], ["d", "e", "f", "zzz"], [False, False, True, True]),
+# (stops, tokens, 1-based position of the token that ends the response)
+CASES = [
+    (["END"], ["ENDING"], 1),                       # longer than the stop string
+    (["END"], ["aEND", "b"], None),                 # no start inside a token
+    (["xxy"], ["x", "x", "x", "y"], None),          # no fallback inside the stop string
+    (["<stop>"], ["go", "<", "stop", ">", "on"], 4),
+    (["no"], ["n", "no"], 2),                       # progress breaks, the same token starts afresh
+    (["uvw"], ["uv", "q", "uvw"], 3),
+    (["halt"], ["ha", "ha", "lt"], 3),
+    (["ij", "jk"], ["i", "jk"], 2),                 # either of two
+    (["é!"], ["é", "", "!"], 3),                    # an empty token changes nothing
+    (["zz"], [], None),
 ]
 
 
-def _first(flags):
-    return next((i + 1 for i, f in enumerate(flags) if f), None)
-
-
-@pytest.mark.parametrize("stops,tokens,flags", GOLDEN)
-def test_stop_position_golden(spark, stops, tokens, flags):
+@pytest.mark.parametrize("stops,tokens,want", CASES)
+def test_stop_position(spark, stops, tokens, want):
     df = spark.createDataFrame([(tokens,)], "tk array<string>")
-    assert df.select(G.stop_position("tk", stops).alias("p")).first()["p"] == _first(flags)
+    assert df.select(G.stop_position("tk", stops).alias("p")).first()["p"] == want
 
 
-@pytest.mark.parametrize("stops,tokens,flags", GOLDEN)
-def test_stop_step_py_golden(stops, tokens, flags):
-    offs = [0] * len(stops)
-    first = None
+def live_position(stops, tokens):
+    matched = [0] * len(stops)
     for i, t in enumerate(tokens):
-        hit = False
-        for j, s in enumerate(stops):
-            c, offs[j] = G.stop_step_py(offs[j], t.encode(), s.encode())
-            hit = hit or c
-        if hit:
-            first = i + 1
-            break
-    assert first == _first(flags)
-
-
-def test_stop_set_stateful_case():
-    # stops {def, a}: "a" completes; after a reset "defde" completes, then "ef" does not
-    stops = [b"def", b"a"]
-
-    def feed(tokens):
-        offs = [0, 0]
-        out = []
-        for t in tokens:
-            hit = False
-            for j, s in enumerate(stops):
-                c, offs[j] = G.stop_step_py(offs[j], t.encode(), s)
-                hit = hit or c
-            out.append(hit)
-        return out
-
-    assert feed(["a"]) == [True]
-    assert feed(["defde", "f"]) == [True, True]
-    assert feed(["defde", "ef"]) == [True, False]
+        steps = [G.stop_advance(m, t.encode(), s.encode()) for m, s in zip(matched, stops)]
+        matched = [m for _, m in steps]
+        if any(done for done, _ in steps):
+            return i + 1
+    return None
+
+
+@pytest.mark.parametrize("stops,tokens,want", CASES)
+def test_live_stop_position(stops, tokens, want):
+    assert live_position(stops, tokens) == want
+
+
+def test_live_and_batch_stops_agree(spark):
+    rnd = random.Random(3)
+    rows = [(["".join(rnd.choice("pq") for _ in range(rnd.randint(0, 3))) for _ in range(8)],) for _ in range(300)]
+    stops = ["ppq", "qqqp"]
+    got = spark.createDataFrame(rows, "tk array<string>").select("tk", G.stop_position("tk", stops).alias("p")).collect()
+    assert all(live_position(stops, r.tk) == r.p for r in got)
+    assert len({r.p for r in got}) > 4
 
 
 def test_postprocess_order(spark):
@@ -88,6 +77,36 @@ def test_stream_equals_batch(spark):
     sf = "/root/testdata/sf0.001"
     streamed = {(r.conv_id, r.turn): r.text for r in q_streaming.stream_stop(spark, sf).collect()}
     resp = G.response_tokens(table(spark, sf, "conversations"))
-    batch = G.postprocess(resp, q_tokens.STOPS, q_tokens.MAX_TOKENS * 4, q_tokens.EOT, q_tokens.PRIVATE)
-    expected = {(r.conv_id, r.turn): "".join(r.tokens) for r in batch.collect() if r.tokens}
+    batch = G.postprocess(resp, q_tokens.STOPS, q_tokens.MAX_TOKENS, q_tokens.EOT, q_tokens.PRIVATE)
+    expected = {(r.conv_id, r.turn): "".join(r.tokens or []) for r in batch.collect()}
     assert streamed == expected
+
+
+def test_live_state_over_micro_batches(spark):
+    """A response whose tokens arrive in several micro-batches: written one after the other."""
+    import os
+    import time
+
+    from skein.session import unique_subdir
+    from skein.streaming import live as L
+
+    work = unique_subdir(spark, "t-bands")
+    tokens = ["a", "b", "st", "op", "c"]
+    for k, t in enumerate(tokens):
+        rows = [(1, 0, k, t), (2, 0, k, "x"), (3, 0, k, "stop")]
+        spark.createDataFrame(rows, "conv_id long, turn long, pos long, token string").coalesce(1).write.mode("append").parquet(work + "/in")
+        time.sleep(1.1)  # the source orders files by time
+    schema = spark.read.parquet(work + "/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(work + "/in")
+    live = L.live_token_filter(stream, ["conv_id", "turn"], ["stop"], 4)
+    L.run_available(live, os.path.join(work, "out"), os.path.join(work, "ck"))
+    keys = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (None, 0)], "conv_id long, turn long")
+    got = {r.conv_id: r.text for r in G.response_text(L.read_batches(spark, work + "/out"), all_responses=keys).collect()}
+    assert got == {1: "abst", 2: "xxxx", 3: "", None: ""}
+
+
+def test_response_text_keeps_empty_replies(spark):
+    conv = spark.createDataFrame([(1, 0, "assistant", ""), (1, 1, "assistant", None), (None, 2, "assistant", "a b"), (1, 3, "user", "x")],
+                                 "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.text for r in G.response_text(G.response_token_rows(conv), all_responses=G.responses(conv)).collect()}
+    assert got == {(1, 0): "", (1, 1): "", (None, 2): "a b"}
