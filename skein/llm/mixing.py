@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Primes above any number of blocks of a source (2^31), so coprime to it.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
-ROWS_PER_RANGE = 8192
+ROWS_PER_RANGE = 2048
 SLOTS_PER_PIECE = 1 << 16
 
 
@@ -133,7 +133,8 @@ def taken_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """
     rows, per = _sized(docs, mix)
     times = slots(per, mix).groupBy("src", "block").agg(F.count("*").alias("times"))
-    got = (pieces(rows, mix.block).join(times, ["src", "block"], "left")
+    # both sides grow with the corpus, though the planner only sees the few sources of one
+    got = (pieces(rows, mix.block).join(times.hint("merge"), ["src", "block"], "left")
            .groupBy("src", "off", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")))
     none = rows.where("size = 0").select("src", "off", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return got.unionByName(none).join(per, "src").select("doc_id", "size", "source_size", "target", "taken")
@@ -149,7 +150,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(block=512)) -> DataFrame:
     rows, per = _sized(docs, mix)
     # the r-th slot of a block, in slot order, belongs to pass r
     nth = slots(per, mix).withColumn("turn", F.row_number().over(Window.partitionBy("src", "block").orderBy("slot")))
-    cut = (pieces(rows, mix.block).join(nth, ["src", "block"])
+    cut = (pieces(rows, mix.block).join(nth.hint("merge"), ["src", "block"])
            .groupBy("doc_id", "source", "key", "size", "off", "turn")
            .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("cut"), F.sum("words").alias("got")))
     texts = docs.withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "key"])
@@ -159,7 +160,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(block=512)) -> DataFrame:
     # a doc_id and source that texts repeat: the words are split once per row
     chosen = F.array_join(F.flatten(F.transform("c.cut", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
     text = F.when(F.col("c.got") == F.col("c.size"), F.col("t.text")).otherwise(chosen)
-    return (left.join(right, same).withColumn("_text", text)
+    return (left.join(right.hint("merge"), same).withColumn("_text", text)
             .select("t.doc_id", F.col("_text").alias("text"), "t.lang", "t.source", F.length("_text").cast("long").alias("n_chars")))
 
 
