@@ -209,8 +209,8 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, i
     heap = [(0.0, s) for s in used]
     for i, start, n in rest:
         aside = []
-        # the least-cost sequences that are too full wait; a look at 64 of them is enough
-        # before the piece is cut, as those that follow cost more and hold more tokens
+        # the least-cost sequences that are too full wait; if the 64 least-cost ones all
+        # are, the piece is cut over them, which bounds the search
         while heap and used[heap[0][1]] + n > capacity and len(aside) < 64:
             aside.append(heapq.heappop(heap))
         if heap and used[heap[0][1]] + n <= capacity:

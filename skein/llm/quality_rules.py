@@ -89,7 +89,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false
         wg, wb = counts * post, counts * (1 - post)
         prior = float(np.clip((wg.sum() + 9.0) / (counts.sum() + 10.0), 0.01, 0.99))
         pg = np.clip((up.T @ wg + (1 - false_alarms) * weight) / ((up + down).T @ wg + weight), 1 - 2 * false_alarms, 0.9999)
-        pb = np.minimum(np.clip((up.T @ wb + 5.0) / ((up + down).T @ wb + 10.0), 0.5, 0.99), pg)
+        pb = np.minimum(np.clip((up.T @ wb + 8.0) / ((up + down).T @ wb + 10.0), 0.5, 0.99), pg)
         odds = np.log(prior / (1 - prior)) + up @ np.log(pg / pb) + down @ np.log((1 - pg) / (1 - pb))
         new = 1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500)))
         if not len(new) or np.abs(new - post).max() < 1e-9:

@@ -126,7 +126,7 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("key", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
-def token_odds(rows: DataFrame, prior_weight: float, max_tokens: int, least_z: float, least_odds: float) -> dict[str, float]:
+def token_odds(rows: DataFrame, prior_share: float, max_tokens: int, least_z: float, least_odds: float) -> dict[str, float]:
     """The ``max_tokens`` tokens with the largest z of the Dirichlet-smoothed log-odds
     (z and log-odds at least the given), computed natively over all tokens of the sample."""
     counts = map_batches(rows, _token_rows, "token string, tox bigint, clean bigint").groupBy("token").agg(
@@ -135,8 +135,9 @@ def token_odds(rows: DataFrame, prior_weight: float, max_tokens: int, least_z: f
     n1, n0 = float(n.t), float(n.n - n.t)
     if not n1 or not n0:
         return {}
-    # prior pseudo-texts: a token's share of all texts, `prior_weight` texts in each class
-    prior = f"(prior_weight * (tox + clean + 0.5) / {n1 + n0 + 1})".replace("prior_weight", repr(float(prior_weight)))
+    # the prior of either class: so many texts, of which the token has its share of all texts
+    prior_weight = prior_share * (n1 + n0)
+    prior = f"({prior_weight} * (tox + clean + 0.5) / {n1 + n0 + 1})"
     odds = (f"ln((tox + {prior}) / ({n1 + prior_weight} - tox - {prior} + 0.5))"
             f" - ln((clean + {prior}) / ({n0 + prior_weight} - clean - {prior} + 0.5))")
     z = f"({odds}) / sqrt(1 / (tox + {prior}) + 1 / (clean + {prior}))"
@@ -161,11 +162,11 @@ def solve_lambda(odds: dict[str, float], share: dict[float, float]) -> float:
     return lo
 
 
-def fit(rows: DataFrame, prior_weight: float = 500.0, max_tokens: int = 20_000, least_z: float = 4.5,
+def fit(rows: DataFrame, prior_share: float = 0.03, max_tokens: int = 20_000, least_z: float = 3.0,
         least_odds: float = 3.0) -> ToxicModel:
     """A model from labelled rows (text, y), a bounded sample. Without both labels the
     model knows no token and scores every text 0 evidence."""
-    odds = token_odds(written(distinct_texts(rows), "toxic-sample"), prior_weight, max_tokens, least_z, least_odds)
+    odds = token_odds(written(distinct_texts(rows), "toxic-sample"), prior_share, max_tokens, least_z, least_odds)
     if not odds:
         return ToxicModel({}, 1.0, 0.0, 1.0, -3.0)
     raw = ToxicModel(odds, 1.0, 0.0, 1.0, 0.0)
