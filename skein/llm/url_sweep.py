@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-ROWS_PER_RANGE = 4_000
+ROWS_PER_RANGE = 1_000
 MAX_RANGES = 10_000
 #: Keys per range in the sample that sets the range bounds (results do not depend on it).
 KEYS_PER_RANGE = 30
