@@ -78,5 +78,7 @@ QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_arc_convert, op3_langu
 ORACLES: dict[str, str] = {
     "op2_arc_convert": arc_convert.oracle(),
     "op5_url_sweep": url_sweep.oracle(URL_RULES),
+    "op6_count_rtree": ngram_rtree.oracle(),
     "op8_source_mix": mixing.oracle(),
+    "op9_projection_forest": rp_forest.oracle(),
 }

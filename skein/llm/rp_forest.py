@@ -253,3 +253,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, forest: Forest = Fo
     rest = rows.where(~F.col("good")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return (linked_rows.unionByName(rest)
             .select(F.col("id").cast(id_kind).alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")))
+
+
+def oracle(least: float = 0.95) -> str:
+    """DuckDB SQL for :func:`near_duplicates` over the table embeddings with distinct ids:
+    all pairs, which the forest equals where one leaf holds the table."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+g AS (SELECT * FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      AND list_cosine_similarity(a.v, b.v) >= {least}),
+r(id, comp) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.comp),
+c AS (SELECT id, min(comp) AS component_id FROM r GROUP BY id),
+k AS (SELECT x, CAST(count(*) AS BIGINT) AS n_links FROM l GROUP BY x)
+SELECT id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN k ON k.x = c.id
+"""
