@@ -58,7 +58,6 @@ def work_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="skein-work-", dir="/tmp")
-    sc.setCheckpointDir(path)
     _LOCAL_WORK[key] = path
     return path
 

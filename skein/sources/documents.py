@@ -74,6 +74,10 @@ def media_route(df: DataFrame, content_type_col: str = "content_type", content_c
     return df.withColumn("route", r).withColumn("status", status).withColumn("text", text)
 
 
+#: Fixed value: the text of a DOCX without any text element.
+NO_TEXT = "   "
+
+
 def docx_text(data: bytes, order: str = "bfs") -> str | None:
     """Text of a DOCX: every element named ``t`` (any namespace) in
     breadth-first order (``order="document"``: document order), each followed
@@ -99,7 +103,7 @@ def docx_text(data: bytes, order: str = "bfs") -> str | None:
     for n in nodes:
         if n.tag.rsplit("}", 1)[-1] == "t":
             out.append((n.text or "") + "\n")
-    return "".join(out) if out else "   "
+    return "".join(out) if out else NO_TEXT
 
 
 DEFAULT_EXTRACTORS: Mapping[str, Extractor] = {"docx": docx_text}
