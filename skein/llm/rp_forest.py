@@ -10,6 +10,13 @@ The upper levels are fitted on a bounded sample and then deal every vector out t
 rule. A pair is counted by the first leaf that holds both ends, which every copy of a
 vector can tell from its list of leaves, so pairs never leave their task: only counts
 and spanning edges do. Equal vectors are one point with a weight.
+
+A group of near copies larger than a leaf would be cut by splits that pass through it,
+so it never meets one. Where the sample is dense, a sampled vector is the centre of a
+cell: points that link with a centre belong to the cell of the nearest one and are in no
+tree. What may link with them lies within twice the angle of the centre (the cell's
+rim), so all links of a cell's points are found, by comparing the cell with itself and
+with its rim, a large one by pairs of chunks.
 """
 
 from __future__ import annotations
@@ -31,13 +38,15 @@ from .components import components
 @dataclass(frozen=True)
 class Forest:
     """trees; leaf: vectors that a leaf should hold; spill: share of a node's vectors
-    that go to both sides from either side; sample: bound of the fitted sample."""
+    that go to both sides from either side; sample: bound of the fitted sample; dense:
+    linked sampled vectors that make a cell (per_leaf of them stand for a leaf)."""
 
     trees: int = 6
     leaf: int = 2_000
     spill: float = 0.05
     sample: int = 65_536
     per_leaf: int = 32
+    dense: int = 12
     seed: int = 29
 
 
@@ -91,6 +100,23 @@ class Tree:
         return [(k, at) for k, at in nodes.items() if len(at)]
 
 
+def dense_centres(x: np.ndarray, least: float, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x that become centres, whether each row is in a cell): the rows with the
+    most links first, while a centre adds at least ``few`` rows. x has unit rows."""
+    y = x.astype(np.float32)
+    count = np.concatenate([(y[s:s + 128] @ y.T >= least).sum(axis=1) for s in range(0, len(y), 128)]) if len(y) else np.zeros(0)
+    covered, centres = np.zeros(len(y), bool), []
+    for i in np.argsort(-count, kind="stable").tolist():
+        if count[i] < few:
+            break
+        if not covered[i]:
+            near = y @ y[i] >= least
+            if (near & ~covered).sum() >= few:
+                centres.append(i)
+                covered |= near
+    return np.array(centres, int), covered
+
+
 def sub_leaves(x: np.ndarray, at: np.ndarray, f: Forest, tree: int, level: int, node: int) -> Iterator[np.ndarray]:
     """Leaves of at most twice the wanted size within one group; a node that a split
     does not shrink (all alike) stays whole."""
@@ -137,13 +163,61 @@ def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after uniting the pairs: the least label over them until nothing changes."""
+    apart = label[i] != label[j]
+    i, j = i[apart], j[apart]
+    while len(i):
+        m = np.minimum(label[i], label[j])
+        old = label.copy()
+        np.minimum.at(label, i, m)
+        np.minimum.at(label, j, m)
+        np.minimum.at(label, old[i], m)
+        np.minimum.at(label, old[j], m)
+        label = label[label]
+        if (label == old).all():
+            break
+    return label
+
+
+def result(pdf: pd.DataFrame, links: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """Per linked point its counted links and, as an edge, the first point of its part."""
+    while (label[label] != label).any():
+        label = label[label]
+    node, at = pdf["node"].to_numpy(), np.arange(len(label))
+    hit = (links > 0) | (label != at) | np.isin(at, label[label != at])
+    return pd.DataFrame({"node": node[hit], "h": pdf["h"].to_numpy()[hit], "links": links[hit], "head": node[label][hit]})
+
+
+def compare_cell(pdf: pd.DataFrame, least: float, kind: str, block: int = 256) -> pd.DataFrame:
+    """Of one (cell, x, y): links of the points of chunk x with those of chunk y. A
+    point on the rim that has a lower cell is left to that one, which has the pair too."""
+    pdf = pdf.sort_values(["node", "h"], kind="stable")
+    v, weight = unit_rows(pdf["vec"].tolist(), kind), pdf["w"].to_numpy()
+    cell, x, y = (int(pdf[k].iloc[0]) for k in ("cell", "x", "y"))
+    mine, rim, own = pdf["mine"].to_numpy(), pdf["rim"].to_numpy().astype(bool), pdf["own"].to_numpy()
+    links, label = np.zeros(len(v), np.int64), np.arange(len(v))
+    left, right = np.flatnonzero(~rim & (mine == x)), np.flatnonzero((mine == y) & (~rim | (own < 0) | (own > cell)))
+    there = v[right].T
+    for s in range(0, len(left), block):
+        at = left[s:s + block]
+        hit = v[at] @ there >= least
+        if x == y:
+            hit &= rim[right][None, :] | (at[:, None] < right[None, :])
+        links[at] += hit @ weight[right]
+        links[right] += weight[at] @ hit
+        i, j = np.nonzero(hit)
+        label = unite(label, at[i], right[j])
+    return result(pdf, links, label)
+
+
 def compare_leaf(pdf: pd.DataFrame, f: Forest, least: float, kind: str) -> pd.DataFrame:
     """Of one (tree, leaf, dim) group: per point its counted links and, as an edge, the
     first point of its connected part here."""
     pdf = pdf.sort_values(["node", "h"], kind="stable")
     x = unit_rows(pdf["vec"].tolist(), kind)
     here, weight, node = int(pdf["leaf"].iloc[0]), pdf["w"].to_numpy(), pdf["node"].to_numpy()
-    member = [np.frombuffer(m, "<i8") for m in pdf["member"]]
+    member = pdf["member"].tolist()
     width = max(map(len, member))
     member = np.array([np.pad(m, (0, width - len(m)), constant_values=-1) for m in member])
     links, label = np.zeros(len(x), np.int64), np.arange(len(x))
@@ -159,20 +233,27 @@ def compare_leaf(pdf: pd.DataFrame, f: Forest, least: float, kind: str) -> pd.Da
             own = owned(i, j, member, here)
             np.add.at(links, i[own], weight[j[own]])
             np.add.at(links, j[own], weight[i[own]])
-            while True:  # unite: least label over the pairs until nothing changes
-                m = np.minimum(label[i], label[j])
-                old = label.copy()
-                np.minimum.at(label, i, m)
-                np.minimum.at(label, j, m)
-                np.minimum.at(label, old[i], m)
-                np.minimum.at(label, old[j], m)
-                label = label[label]
-                if (label == old).all():
-                    break
-    while (label[label] != label).any():
-        label = label[label]
-    hit = (links > 0) | (label != np.arange(len(x))) | np.isin(np.arange(len(x)), label[label != np.arange(len(x))])
-    return pd.DataFrame({"node": node[hit], "h": pdf["h"].to_numpy()[hit], "links": links[hit], "head": node[label][hit]})
+            label = unite(label, i, j)
+    return result(pdf, links, label)
+
+
+def cell_tasks(routes: DataFrame, chunk: int) -> DataFrame:
+    """Rows of the cells' comparisons (cell, x, y): a cell and its rim in one task, or,
+    beyond ``chunk`` points, every pair of chunks of which one at least is the cell's."""
+    cols = ["vec", "h", "node", "w", F.col("own")]
+    rows = (routes.where("own >= 0").select(F.col("own").alias("cell"), *cols, F.lit(False).alias("rim"))
+            .unionByName(routes.select(F.explode("near").alias("cell"), *cols, F.lit(True).alias("rim"))))
+    sizes = rows.groupBy("cell").agg(F.count_if(~F.col("rim")).alias("m"), F.count_if("rim").alias("z"))
+    small = F.col("m") + F.col("z") <= chunk
+    sizes = sizes.select("cell", F.when(small, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("m") / chunk))).cast("long").alias("cs"),
+                         F.when(small, 0).otherwise(F.ceil(F.col("z") / chunk)).cast("long").alias("rs"))
+    rows = rows.join(F.broadcast(sizes), "cell")  # at most sample / dense cells
+    of_rim = F.when(F.col("rs") == 0, 0).otherwise(F.col("cs") + F.pmod(F.xxhash64("h", F.lit(2)), F.greatest(F.lit(1), "rs")))
+    rows = rows.withColumn("mine", F.when(F.col("rim"), of_rim).otherwise(F.pmod(F.xxhash64("h", F.lit(1)), F.col("cs"))))
+    last = F.when(F.col("rim"), F.col("cs")).otherwise(F.col("cs") + F.col("rs")) - 1
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return rows.select("cell", F.least("mine", "turn").alias("x"), F.greatest("mine", "turn").alias("y"), "mine", "rim", "own",
+                       "vec", "h", "node", "w")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, forest: Forest = Forest(), id_col: str = "vec_id",
@@ -183,7 +264,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, forest: Forest = Fo
     rows without an id, link with nothing: n_links 0, component_id their own id (null:
     not kept). Vectors of different lengths never link. An id is one node: what any of
     its rows links is one component.
-    The index holds every vector; a pair is missed only if all trees part it.
+    The index holds every vector. Links of a point that is in a cell are all found; one
+    of two other points is missed only if all trees part it.
     """
     kind = "<f8" if "double" in vectors.schema[vec_col].dataType.simpleString() else "<f4"
     id_kind = vectors.schema[id_col].dataType.simpleString()
@@ -205,15 +287,24 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, forest: Forest = Fo
     size = kind[-1]
     dims = {r.dim: r.n for r in points.groupBy((F.length("vec") / int(size)).cast("int").alias("dim")).agg(F.count("*").alias("n")).collect()}
     models: list[Tree] = []
+    cells: dict[int, tuple[int, np.ndarray]] = {}
+    n_cells = 0
     for dim, n in sorted(dims.items()):
         depth = max(0, math.ceil(math.log2(max(1, n / forest.leaf))))
         depth = min(depth, int(math.log2(max(1, forest.sample // forest.per_leaf))))
         few = points.where(F.length("vec") == dim * int(size)).orderBy(F.xxhash64("h"), "h").limit(forest.per_leaf * 2 ** depth)
-        x = unit_rows([bytes(r.vec) for r in few.select("vec").collect()], kind) if depth else np.zeros((0, dim))
-        models += [Tree.fit(x, t, depth, forest) for t in range(forest.trees)]
-    sent = vectors.sparkSession.sparkContext.broadcast(models)  # bounded by trees x 2^depth numbers
+        x = unit_rows([bytes(r.vec) for r in few.select("vec").collect()], kind) if n > forest.leaf else np.zeros((0, dim))
+        centres, covered = dense_centres(x, least, forest.dense)
+        cells[dim] = n_cells, x[centres]
+        n_cells += len(centres)
+        rest = n * (1 - covered.mean()) if len(x) else n
+        depth = min(depth, max(0, math.ceil(math.log2(max(1, rest / forest.leaf)))))
+        models += [Tree.fit(x[~covered], t, depth, forest) for t in range(forest.trees)]
+    sent = vectors.sparkSession.sparkContext.broadcast((models, cells))  # bounded by trees x 2^depth numbers, sample / dense centres
+    wide = 2 * least * least - 1 - 1e-9 if least > 0 else -2.0  # cosine of twice the angle
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, dense = sent.value
         for b in batches:
             vec = b.column(0).to_pylist()
             lengths = np.array([len(v) // int(size) for v in vec])
@@ -221,23 +312,35 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, forest: Forest = Fo
                 at = np.flatnonzero(lengths == dim)
                 x = unit_rows([vec[i] for i in at], kind)
                 mine: list[list[int]] = [[] for _ in at]
-                for m in sent.value:
+                near: list[list[int]] = [[] for _ in at]
+                own = np.full(len(at), -1)
+                first, centres = dense[dim]
+                for s in range(0, len(at) if len(centres) else 0, 1024):
+                    c = x[s:s + 1024] @ centres.T
+                    own[s:s + 1024] = np.where(c.max(axis=1) >= least, first + c.argmax(axis=1), -1)
+                    for i, k in zip(*np.nonzero(c >= wide)):
+                        if first + k != own[s + i]:
+                            near[s + i].append(first + k)
+                rest = np.flatnonzero(own < 0)
+                for m in trees:
                     if m.dim == dim:
-                        for k, who in m.leaves(x):
-                            for i in who:
-                                mine[i].append((m.tree << 32) | k)
-                who = np.repeat(np.arange(len(at)), [len(m) for m in mine])
-                member = [np.array(m, "<i8").tobytes() for m in mine]
-                take = pa.array(at[who])
-                out = [c.take(take) for c in b.columns]
+                        for k, who in m.leaves(x[rest]):
+                            for i in rest[who]:
+                                mine[i].append((m.tree << 48) | (k << 24))
+                take = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for m in mine for k in m], pa.int64()), pa.array(np.full(len(who), dim), pa.int32()), *out,
-                     pa.array([member[i] for i in who], pa.binary())], ["leaf", "dim", *b.schema.names, "member"])
-
-    groups = points.select("vec", "h", "node", "w").mapInArrow(
-        dealt, "leaf bigint, dim int, vec binary, h bigint, node bigint, w bigint, member binary")
-    found = groups.groupBy("leaf", "dim").applyInPandas(
-        lambda pdf: compare_leaf(pdf, forest, least, kind), "node bigint, h bigint, links bigint, head bigint")
+                    [pa.array(np.full(len(at), dim), pa.int32()), *(c.take(take) for c in b.columns), pa.array(mine, pa.list_(pa.int64())),
+                     pa.array(own, pa.int64()), pa.array(near, pa.list_(pa.int64()))], ["dim", *b.schema.names, "member", "own", "near"])
+
+    routes = points.select("vec", "h", "node", "w").mapInArrow(
+        dealt, "dim int, vec binary, h bigint, node bigint, w bigint, member array<bigint>, own bigint, near array<bigint>")
+    routes = written(routes, "vector-routes")
+    shape = "node bigint, h bigint, links bigint, head bigint"
+    groups = routes.select(F.explode("member").alias("leaf"), "dim", "vec", "h", "node", "w", "member")
+    found = groups.groupBy("leaf", "dim").applyInPandas(lambda pdf: compare_leaf(pdf, forest, least, kind), shape)
+    if n_cells:
+        dense = cell_tasks(routes, 2 * forest.leaf).groupBy("cell", "x", "y")
+        found = found.unionByName(dense.applyInPandas(lambda pdf: compare_cell(pdf, least, kind), shape))
     found = written(found, "vector-links")
     rep = points.select(F.col("vec").alias("pv"), F.col("h").alias("ph"), "node")
     named = written(ok.join(rep, (F.col("h") == F.col("ph")) & (F.col("vec") == F.col("pv"))).select("id", "h", "node"), "vector-classes")

@@ -151,3 +151,23 @@ def test_forest_counts_once(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = RP.near_duplicates(df, forest=RP.Forest(leaf=200, sample=32, per_leaf=32, spill=0.2)).collect()
     assert {r.n_links for r in got} == {299} and {r.component_id for r in got} == {0}
+
+
+def test_forest_keeps_a_hot_group_whole(spark):
+    """A third of the table is one group of distinct near copies, many times a leaf; other
+    points lie around it, on the rim of its cell."""
+    rng = np.random.default_rng(12)
+    hot, dim = rng.standard_normal(64), 64
+    x = np.vstack([rng.standard_normal((3000, dim)), hot + 0.1 * rng.standard_normal((1500, dim)), hot + 0.3 * rng.standard_normal((60, dim))])
+    x = np.vstack([x, x[:40] + 0.1 * rng.standard_normal((40, dim))]).astype("f4").astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    sim = u @ u.T >= 0.95
+    np.fill_diagonal(sim, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for f in (RP.Forest(leaf=100), RP.Forest(leaf=1000, dense=400, per_leaf=256)):  # in chunks, and in one task
+        got = {r.vec_id: r for r in RP.near_duplicates(df, forest=f).collect()}
+        links = np.array([got[i].n_links for i in range(len(x))])
+        print("links found", links.sum(), "of", sim.sum())
+        assert (links <= sim.sum(axis=1)).all() and links.sum() >= 0.999 * sim.sum()
+        assert (links[3000:4500] == sim[3000:4500].sum(axis=1)).all()
+        assert {got[i].component_id for i in range(3000, 4500)} == {3000}
