@@ -6,10 +6,10 @@ double precision; pairs at or above the threshold are linked, and links are unit
 all leaves and trees.
 
 The upper levels are fitted on a bounded sample and then deal every vector out to
-(tree, leaf) groups; a leaf that is still too large is split on in its task, by the same
-rule. A pair is counted by the first leaf that holds both ends, which every copy of a
-vector can tell from its list of leaves, so pairs never leave their task: only counts
-and spanning edges do. Equal vectors are one point with a weight.
+(tree, leaf) groups; a leaf that is still too large is split on in a task, by the same
+rule, before anything is compared. A pair is counted by the first final leaf that holds
+both ends, which every copy of a vector can tell from its list of final leaves, so pairs
+never leave their task: only counts and spanning edges do. Equal vectors are one point with a weight.
 
 A group of near copies larger than a leaf would be cut by splits that pass through it,
 so it never meets one. Where the sample is dense, a sampled vector is the centre of a
@@ -211,29 +211,32 @@ def compare_cell(pdf: pd.DataFrame, least: float, kind: str, block: int = 256) -
     return result(pdf, links, label)
 
 
-def compare_leaf(pdf: pd.DataFrame, f: Forest, least: float, kind: str) -> pd.DataFrame:
-    """Of one (tree, leaf, dim) group: per point its counted links and, as an edge, the
+def final_leaves(pdf: pd.DataFrame, f: Forest, kind: str) -> pd.DataFrame:
+    """(node, h, leaf) of one (tree, leaf, dim) group that is split on; leaf numbers end
+    in the part's number."""
+    pdf = pdf.sort_values(["node", "h"], kind="stable")
+    here = int(pdf["leaf"].iloc[0])
+    parts = list(sub_leaves(unit_rows(pdf["vec"].tolist(), kind), np.arange(len(pdf)), f, here, 64, 0))
+    at = np.concatenate(parts)
+    return pd.DataFrame({"node": pdf["node"].to_numpy()[at], "h": pdf["h"].to_numpy()[at],
+                         "leaf": here + np.repeat(np.arange(len(parts)), [len(p) for p in parts])})
+
+
+def compare_leaf(pdf: pd.DataFrame, least: float, kind: str) -> pd.DataFrame:
+    """Of one final (leaf, dim) group: per point its counted links and, as an edge, the
     first point of its connected part here."""
     pdf = pdf.sort_values(["node", "h"], kind="stable")
     x = unit_rows(pdf["vec"].tolist(), kind)
-    here, weight, node = int(pdf["leaf"].iloc[0]), pdf["w"].to_numpy(), pdf["node"].to_numpy()
+    here, weight = int(pdf["leaf"].iloc[0]), pdf["w"].to_numpy()
     member = pdf["member"].tolist()
     width = max(map(len, member))
     member = np.array([np.pad(m, (0, width - len(m)), constant_values=-1) for m in member])
     links, label = np.zeros(len(x), np.int64), np.arange(len(x))
-    parts = list(sub_leaves(x, np.arange(len(x)), f, here, 64, 0))
-    seen: list[np.ndarray] = []
-    for part in parts:
-        for i, j in linked(x, part, least):
-            if len(parts) > 1:  # spill inside the task: count a pair once
-                code = np.minimum(i, j) * len(x) + np.maximum(i, j)
-                new = ~np.isin(code, np.concatenate(seen)) if seen else np.ones(len(code), bool)
-                i, j = i[new], j[new]
-                seen.append(code[new])
-            own = owned(i, j, member, here)
-            np.add.at(links, i[own], weight[j[own]])
-            np.add.at(links, j[own], weight[i[own]])
-            label = unite(label, i, j)
+    for i, j in linked(x, np.arange(len(x)), least):
+        own = owned(i, j, member, here)
+        np.add.at(links, i[own], weight[j[own]])
+        np.add.at(links, j[own], weight[i[own]])
+        label = unite(label, i, j)
     return result(pdf, links, label)
 
 
@@ -336,8 +339,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, forest: Forest = Fo
         dealt, "dim int, vec binary, h bigint, node bigint, w bigint, member array<bigint>, own bigint, near array<bigint>")
     routes = written(routes, "vector-routes")
     shape = "node bigint, h bigint, links bigint, head bigint"
-    groups = routes.select(F.explode("member").alias("leaf"), "dim", "vec", "h", "node", "w", "member")
-    found = groups.groupBy("leaf", "dim").applyInPandas(lambda pdf: compare_leaf(pdf, forest, least, kind), shape)
+    flat = routes.select(F.explode("member").alias("leaf"), "dim", "h", "node", "vec")
+    big = flat.groupBy("leaf", "dim").count().where(F.col("count") > 2 * forest.leaf).select("leaf", "dim").collect()
+    in_trees = routes.where("own < 0")
+    if big:  # at most trees x 2^depth
+        big = F.broadcast(vectors.sparkSession.createDataFrame(big, "leaf bigint, dim int"))
+        cut = flat.join(big, ["leaf", "dim"]).groupBy("leaf", "dim").applyInPandas(
+            lambda pdf: final_leaves(pdf, forest, kind), "node bigint, h bigint, leaf bigint")
+        final = flat.join(big, ["leaf", "dim"], "left_anti").select("node", "h", "leaf").unionByName(cut)
+        final = final.groupBy("node", "h").agg(F.sort_array(F.collect_list("leaf")).alias("member"))  # a point's own leaves
+        in_trees = written(in_trees.drop("member").join(final, ["node", "h"]), "vector-leaves")
+    groups = in_trees.select(F.explode("member").alias("leaf"), "dim", "vec", "h", "node", "w", "member")
+    found = groups.groupBy("leaf", "dim").applyInPandas(lambda pdf: compare_leaf(pdf, least, kind), shape)
     if n_cells:
         dense = cell_tasks(routes, 2 * forest.leaf).groupBy("cell", "x", "y")
         found = found.unionByName(dense.applyInPandas(lambda pdf: compare_cell(pdf, least, kind), shape))

@@ -167,7 +167,24 @@ def test_forest_keeps_a_hot_group_whole(spark):
     for f in (RP.Forest(leaf=100), RP.Forest(leaf=1000, dense=400, per_leaf=256)):  # in chunks, and in one task
         got = {r.vec_id: r for r in RP.near_duplicates(df, forest=f).collect()}
         links = np.array([got[i].n_links for i in range(len(x))])
-        print("links found", links.sum(), "of", sim.sum())
         assert (links <= sim.sum(axis=1)).all() and links.sum() >= 0.999 * sim.sum()
         assert (links[3000:4500] == sim[3000:4500].sum(axis=1)).all()
         assert {got[i].component_id for i in range(3000, 4500)} == {3000}
+
+
+def test_forest_counts_what_it_links(spark):
+    """Also where groups are split on in their tasks, a link that joins two points is counted."""
+    rng = np.random.default_rng(15)
+    base = rng.standard_normal((3000, 16))
+    x = np.vstack([base, base + 0.27 * rng.standard_normal((3000, 16))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    sim = u @ u.T >= 0.95
+    np.fill_diagonal(sim, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in RP.near_duplicates(df, forest=RP.Forest(leaf=60, sample=128, per_leaf=32)).collect()}
+    size = {}
+    for r in got.values():
+        size[r.component_id] = size.get(r.component_id, 0) + 1
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert (links <= sim.sum(axis=1)).all()
+    assert all((r.n_links > 0) == (size[r.component_id] > 1) for r in got.values())
