@@ -98,6 +98,17 @@ def test_jaccard_join_edges(spark):
     assert got == sorted([(None, 2, None), (3, 2, 3), (3, 2, 3), (9, 2, 3), (9, 2, 3), (4, 0, 4)], key=str)
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f", 1), (None, "a b c d e f", 1), (None, None, 2), (3, "a b c d e f", 5), (3, "a b c d e f", 4), (3, "p q r s t u", 6),
+            (9, "p q r s t u", 7), (4, None, 8), (4, None, 8), (5, "other words stand in here", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    got = NG.keep_one(df)
+    assert got.columns == df.columns
+    want = [rows[0], rows[1], rows[2], rows[4], rows[5], rows[7], rows[9]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, NG.keep_one(df.where("doc_id IS NULL")).collect()), key=str) == sorted(rows[:3], key=str)
+
+
 def test_rtree_finds_all():
     """Every pair of sets that is similar passes the tree and the finer bound."""
     rng = np.random.default_rng(1)
