@@ -98,6 +98,39 @@ def test_jaccard_join_edges(spark):
     assert got == sorted([(None, 2, None), (3, 2, 3), (3, 2, 3), (9, 2, 3), (9, 2, 3), (4, 0, 4)], key=str)
 
 
+def test_large_blocks_and_groups_in_bounded_tasks(spark, monkeypatch):
+    """A hot group of distinct near copies, and documents that share only a passage with
+    it: no block row, and no comparison, holds more than the chunks' bound, texts are
+    not copied to every chunk, and the links are those of brute force."""
+    rnd = random.Random(21)
+    hot = [f"h{k}" for k in range(60)]
+    texts = [edited(rnd, hot, rnd.randint(0, 2)) for _ in range(300)]
+    texts += [" ".join(hot[:40] + [f"u{i}_{k}" for k in range(10)]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, real = [], NG._grouped
+
+    def watched(rows, keys, *rest):
+        seen.append((rows.count(), rows.groupBy(*keys).count().agg({"count": "max"}).first()[0], "text" in rows.columns))
+        return real(rows, keys, *rest)
+
+    sizes, real_blocks = [], NG._blocks
+
+    def blocks(*a):
+        b = real_blocks(*a)
+        sizes.append(b.selectExpr("sum(length(refs)) / 8").first()[0])
+        return b
+
+    monkeypatch.setattr(NG, "_grouped", watched)
+    monkeypatch.setattr(NG, "_blocks", blocks)
+    j = NG.Join(small=2, most=20, frequent=3, bucket=500)
+    got = {r.doc_id: r.component_id for r in NG.linked_documents(df, j).collect()}
+    sets, comp = brute_links(list(range(len(texts))), texts)
+    assert got == dict(enumerate(comp))
+    assert sizes[0] <= sum(j.prefix(len(s)) for s in sets)  # not more than the postings
+    assert max(m for _, m, _ in seen) <= 3 * j.most
+    assert sum(n for n, _, text in seen if text) <= 0.5 * len(texts) * len(texts) / (j.most // 2)  # half of each text to each chunk
+
+
 def test_keep_one_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f", 1), (None, "a b c d e f", 1), (None, None, 2), (3, "a b c d e f", 5), (3, "a b c d e f", 4), (3, "p q r s t u", 6),
             (9, "p q r s t u", 7), (4, None, 8), (4, None, 8), (5, "other words stand in here", 9)]
