@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import arc_convert, language_codes, mixing, ngram_rtree, packing, quality_rank, quality_rules, rp_forest, toxic_segments, url_sweep
+from . import arc_convert, language_codes, mixing, ngram_rtree, packing, quality_rank, quality_rules, rp_forest, toxic_segments, url_sweep, word_bpe
 from .common import held_out
 
 
@@ -67,14 +67,19 @@ def op10_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
-def tokenizer_path() -> str:
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_arc_convert, op3_language_codes, op4_pairwise_quality, op5_url_sweep,
-                                   op6_count_rtree, op7_toxic_segments, op8_source_mix, op9_projection_forest, op10_balanced_packing)}
+                                   op6_count_rtree, op7_toxic_segments, op8_source_mix, op9_projection_forest, op10_balanced_packing,
+                                   op13_word_bpe)}
 ORACLES: dict[str, str] = {
     "op2_arc_convert": arc_convert.oracle(),
     "op5_url_sweep": url_sweep.oracle(URL_RULES),
