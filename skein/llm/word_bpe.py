@@ -1,12 +1,15 @@
 """BPE encoding and decoding of a corpus through a table of its distinct words.
 
 A tokenizer's merges never cross a word, so a word's ids are the same wherever it
-stands. Texts are split into words once; every block of documents keeps its own list of
-distinct words and, per document, the words' numbers in that list (the positions). The
-distinct words of all blocks are then encoded once each, and their ids go back to the
-blocks by a join on (word, salt): a word that most blocks hold is spread over as many
-salts as keep both steps of the join to about the square root of the blocks. Last, each
-block's documents meet their block's list and replace numbers by ids.
+stands. Texts are split into words once; a block of documents keeps its list of distinct
+words and, per document, the words' numbers in that list (the positions). The lists of
+all blocks are dealt to groups by a hash of the word, so that a group sees every block's
+entry of its words, encodes each distinct word once and sends the ids back to the
+blocks, which replace numbers by ids.
+
+A word has at most one entry per block, however often it is used, so a frequent word is
+no hot key: it has as many entries as there are blocks, one word in tens of thousands of
+a block's list. Groups hold ``GROUP_WORDS`` entries on average, whatever the input.
 
 Decoding joins ids with the vocabulary's pieces. That side is bounded by the tokenizer
 file (checked), so it is broadcast and taken from by position, batch by batch.
@@ -15,24 +18,28 @@ file (checked), so it is broadcast and taken from by position, batch by batch.
 from __future__ import annotations
 
 import json
-import math
+import re
+import struct
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import written
 from .packing import _byte_characters
 
-#: Bounds of a block: bytes of text and documents (a longer text is a block of its own).
-BLOCK_BYTES = 8 << 20
-BLOCK_DOCS = 8192
+#: A block ends with the document that reaches one of these bounds.
+BLOCK_CHARS = 24 << 20
+BLOCK_DOCS = 16_384
+SEPARATOR = b"\xff"
+#: Entries (block, word) of a group of words, on average.
+GROUP_WORDS = 200_000
 #: Most pieces of a vocabulary that decoding broadcasts.
 MAX_PIECES = 2_000_000
 #: First character of a listed word: of the text, or the name of an added token.
@@ -48,7 +55,7 @@ PLAIN = [c for c in map(chr, [*range(0, 0x1C), *range(0x20, 0x130), *range(0x131
 
 
 def _class(kind: str) -> str:
-    return "".join(regex.escape(c) for c in PLAIN if unicodedata.category(c)[0] == kind)
+    return "".join(re.escape(c) for c in PLAIN if unicodedata.category(c)[0] == kind)
 
 
 class Words:
@@ -69,11 +76,11 @@ class Words:
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens that are stripped, whole words or normalised are not supported")
         names = sorted((t["content"] for t in added), key=len, reverse=True)
-        self.added = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         letters, numbers = _class("L"), _class("N")
         space = "\t\n\v\f\r \x85\xa0"
-        self.strange = regex.compile(f"[^{''.join(map(regex.escape, PLAIN))}]")
-        self.find = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
+        self.strange = re.compile(f"[^{''.join(map(re.escape, PLAIN))}]")
+        self.find = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
         self.bytes = _byte_characters()
         self.chars = {b: c for c, b in self.bytes.items()}
 
@@ -123,52 +130,118 @@ class _Numbers(dict):
         return n
 
 
+def pack_ints(a: np.ndarray) -> bytes:
+    """Non-negative integers, byte plane by byte plane (high bytes repeat), compressed."""
+    w = 1 if not len(a) or a.max() < 1 << 8 else 2 if a.max() < 1 << 16 else 4
+    planes = a.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes()
+    return struct.pack("<BQ", w, len(a)) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack_ints(raw: bytes) -> np.ndarray:
+    w, n = struct.unpack_from("<BQ", raw)
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = pa.decompress(raw[9:], decompressed_size=n * w, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(w, n).T.copy().view(f"<u{w}").ravel()
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words end to end; no byte of UTF-8 equals the separator."""
+    raw = b"".join(w + SEPARATOR for w in words)
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_words(raw: bytes) -> list[bytes]:
+    n, = struct.unpack_from("<Q", raw)
+    return pa.decompress(raw[8:], decompressed_size=n, codec="zstd", asbytes=True).split(SEPARATOR)[:-1] if n else []
+
+
 def split_blocks(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """(block, id, codes, words): per document its words' numbers in the block's list,
-    and one more row per block, without codes, that holds the list."""
-    kind = docs.schema[id_col].dataType
+    """One row per block: block, id (of its documents), counts (words per document),
+    codes (the words' numbers), words (the block's distinct words, most frequent first,
+    numbered from 0), n_words; codes and words are packed."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(path)
-        block = (TaskContext.get().partitionId() << 32) - 1
+        splitter = words_of(path)
+        block = TaskContext.get().partitionId() << 32
         numbers, codes, ids, size = _Numbers(), [], [], 0
 
         def close() -> pa.RecordBatch:
-            wide = np.uint16 if len(numbers) <= 1 << 16 else np.uint32
-            n = len(ids)
+            words, c = list(numbers), np.concatenate(codes)
+            order = np.argsort(-np.bincount(c, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            listed = [splitter.listed(words[i]).encode() for i in order.tolist()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([block] * (n + 1), pa.int64()), pa.array([*ids, None], id_type),
-                 pa.array([*(c.astype(wide).tobytes() for c in codes), None], pa.binary()),
-                 pa.array([None] * n + [[words.listed(w) for w in numbers]], pa.list_(pa.string()))], ["block", "id", "codes", "words"])
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([[len(c) for c in codes]], pa.list_(pa.int32())),
+                 pa.array([pack_ints(rank[c])], pa.binary()), pa.array([pack_words(listed)], pa.binary()), pa.array([len(words)], pa.int64())],
+                ["block", "id", "counts", "codes", "words", "n_words"])
 
         for b in batches:
             id_type = b.schema.field(0).type
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 text = t.as_py() or ""
-                codes.append(np.fromiter(map(numbers.__getitem__, words.split(text)), np.uint32))
+                codes.append(np.fromiter(map(numbers.__getitem__, splitter.split(text)), np.uint32))
                 ids.append(i)
                 size += len(text)
-                if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
-                    block += 1
+                if size >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
                     yield close()
+                    block += 1
                     numbers, codes, ids, size = _Numbers(), [], [], 0
         if ids:
-            block += 1
             yield close()
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"block bigint, id {kind.simpleString()}, codes binary, words array<string>")
+    return src.mapInArrow(run, f"block bigint, id array<{kind}>, counts array<int>, codes binary, words binary, n_words bigint")
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of every row of ``words``; ids as little-endian unsigned 32-bit."""
+def deal_words(blocks: DataFrame, groups: int) -> DataFrame:
+    """(grp, block, k, words): each block's list, cut by a hash of the word; k: the steps
+    between the words' numbers in the block, which ascend. Both are packed."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, raw in zip(b.column("block").to_pylist(), b.column("words")):
+                words = unpack_words(raw.as_py())
+                if not words:
+                    continue
+                at = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % groups
+                order = np.argsort(at, kind="stable")
+                grp, first = np.unique(at[order], return_index=True)
+                cut = [order[i:j] for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grp, pa.int64()), pa.array(np.full(len(grp), block), pa.int64()),
+                     pa.array([pack_ints(np.diff(k, prepend=0)) for k in cut], pa.binary()),
+                     pa.array([pack_words([words[i] for i in k.tolist()]) for k in cut], pa.binary())], ["grp", "block", "k", "words"])
+
+    return blocks.select("block", "words").mapInArrow(run, "grp bigint, block bigint, k binary, words binary")
+
+
+def encode_words(dealt: DataFrame, path: str) -> DataFrame:
+    """(block, k, n, ids) of every row of :func:`deal_words`: n ids for each of its
+    words, end to end, packed. A distinct word is encoded once, in its group."""
+
+    def run(t: pa.Table) -> pa.Table:
         w = words_of(path)
-        ids = [np.array(w.ids(x), "<u4").tobytes() for x in b.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+        numbers = _Numbers()
+        rows = [np.fromiter(map(numbers.__getitem__, unpack_words(x.as_py())), np.int64) for x in t["words"]]
+        coded = [w.ids(x.decode()) for x in numbers]
+        length = np.array([len(x) for x in coded], np.int64)
+        flat = np.array([i for x in coded for i in x], np.int64)
+        got = [gather(flat, np.cumsum(length) - length, length, r) for r in rows]
+        return pa.table({"block": t["block"], "k": t["k"], "n": pa.array([pack_ints(n) for n, _ in got], pa.binary()),
+                         "ids": pa.array([pack_ints(i) for _, i in got], pa.binary())})
 
-    return map_batches(words.select("word"), run, "word string, ids binary")
+    return dealt.groupBy("grp").applyInArrow(run, "block bigint, k binary, n binary, ids binary")
+
+
+def gather(flat: np.ndarray, first: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[first : first + length]`` numbered by ``which``, end to end, and their lengths."""
+    n = length[which]
+    end = np.cumsum(n)
+    total = int(end[-1]) if len(end) else 0
+    return n, flat[np.repeat(first[which] - (end - n), n) + np.arange(total)]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,36 +253,32 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Rows with a null or repeated id are encoded each; an empty table gives no rows;
     other columns are ignored.
     """
-    coded = written(split_blocks(docs, path, id_col, text_col), "word-blocks")
-    lists = coded.where(F.col("words").isNotNull())
-    salts = max(1, math.isqrt(lists.count()))
-    at = lists.select("block", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"), F.posexplode("words").alias("k", "word"))
-    table = encode_words(at.select("word").distinct(), path)
-    spread = at.select("word", "salt").distinct().join(table, "word")
-    found = at.join(spread, ["word", "salt"]).select("block", "k", "ids")
-    rows = coded.where(F.col("words").isNull()).select(F.col("block").alias("of"), "id", "codes")
+    blocks = written(split_blocks(docs, path, id_col, text_col), "word-blocks")
+    entries = blocks.agg(F.sum("n_words")).first()[0] or 0
+    coded = encode_words(deal_words(blocks, entries // GROUP_WORDS + 1), path)
+    rows = blocks.select(F.col("block").alias("of"), "id", "counts", "codes", "n_words")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
-        k = right["k"].to_numpy()
-        ids = [None] * len(k)
-        for n, raw in zip(k.tolist(), right["ids"].to_pylist()):
-            ids[n] = raw
-        length = np.array([len(x) for x in ids], np.int64) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        first = np.cumsum(length) - length
-        wide = np.uint16 if len(ids) <= 1 << 16 else np.uint32
+        n_words = left["n_words"][0].as_py()
+        codes = unpack_ints(left["codes"][0].as_py())
+        length, first, flat, at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64), [], 0
+        for k, n, ids in zip(*(right[c] for c in ("k", "n", "ids"))):
+            k, n = np.cumsum(unpack_ints(k.as_py()).astype(np.int64)), unpack_ints(n.as_py()).astype(np.int64)
+            length[k], first[k] = n, at + np.cumsum(n) - n
+            flat.append(unpack_ints(ids.as_py()).astype("<u4"))
+            at += len(flat[-1])
+        table = np.concatenate(flat) if flat else np.zeros(0, "<u4")
+        ends = np.append(0, np.cumsum(left["counts"].combine_chunks().flatten().to_numpy()))
         out, sizes = [], []
-        for codes in left["codes"]:
-            c = np.frombuffer(codes.as_py(), wide)
-            n = length[c]
-            end = np.cumsum(n)
-            total = int(end[-1]) if len(end) else 0
-            out.append(flat[np.repeat(first[c] - (end - n), n) + np.arange(total)].tobytes())
-            sizes.append(total)
-        return pa.table({id_col: left["id"], "n_tokens": pa.array(sizes, pa.int64()), "ids": pa.array(out, pa.binary())})
-
-    return (rows.groupBy("of").cogroup(found.groupBy("block"))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            ids = gather(table, first, length, codes[a:b])[1]
+            out.append(ids.tobytes())
+            sizes.append(len(ids))
+        return pa.table({id_col: left["id"].combine_chunks().flatten(), "n_tokens": pa.array(sizes, pa.int64()),
+                         "ids": pa.array(out, pa.binary())})
+
+    return (rows.groupBy("of").cogroup(coded.groupBy("block"))
             .applyInArrow(fill, f"`{id_col}` {kind}, n_tokens bigint, ids binary"))
 
 
@@ -223,39 +292,37 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    size = tok.get_vocab_size(with_added_tokens=True)
-    if size > MAX_PIECES:
-        raise ValueError(f"the vocabulary has {size} pieces, more than the {MAX_PIECES} that decoding broadcasts")
+    vocab = tok.get_vocab(with_added_tokens=True)
+    if len(vocab) > MAX_PIECES:
+        raise ValueError(f"the vocabulary has {len(vocab)} pieces, more than the {MAX_PIECES} that decoding broadcasts")
+    names: list[str | None] = [None] * (max(vocab.values(), default=-1) + 2)
+    for name, i in vocab.items():
+        names[i] = name
+    joined = tok.decoder is None  # else the library makes the text of the pieces
+    pieces = encoded.sparkSession.sparkContext.broadcast(names)
     kept = [c for c in encoded.columns if c != out_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != out_col)
-    if tok.decoder is not None:  # the pieces alone do not make the text
-        def text(ids: pa.Array) -> pa.Array:
-            own = words_of(path).tok
-            return pa.array([None if x is None else own.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False)
-                             for x in ids.to_pylist()], pa.large_string())
-    else:
-        vocab = tok.get_vocab(with_added_tokens=True)
-        names: list[str | None] = [None] * (max(vocab.values(), default=-1) + 1)
-        for name, i in vocab.items():
-            names[i] = name
-        pieces = encoded.sparkSession.sparkContext.broadcast(names)
-
-        def text(ids: pa.Array) -> pa.Array:
-            table = pa.array([*pieces.value, None], pa.large_string())
-            out = []
-            for x in ids:
-                if x.as_py() is None:
-                    out.append(None)
-                    continue
-                got = table.take(pa.array(np.minimum(np.frombuffer(x.as_py(), "<u4"), len(table) - 1))).drop_null()
-                row = pa.ListArray.from_arrays(pa.array([0, len(got)], pa.int32()), got)
-                out.append(pc.binary_join(row, pa.scalar(" ", pa.large_string()))[0].as_py())
-            return pa.array(out, pa.large_string())
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), text(b.column(ids_col)).cast(pa.string())], [*kept, out_col])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(pieces.value, pa.large_string())
+        space = pa.scalar(" ", pa.large_string())
+
+        def text(raw: bytes | None) -> str | None:
+            if raw is None:
+                return None
+            ids = np.frombuffer(raw, "<u4")
+            if not joined:
+                return words_of(path).tok.decode(ids.tolist(), skip_special_tokens=False)
+            got = table.take(pa.array(np.minimum(ids, len(table) - 1))).drop_null()
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(got)], pa.int32()), got), space)[0].as_py()
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                out = pa.array([text(x.as_py()) for x in part.column(ids_col)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), out], [*kept, out_col])
 
-    return map_batches(encoded, run, schema + f", `{out_col}` string")
+    return encoded.mapInArrow(run, schema + f", `{out_col}` string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

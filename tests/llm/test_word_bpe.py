@@ -40,7 +40,7 @@ def test_words_of_every_plain_character():
 
 @pytest.mark.parametrize("block", [1, 50, 8 << 20])
 def test_encode_and_decode(spark, monkeypatch, block):
-    monkeypatch.setattr(WB, "BLOCK_BYTES", block)
+    monkeypatch.setattr(WB, "BLOCK_CHARS", block)
     rnd = random.Random(block)
     texts = ODD + ["".join(rnd.choice(["the ", "Dog", "é ", "'s ", "9", " ", "日", "\n", "<|endoftext|>"]) for _ in range(rnd.randint(0, 60))) for _ in range(80)]
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "null id", "x", 1), (3, texts[3], "x", 1)]
