@@ -35,7 +35,7 @@ from .common import written
 from .packing import _byte_characters
 
 #: A block ends with the document that reaches one of these bounds.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 20 << 20
 BLOCK_DOCS = 16_384
 SEPARATOR = b"\xff"
 #: Entries (block, word) of a group of words, on average.
@@ -168,14 +168,16 @@ def split_blocks(docs: DataFrame, path: str, id_col: str, text_col: str) -> Data
         numbers, codes, ids, size = _Numbers(), [], [], 0
 
         def close() -> pa.RecordBatch:
-            words, c = list(numbers), np.concatenate(codes)
+            counts, c = [len(x) for x in codes], np.concatenate(codes)
+            codes.clear()
+            words = list(numbers)
             order = np.argsort(-np.bincount(c, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
+            rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words))
-            listed = [splitter.listed(words[i]).encode() for i in order.tolist()]
+            listed = pack_words([splitter.listed(words[i]).encode() for i in order.tolist()])
             return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([[len(c) for c in codes]], pa.list_(pa.int32())),
-                 pa.array([pack_ints(rank[c])], pa.binary()), pa.array([pack_words(listed)], pa.binary()), pa.array([len(words)], pa.int64())],
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([counts], pa.list_(pa.int32())),
+                 pa.array([pack_ints(rank[c])], pa.binary()), pa.array([listed], pa.binary()), pa.array([len(words)], pa.int64())],
                 ["block", "id", "counts", "codes", "words", "n_words"])
 
         for b in batches:
@@ -269,14 +271,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             flat.append(unpack_ints(ids.as_py()).astype("<u4"))
             at += len(flat[-1])
         table = np.concatenate(flat) if flat else np.zeros(0, "<u4")
-        ends = np.append(0, np.cumsum(left["counts"].combine_chunks().flatten().to_numpy()))
-        out, sizes = [], []
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            ids = gather(table, first, length, codes[a:b])[1]
-            out.append(ids.tobytes())
-            sizes.append(len(ids))
-        return pa.table({id_col: left["id"].combine_chunks().flatten(), "n_tokens": pa.array(sizes, pa.int64()),
-                         "ids": pa.array(out, pa.binary())})
+        cuts = np.append(0, np.cumsum(left["counts"].combine_chunks().flatten().to_numpy()))
+        ends = np.append(0, np.cumsum(length[codes]))[cuts]
+        out, at = np.empty(int(ends[-1]), "<u4"), 0
+        for a in range(0, len(codes), 1 << 16):
+            ids = gather(table, first, length, codes[a:a + (1 << 16)])[1]
+            out[at:at + len(ids)] = ids
+            at += len(ids)
+        packed = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(4 * ends), pa.py_buffer(out)])
+        return pa.table({id_col: left["id"].combine_chunks().flatten(), "n_tokens": pa.array(np.diff(ends), pa.int64()),
+                         "ids": packed.cast(pa.binary())})
 
     return (rows.groupBy("of").cogroup(coded.groupBy("block"))
             .applyInArrow(fill, f"`{id_col}` {kind}, n_tokens bigint, ids binary"))
