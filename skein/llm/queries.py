@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import arc_convert, feast_whitening, language_codes, mixing, ngram_rtree, packing, quality_rank, quality_rules, rp_forest, toxic_segments, url_sweep, word_bpe
+from . import arc_convert, feast_whitening, language_codes, mask_search, mixing, ngram_rtree, packing, quality_rank, quality_rules, rp_forest, toxic_segments, url_sweep, word_bpe
 from .common import held_out
 
 
@@ -67,6 +67,10 @@ def op10_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op11_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feast_whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -83,11 +87,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_arc_convert, op3_language_codes, op4_pairwise_quality, op5_url_sweep,
                                    op6_count_rtree, op7_toxic_segments, op8_source_mix, op9_projection_forest, op10_balanced_packing,
-                                   op12_feast_whitening, op13_word_bpe)}
+                                   op11_mask_search, op12_feast_whitening, op13_word_bpe)}
 ORACLES: dict[str, str] = {
     "op2_arc_convert": arc_convert.oracle(),
     "op5_url_sweep": url_sweep.oracle(URL_RULES),
     "op6_count_rtree": ngram_rtree.oracle(),
     "op8_source_mix": mixing.oracle(),
     "op9_projection_forest": rp_forest.oracle(),
+    "op11_mask_search": mask_search.oracle(),
 }

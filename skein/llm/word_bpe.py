@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .packed import Numbers, gather, pack_ints, pack_words, unpack_ints, unpack_words
 from .packing import _byte_characters
 
 #: A block ends with the document that reaches one of these bounds.
 BLOCK_CHARS = 20 << 20
 BLOCK_DOCS = 16_384
-SEPARATOR = b"\xff"
 #: Entries (block, word) of a group of words, on average.
 GROUP_WORDS = 200_000
 #: Most pieces of a vocabulary that decoding broadcasts.
@@ -122,40 +121,6 @@ def words_of(path: str) -> Words:
     return _WORDS[path]
 
 
-class _Numbers(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
-def pack_ints(a: np.ndarray) -> bytes:
-    """Non-negative integers, byte plane by byte plane (high bytes repeat), compressed."""
-    w = 1 if not len(a) or a.max() < 1 << 8 else 2 if a.max() < 1 << 16 else 4
-    planes = a.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes()
-    return struct.pack("<BQ", w, len(a)) + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpack_ints(raw: bytes) -> np.ndarray:
-    w, n = struct.unpack_from("<BQ", raw)
-    if not n:
-        return np.zeros(0, np.int64)
-    planes = pa.decompress(raw[9:], decompressed_size=n * w, codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(w, n).T.copy().view(f"<u{w}").ravel()
-
-
-def pack_words(words: list[bytes]) -> bytes:
-    """Words end to end; no byte of UTF-8 equals the separator."""
-    raw = b"".join(w + SEPARATOR for w in words)
-    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpack_words(raw: bytes) -> list[bytes]:
-    n, = struct.unpack_from("<Q", raw)
-    return pa.decompress(raw[8:], decompressed_size=n, codec="zstd", asbytes=True).split(SEPARATOR)[:-1] if n else []
-
-
 def split_blocks(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     """One row per block: block, id (of its documents), counts (words per document),
     codes (the words' numbers), words (the block's distinct words, most frequent first,
@@ -165,7 +130,7 @@ def split_blocks(docs: DataFrame, path: str, id_col: str, text_col: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = words_of(path)
         block = TaskContext.get().partitionId() << 32
-        numbers, codes, ids, size = _Numbers(), [], [], 0
+        numbers, codes, ids, size = Numbers(), [], [], 0
 
         def close() -> pa.RecordBatch:
             counts, c = [len(x) for x in codes], np.concatenate(codes)
@@ -190,7 +155,7 @@ def split_blocks(docs: DataFrame, path: str, id_col: str, text_col: str) -> Data
                 if size >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
                     yield close()
                     block += 1
-                    numbers, codes, ids, size = _Numbers(), [], [], 0
+                    numbers, codes, ids, size = Numbers(), [], [], 0
         if ids:
             yield close()
 
@@ -226,7 +191,7 @@ def encode_words(dealt: DataFrame, path: str) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         w = words_of(path)
-        numbers = _Numbers()
+        numbers = Numbers()
         rows = [np.fromiter(map(numbers.__getitem__, unpack_words(x.as_py())), np.int64) for x in t["words"]]
         coded = [w.ids(x.decode()) for x in numbers]
         length = np.array([len(x) for x in coded], np.int64)
@@ -238,14 +203,6 @@ def encode_words(dealt: DataFrame, path: str) -> DataFrame:
     return dealt.groupBy("grp").applyInArrow(run, "block bigint, k binary, n binary, ids binary")
 
 
-def gather(flat: np.ndarray, first: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``flat[first : first + length]`` numbered by ``which``, end to end, and their lengths."""
-    n = length[which]
-    end = np.cumsum(n)
-    total = int(end[-1]) if len(end) else 0
-    return n, flat[np.repeat(first[which] - (end - n), n) + np.arange(total)]
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids) of every row: the ids that the tokenizer file at ``path``
     gives for the whole text without special tokens around it, as little-endian unsigned
