@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .recall import DEFAULT_BLOCK_ROWS, _top_n
+from .recall import DEFAULT_BLOCK_ROWS, _top_n, usable
 
 
 def hyperplanes(dims: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
@@ -55,11 +55,11 @@ def lsh_knn(queries: DataFrame, memory: DataFrame, n: int, *, query_key: str, me
     planes = hyperplanes(dims, bits, tables, seed)
     # codes always have one entry per table; *_outer avoids an inferred
     # "size(codes) > 0" filter that would compute the codes twice
-    q = queries.select(F.col(query_key).alias("__qid"), F.col(vec).alias("__qvec"),
+    q = queries.filter(usable(vec, dims)).select(F.col(query_key).alias("__qid"), F.col(vec).alias("__qvec"),
                        F.posexplode_outer(lsh_codes(vec, planes)).alias("__t", "__own"))
     probes = F.array(F.col("__own"), *[F.col("__own").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
     q = q.withColumn("__code", F.explode(probes)).drop("__own")
-    m = memory.select(F.col(memory_key).alias("__mid"), F.col(vec).alias("__vec"),
+    m = memory.filter(usable(vec, dims)).select(F.col(memory_key).alias("__mid"), F.col(vec).alias("__vec"),
                       F.posexplode_outer(lsh_codes(vec, planes)).alias("__t", "__code"))
 
     def subs(side: DataFrame, out: str) -> DataFrame:

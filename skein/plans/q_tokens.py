@@ -45,9 +45,12 @@ def stop_tokens(spark, sf):
     return r.select("conv_id", "turn", F.col("stop_at").cast("long"), detokenize("tokens").alias("text"))
 
 
+#: Leading tokens that the stop rules leave of a reply.
+KEPT_SQL = (f"least(len(tk), {MAX_TOKENS}, coalesce(stop_at - 1, len(tk)), "
+            f"coalesce(nullif(list_position(tk, {S.lit(EOT)}), 0) - 1, len(tk)))")
 POSTPROCESS_SQL = (
     _STOP_CTES + f"SELECT conv_id, turn, coalesce(array_to_string(list_filter("
-    f"tk[1:least(len(tk), {MAX_TOKENS}, coalesce(stop_at - 1, len(tk)), coalesce(nullif(list_position(tk, {S.lit(EOT)}), 0) - 1, len(tk)))], "
+    f"tk[1:{KEPT_SQL}], "
     "lambda t: " + " AND ".join(f"t <> {S.lit(p)}" for p in PRIVATE) + "), ''), '') AS text FROM r LEFT JOIN c USING (rid)"
 )
 

@@ -42,6 +42,23 @@ def spread(df: DataFrame, factor: int = 4) -> DataFrame:
     return df.repartition(target)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the library wrote."""
+    fs, jpath = _hadoop(spark, path)
+    fs.delete(jpath, True)
+
+
+def file_listing(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of a table's files: differs once the table does."""
+    fs, jpath = _hadoop(spark, path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(jpath)))
+
+
 def _bytes(v: str) -> int:
     v = v.strip().lower()
     for suffix, mult in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("tb", 1 << 40),

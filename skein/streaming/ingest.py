@@ -26,6 +26,7 @@ from ..config import ChunkConfig
 from ..operators import embed as E
 from ..operators import text as ops
 from ..sources.memory import VectorMemory
+from ..sources.tables import remove
 
 
 def document_stream(spark: SparkSession, path: str, schema: StructType, glob: str | None = None,
@@ -54,6 +55,7 @@ def ingest_batch(memory: VectorMemory, config: ChunkConfig, keys: list[str], dea
         chunks = batch.sparkSession.read.parquet(staged)
         rejected = memory.store(chunks, batch_id=batch_id, writer=writer)
         rejected.write.mode("overwrite").parquet(os.path.join(dead_letters, "rejected", f"batch={batch_id}"))
+        remove(batch.sparkSession, staged)  # stored and rejected: the copy has done its work
 
     return run
 

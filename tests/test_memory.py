@@ -45,7 +45,15 @@ def test_recall_from_the_stored_memory(spark):
     assert mem.recall(wrong, 2, tie_keys=["pos"]).count() == 0 and wrong.filter(~mem.fits()).count() == 2
     with pytest.raises(DimensionalityMismatch):
         VectorMemory(spark, path, 3)
-    cos = VectorMemory(spark, path, 2, metric="cosine").recall(_queries(spark), 3, tie_keys=["pos"])
+    with pytest.raises(ValueError):
+        VectorMemory(spark, path, 2, metric="cosine")
+    with pytest.raises(ValueError):
+        VectorMemory(spark, path, mode="upsert")
+    cosine = VectorMemory(spark, unique_subdir(spark, "t-recall-cosine"), 2, mode="upsert", metric="cosine")
+    cosine.store(_store_df(spark))
+    opened = VectorMemory(spark, cosine.path)
+    assert (opened.dims, opened.mode, opened.metric) == (2, "upsert", "cosine") and opened.read().count() == 5
+    cos = opened.recall(_queries(spark), 3, tie_keys=["pos"])
     assert _ranked(cos)[2] == ["mid", "north", "east"]
 
 
