@@ -128,8 +128,8 @@ def http_header(head: bytes, name: bytes) -> str | None:
 # ---------------------------------------------------------------- WARC
 
 def record_id(path: str, offset: int) -> str:
-    name = path.rsplit("/", 1)[-1]
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{offset}')}"
+    """An identifier of a place: the whole path counts, as folders may repeat file names."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{offset}')}"
 
 
 def warc_date(arc_date: str) -> str:
@@ -220,7 +220,9 @@ def _write(records: DataFrame, path: str, separator: str) -> str:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    """All files under a folder, nested ones too; Spark leaves out names that start with
+    an underscore or a dot, as its own marker files do."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def write_arc(pages: DataFrame, path: str) -> str:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(base: str, columns: list[str]) -> str:
+    """``base``, with as many underscores as make it differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     """Whether ``crc32(id as text) mod modulus`` is ``remainder`` (null id: false)."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
@@ -97,28 +106,38 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, intercept: bool
 
 
 class RunHash:
-    """64-bit hashes of byte ranges of an array, all at once: polynomials over random
-    byte values modulo 2^64, mixed with the range's length."""
+    """64-bit hashes of byte ranges of an array, all at once.
 
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
-        self.powers = self.inverse = np.zeros(0, np.uint64)
+    A range's hash is the sum modulo 2^64 of a random value per byte times a random
+    factor per place in the range, mixed with its length, so no rule between places
+    (as powers of one base have) makes different ranges equal. Ranges longer than
+    ``LONG`` are hashed one by one. Ranges must ascend and not overlap."""
 
-    @staticmethod
-    def _powers(base: int, n: int) -> np.ndarray:
-        out = np.ones(n, np.uint64)
-        out[1:] = np.uint64(base & ((1 << 64) - 1))
-        return np.multiply.accumulate(out)
+    LONG = 1 << 16
+
+    def __init__(self, seed: int):
+        self.seed = seed
+        self.table = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.factor = np.zeros(0, np.uint64)
 
     def __call__(self, a: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        if len(self.powers) < len(a):
-            self.powers = self._powers(self.base, len(a))
-            self.inverse = self._powers(pow(self.base, -1, 1 << 64), len(a))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.table[a] * self.powers[:len(a)])))
-        h = (sums[stop] - sums[start]) * self.inverse[np.minimum(start, max(0, len(a) - 1))]
-        return mixed(h ^ ((stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        length = stop - start
+        most = min(int(length.max()), self.LONG) + 1
+        if len(self.factor) < most:
+            places = np.arange(1 << (most - 1).bit_length(), dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                self.factor = mixed((places + np.uint64(self.seed)) * np.uint64(0x9E3779B97F4A7C15))
+        lead = int(start[0])
+        place = np.arange(lead, len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+        np.minimum(place, len(self.factor) - 1, out=place)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.table[a[lead:]] * self.factor[place])))
+        with np.errstate(over="ignore"):
+            h = mixed((sums[stop - lead] - sums[start - lead]) ^ (length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        for i in np.flatnonzero(length > self.LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(a[start[i]:stop[i]].tobytes(), self.seed)
+        return h
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

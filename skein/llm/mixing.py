@@ -1,15 +1,21 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of each source, document after document, form a stream that is packed into
-blocks of fixed length. Every source gets as many block slots as its target needs; a
-slot draws its output shard by a hash, so a source's counts over the shards are
-multinomial with a fixed total. A slot's number is mapped through a pseudorandom
+blocks of fixed length. Every source gets as many block slots as its target needs. Each
+slot draws an output shard, which makes a source's counts over the shards multinomial;
+the counts then say which of the source's slots a shard holds: the shards take them in
+turn, from the first to the last. A slot's number is mapped through a pseudorandom
 permutation of its source's block numbers (another one for each pass over the source),
 and the words follow by a join on (source, block).
 
-Nothing is ordered over a whole source: documents are numbered within ranges of ids,
-and the ranges' totals are summed, so a source that holds most rows is split like any
-other. Slots of one source are made in pieces of ``SLOTS_PER_PIECE``.
+The permutation is a swap-or-not shuffle: in every round an index and its mirror image
+about a point of the round change places or not, by a bit of the larger of the two. It
+permutes any number of blocks exactly and is computed for one index alone.
+
+Nothing is ordered over a whole source: documents are numbered within ranges of
+(source, id, size, content), whose bounds Spark samples, and the ranges' totals are
+summed, so a source that holds most rows, null, repeated or outlying ids are split like
+any other. Slots of one source are drawn in pieces of ``SLOTS_PER_PIECE``.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import running_sum
 from .common import written
 
 #: Characters that separate words.
@@ -26,8 +33,9 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
-#: Primes above any number of blocks of a source (2^31), so coprime to it.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
+#: Modulus of the hashes by squares below (a prime; numbers of blocks stay under it).
+PRIME = 2147483647
+ROUNDS = 20
 ROWS_PER_RANGE = 2048
 SLOTS_PER_PIECE = 1 << 16
 
@@ -74,34 +82,61 @@ def targets(docs: DataFrame, mix: Mix) -> DataFrame:
 
 
 def offsets(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``off``, the words of the same source before the row, in the order
-    of (doc_id, size, key). Sums run within ranges of ids, then over the ranges."""
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    lo = span.lo or 0
-    width = max(1, -(-((span.hi or 0) - lo + 1) * ROWS_PER_RANGE // max(1, span.n)))
-    docs = docs.withColumn("rng", F.coalesce(F.expr(f"(doc_id - ({lo})) div {width}"), F.lit(-1)))
+    """``docs`` (src, doc_id, size, key, rid) with ``off``, the words of the same source
+    before the row, in that order. Sums run within ranges, then over the ranges."""
+    order = ["doc_id", "size", "key", "rid"]
+    parts = max(1, -(-docs.count() // ROWS_PER_RANGE))
+    # written, since the bounds are sampled: a row's range must not change
+    docs = written(docs.repartitionByRange(parts, "src", *order).withColumn("rng", F.spark_partition_id()), "mix-ranges")
     before = Window.partitionBy("src").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (docs.groupBy("src", "rng").agg(F.sum("size").alias("words"))
               .select("src", "rng", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")))
-    inside = Window.partitionBy("src", "rng").orderBy("doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (docs.withColumn("part", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["src", "rng"])
             .withColumn("off", F.col("base") + F.col("part")).drop("rng", "part", "base"))
 
 
-def slots(per: DataFrame, mix: Mix) -> DataFrame:
-    """(src, slot, shard, block): every slot's output shard and permuted block."""
+def _square(x: Column) -> Column:
+    """A number below ``PRIME`` hashed from one up to its square root's reach."""
+    return x % PRIME * (x % PRIME) % PRIME * 48271 % PRIME
+
+
+def permuted(index: Column, n: Column, src: Column, turn: Column, seed: int) -> Column:
+    """``index`` of 0..n-1 in the permutation of (src, turn)."""
+    base = src * 7919 + turn * 104729 + (seed * 1299709 + 1)
+
+    def round_(x: Column, r: Column) -> Column:
+        key = base + r * 15485863
+        mirror = F.pmod(_square(key) % n - x, n)
+        upper = F.greatest(x, mirror)
+        return F.when(F.floor(_square(upper + key) / 65536) % 2 == 1, mirror).otherwise(x)
+
+    return F.aggregate(F.array(*(F.lit(r).cast("long") for r in range(ROUNDS))), index, round_)
+
+
+def shard_counts(per: DataFrame, mix: Mix) -> DataFrame:
+    """(src, blocks, shard, first, slots): the multinomial counts of each source over the
+    output shards (those of no slots left out) and the first slot that each holds."""
     total = per.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first().n
     shards = max(1, -(-total // mix.slots_per_shard))
-    pieces = (per.where("slots > 0").select("src", "blocks", "slots", F.explode(F.sequence(
+    cut = (per.where("slots > 0").select("src", "blocks", "slots", F.explode(F.sequence(
         F.lit(0).cast("long"), F.expr(f"(slots - 1) div {SLOTS_PER_PIECE}"))).alias("piece")))
     parts = max(1, min(total // SLOTS_PER_PIECE + 1, 100_000))
-    one = pieces.repartition(parts, "src", "piece").select("src", "blocks", F.explode(F.sequence(
-        F.col("piece") * SLOTS_PER_PIECE, F.least(F.col("slots"), (F.col("piece") + 1) * SLOTS_PER_PIECE) - 1)).alias("slot"))
-    one = one.withColumn("turn", F.expr("slot div blocks")).withColumn("i", F.col("slot") % F.col("blocks"))
-    factor = F.element_at(F.array(*(F.lit(p) for p in PRIMES)), ((F.col("src") + F.col("turn")) % len(PRIMES) + 1).cast("int"))
-    shift = (F.col("src") * 7919 + F.col("turn") * 104729 + mix.seed) % F.col("blocks")
-    return one.select("src", "slot", F.pmod(F.xxhash64("src", "slot", F.lit(mix.seed)), F.lit(shards)).alias("shard"),
-                      (((factor % F.col("blocks")) * F.col("i") + shift) % F.col("blocks")).alias("block"))
+    draws = cut.repartition(parts, "src", "piece").select("src", "blocks", F.explode(F.sequence(
+        F.col("piece") * SLOTS_PER_PIECE, F.least(F.col("slots"), (F.col("piece") + 1) * SLOTS_PER_PIECE) - 1)).alias("draw"))
+    shard = F.pmod(F.xxhash64("src", "draw", F.lit(mix.seed)), F.lit(shards))
+    counts = draws.groupBy("src", "blocks", shard.alias("shard")).agg(F.count("*").alias("slots"))
+    counts = running_sum(counts, ["src"], "shard", "slots", "upto")
+    return counts.select("src", "blocks", "shard", (F.col("upto") - F.col("slots")).alias("first"), "slots")
+
+
+def slots(per: DataFrame, mix: Mix) -> DataFrame:
+    """(src, shard, slot, block): the slots that each shard holds, and the block that the
+    source's permutation of the slot's turn puts there."""
+    one = shard_counts(per, mix).select("src", "blocks", "shard", F.explode(
+        F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot"))
+    turn = F.floor(F.col("slot") / F.col("blocks"))
+    return one.select("src", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("src"), turn, mix.seed).alias("block"))
 
 
 def pieces(placed: DataFrame, block: int) -> DataFrame:
@@ -114,15 +149,25 @@ def pieces(placed: DataFrame, block: int) -> DataFrame:
 
 
 def _sized(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
-    """(rows with src and off, sources): the texts are read once, for their sizes."""
-    slim = written(docs.select("doc_id", "source", F.xxhash64("text").alias("key"), count_words(F.col("text")).alias("size")),
-                   "mix-sizes")
+    """(rows with src and off, sources): the texts are read once, for their sizes. A row's
+    key and second key are hashes of its contents, its rid tells equal rows apart."""
+    keys = [F.xxhash64(*docs.columns).alias("key"), F.xxhash64(F.lit(7), *docs.columns).alias("key2")]
+    slim = written(docs.select("doc_id", "source", *keys, count_words(F.col("text")).alias("size"),
+                               F.monotonically_increasing_id().alias("rid")), "mix-sizes")
     per = written(targets(slim, mix), "mix-targets")
     rank = per.select("src", F.col("source").alias("_source"))
-    rows = slim.join(rank, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = slim.join(rank, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
     return written(offsets(rows), "mix-offsets"), per
 
 
+def mixed_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix itself: (shard, src, slot, block, doc_id, first, words), the words of every
+    slot of every output shard as runs of its documents' words."""
+    rows, per = _sized(docs, mix)
+    return pieces(rows, mix.block).join(slots(per, mix).hint("merge"), ["src", "block"]).select(
+        "shard", "src", "slot", "block", "doc_id", "first", "words")
+
+
 def taken_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``docs``.
 
@@ -131,12 +176,12 @@ def taken_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     last; rows with a null or repeated doc_id are counted each; an empty table gives
     no rows. The same input gives the same result.
     """
-    rows, per = _sized(docs, mix)
+    rows, per = _sized(docs.select("doc_id", "source", "text"), mix)
     times = slots(per, mix).groupBy("src", "block").agg(F.count("*").alias("times"))
     # both sides grow with the corpus, though the planner only sees the few sources of one
     got = (pieces(rows, mix.block).join(times.hint("merge"), ["src", "block"], "left")
-           .groupBy("src", "off", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")))
-    none = rows.where("size = 0").select("src", "off", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+           .groupBy("src", "rid", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")))
+    none = rows.where("size = 0").select("src", "rid", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return got.unionByName(none).join(per, "src").select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -145,30 +190,37 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(block=512)) -> DataFrame:
     n_chars), one row per document and pass over its words.
 
     A row taken whole keeps its text; one of which the mix takes some blocks only
-    has those blocks' words, joined by spaces. Rows without words are not taken.
+    has those blocks' words, joined by spaces. Rows without words are not taken; rows
+    that repeat others in every column are taken each. Other columns are ignored.
     """
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     rows, per = _sized(docs, mix)
     # the r-th slot of a block, in slot order, belongs to pass r
     nth = slots(per, mix).withColumn("turn", F.row_number().over(Window.partitionBy("src", "block").orderBy("slot")))
     cut = (pieces(rows, mix.block).join(nth.hint("merge"), ["src", "block"])
-           .groupBy("doc_id", "source", "key", "size", "off", "turn")
+           .groupBy("key", "key2", "rid", "size", "turn")
            .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("cut"), F.sum("words").alias("got")))
-    texts = docs.withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "key"])
-    left, right = cut.alias("c"), texts.alias("t")
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in ("doc_id", "source", "key")]
-    words = F.filter(F.split("t.text", SEPARATORS), lambda x: x != "")
-    # a doc_id and source that texts repeat: the words are split once per row
-    chosen = F.array_join(F.flatten(F.transform("c.cut", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    text = F.when(F.col("c.got") == F.col("c.size"), F.col("t.text")).otherwise(chosen)
-    return (left.join(right.hint("merge"), same).withColumn("_text", text)
-            .select("t.doc_id", F.col("_text").alias("text"), "t.lang", "t.source", F.length("_text").cast("long").alias("n_chars")))
+    # texts travel once: equal rows are one here, and the join is by the same keys
+    texts = docs.select("*", F.xxhash64(*docs.columns).alias("key"), F.xxhash64(F.lit(7), *docs.columns).alias("key2"))
+    texts = texts.dropDuplicates(["key", "key2"])
+    words = F.filter(F.split("text", SEPARATORS), lambda x: x != "")
+    chosen = F.array_join(F.flatten(F.transform("cut", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    mixed = F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(chosen)
+    return (cut.join(texts.hint("merge"), ["key", "key2"]).withColumn("mixed", mixed)
+            .select("doc_id", F.col("mixed").alias("text"), "lang", "source", F.length("mixed").cast("long").alias("n_chars")))
 
 
 def oracle(mix: Mix = Mix()) -> str:
     """DuckDB SQL for :func:`taken_words` over the table documents."""
     num, den = mix.share
     weights = ", ".join(map(str, WEIGHTS))
-    primes = ", ".join(f"{p}::BIGINT" for p in PRIMES)
+    def square(x: str) -> str:
+        return f"((({x}) % {PRIME}) * (({x}) % {PRIME}) % {PRIME} * 48271 % {PRIME})"
+
+    key = f"(src * 7919 + (slot // blocks) * 104729 + {mix.seed * 1299709 + 1} + r * 15485863)"
+    mirror = f"((({square(key)} % blocks - x) % blocks + blocks) % blocks)"
+    swap = f"CASE WHEN {square(f'greatest(x, {mirror}) + {key}')} // 65536 % 2 = 1 THEN {mirror} ELSE x END"
+    block = f"list_reduce(list_prepend(slot % blocks, range({ROUNDS})), lambda x, r: {swap})"
     b, m = mix.block, mix.most
     return f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents),
@@ -184,9 +236,7 @@ s3 AS (SELECT src, source, source_size, least(cap::DOUBLE, weight * (SELECT max(
 s AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN least({m} * blocks, floor(target * blocks / source_size + 0.5)) ELSE 0 END
               AS BIGINT) AS slots FROM s3),
 sl AS (SELECT src, blocks, unnest(range(slots)) AS slot FROM s WHERE slots > 0),
-t AS (SELECT src, ((([{primes}][CAST(1 + (src + slot // blocks) % {len(PRIMES)} AS INT)] % blocks) * (slot % blocks)
-             + (src * 7919 + (slot // blocks) * 104729 + {mix.seed}) % blocks) % blocks) AS block, count(*) AS times
-      FROM sl GROUP BY ALL),
+t AS (SELECT src, {block} AS block, count(*) AS times FROM sl GROUP BY ALL),
 o AS (SELECT d.doc_id, d.size, s.src, row_number() OVER () AS rid,
              coalesce(sum(d.size) OVER (PARTITION BY s.src ORDER BY d.doc_id, d.size
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off

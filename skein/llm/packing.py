@@ -2,8 +2,8 @@
 
 A sequence costs a linear term per token and a quadratic term per piece (attention
 within a document). Pieces go, largest cost first, to the sequence with the least
-cost so far that still has room; a piece that fits nowhere whole is cut over the
-least-cost sequences. Packing runs in bounded groups of documents chosen by a hash
+cost so far that still has room (found exactly); only a piece that no sequence has room for
+is cut, over the least-cost ones. Packing runs in bounded groups of documents chosen by a hash
 of the id, with as many sequences as the group's tokens need, so at most one
 sequence per group is padded.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,8 @@ class ByteTokenizer:
     " word" do not depend on its neighbours. A chunk of texts is cut into such runs with
     array operations; each run is looked up by a 64-bit hash, and only runs not met
     before are tokenised (by ``tiktoken``, which merges the same ranks faster). Texts
-    with rare white space, on which pattern dialects differ, are tokenised whole.
+    with rare white space, on which pattern dialects differ, are tokenised whole, and
+    texts with names of the file's added tokens between those.
     """
 
     BOUNDARY = 0xFF  # no byte of UTF-8
@@ -51,11 +53,17 @@ class ByteTokenizer:
 
         back = _byte_characters()
         ranks = {}
-        for token, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=False).items():
-            if all(c in back for c in token):  # others are added tokens: ordinary text here
+        file = Tokenizer.from_file(path)
+        for token, i in file.get_vocab(with_added_tokens=False).items():
+            if all(c in back for c in token):  # others are added tokens
                 ranks[bytes(back[c] for c in token)] = i
         ranks = {k: v for k, v in ranks.items() if k != b"<|endoftext|>"}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = {t.content: i for i, t in file.get_added_tokens_decoder().items()}
+        names = sorted(added, key=len, reverse=True)
+        self.added = {n: added[n] for n in names}
+        self.names = [n.encode() for n in names]
+        self.parts = re.compile("(" + "|".join(map(re.escape, names)) + ")")
         self.newline = self.encoding.encode_ordinary("\n")[0]
         self.max_runs = max_runs
         self.kind = np.zeros(256, np.uint8)
@@ -87,7 +95,12 @@ class ByteTokenizer:
         return out + (self._chunk(chunk) if chunk else [])
 
     def _whole(self, raw: bytes) -> np.ndarray:
-        return np.array([*self.encoding.encode_ordinary(raw.decode()), END], dtype=np.uint32)
+        if not any(n in raw for n in self.names):
+            return np.array([*self.encoding.encode_ordinary(raw.decode()), END], dtype=np.uint32)
+        ids: list[int] = []
+        for k, part in enumerate(self.parts.split(raw.decode())):
+            ids += [self.added[part]] if k % 2 else self.encoding.encode_ordinary(part)
+        return np.array([*ids, END], dtype=np.uint32)
 
     def _chunk(self, raws: list[bytes]) -> list[np.ndarray]:
         end = bytes([self.BOUNDARY])
@@ -95,9 +108,10 @@ class ByteTokenizer:
         a = np.frombuffer(joined, np.uint8)
         odd = self.odd[a]
         odd[:-1] |= (a[:-1] == 0xC2) & ((a[1:] == 0x85) | (a[1:] == 0xA0))
-        if odd.any():
+        own = {i for i, r in enumerate(raws) if any(n in r for n in self.names)}
+        if odd.any() or own:
             ends = np.flatnonzero(a == self.BOUNDARY)
-            own = set(np.searchsorted(ends, np.flatnonzero(odd)).tolist())
+            own |= set(np.searchsorted(ends, np.flatnonzero(odd)).tolist())
             rest = iter(self._chunk([r for i, r in enumerate(raws) if i not in own]) if len(own) < len(raws) else ())
             return [self._whole(r) if i in own else next(rest) for i, r in enumerate(raws)]
         start, stop = self._runs(a)
@@ -206,33 +220,69 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, i
             rest.append((i, full * capacity, n % capacity))
     rest.sort(key=lambda x: (-cost(x[2]), x[0]))
     used = dict.fromkeys(range(seq, n_seq), 0)
-    heap = [(0.0, s) for s in used]
+    open_ = _ByRoom(capacity)
+    for s in used:
+        open_.put(capacity, 0.0, s)
     for i, start, n in rest:
-        aside = []
-        # the least-cost sequences that are too full wait; if the 64 least-cost ones all
-        # are, the piece is cut over them, which bounds the search
-        while heap and used[heap[0][1]] + n > capacity and len(aside) < 64:
-            aside.append(heapq.heappop(heap))
-        if heap and used[heap[0][1]] + n <= capacity:
-            c, s = heapq.heappop(heap)
-            out[i].append((start, n, s, used[s]))
-            used[s] += n
-            if used[s] < capacity:
-                heapq.heappush(heap, (c + cost(n), s))
-            n = 0
-        for x in aside:
-            heapq.heappush(heap, x)
         while n:
-            c, s = heapq.heappop(heap)
-            m = min(n, capacity - used[s])
+            # the least-cost sequence with room for all that is left, else the least-cost one
+            room, c, s = open_.take(n) or open_.take(1)
+            m = min(n, room)
             out[i].append((start, m, s, used[s]))
             used[s] += m
             start, n = start + m, n - m
-            if used[s] < capacity:
-                heapq.heappush(heap, (c + cost(m), s))
+            if room > m:
+                open_.put(room - m, c + cost(m), s)
     return out
 
 
+class _ByRoom:
+    """Sequences by remaining room: a heap by cost for each room, and a tree over the
+    rooms that holds the least cost of each part, so that the least-cost sequence with at
+    least some room is found exactly."""
+
+    NONE = (math.inf, -1)
+
+    def __init__(self, capacity: int):
+        self.half = 1 << capacity.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.half)]
+        self.tree = [self.NONE] * (2 * self.half)
+
+    def _refresh(self, room: int) -> None:
+        at = room + self.half
+        self.tree[at] = self.heaps[room][0] if self.heaps[room] else self.NONE
+        while at > 1:
+            at >>= 1
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def put(self, room: int, c: float, s: int) -> None:
+        heapq.heappush(self.heaps[room], (c, s))
+        if self.heaps[room][0] == (c, s):
+            self._refresh(room)
+
+    def take(self, least: int) -> tuple[int, float, int] | None:
+        """(room, cost, sequence) of the least cost with ``least`` room, taken out."""
+        best, where, lo, hi = self.NONE, 0, least + self.half, 2 * self.half
+        while lo < hi:
+            if lo & 1:
+                if self.tree[lo] < best:
+                    best, where = self.tree[lo], lo
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                if self.tree[hi] < best:
+                    best, where = self.tree[hi], hi
+            lo, hi = lo >> 1, hi >> 1
+        if best == self.NONE:
+            return None
+        while where < self.half:
+            where = 2 * where + (self.tree[2 * where] != best)
+        room = where - self.half
+        c, s = heapq.heappop(self.heaps[room])
+        self._refresh(room)
+        return room, c, s
+
+
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, with_ids: bool) -> DataFrame:
     """(doc, row, total, start, n, ids, crc) per whole multiple of the capacity and per remainder.
     Only remainders need their ids later, unless ``with_ids``."""

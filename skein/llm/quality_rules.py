@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, written
+from .common import free_name, map_batches, written
 from .textstats import text_stats
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
@@ -141,8 +141,10 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_posterior: float = 0.5) -> DataFrame:
     """The rows of ``docs``, unchanged, that :func:`apply_rules` keeps. Texts are read
-    twice (for the vote patterns and for the verdict) rather than shuffled or copied."""
-    table = with_stats(docs, text_col)
+    twice (for the vote patterns and for the verdict) rather than shuffled or copied.
+    Columns may have any names."""
+    stats = free_name("_stats", docs.columns)
+    table = with_stats(docs, text_col, stats)
     rows = F.struct(*(table[c] for c in docs.columns)).alias("_row")
-    table = table.select(rows, "_stats.*").select("*", *(r.vote().alias(f"vote_{r.name}") for r in rules))
+    table = table.select(rows, f"{stats}.*").select("*", *(r.vote().alias(f"vote_{r.name}") for r in rules))
     return _judged(table, rules, min_posterior).where("kept").select("_row.*")

@@ -53,6 +53,26 @@ def test_arc_versions(version):
     assert next(iter(AC.parse_warc(warc[warc.index(b"WARC/1.0", 9):])))[0]["warc-date"] == "1999-12-31T23:59:59Z"
 
 
+def test_foreign_archives(spark):
+    """Any file names, nested folders, plain and gzip; equal names in two folders are two files."""
+    import os
+
+    def archive(k):
+        block = AC.arc_version_block("x.arc", 1) + b"\n"
+        return block + AC.arc_record(f"http://x/{k}", "2001", "text/html", f"HTTP/1.1 200 OK\r\nX-Page-Id: {k}\r\n\r\nbody {k}".encode(), 1, "x.arc") + b"\n\n"
+
+    root = unique_subdir(spark, "arc-foreign")
+    for name, data in (("IAH-20010101-00.arc", archive(1)), ("a/b/IAH-20010101-00.arc", archive(2)), ("a/other.arc.gz", gzip.compress(archive(3))),
+                       ("_SUCCESS", b""), (".hidden", b"no archive"), ("a/empty.arc", b"")):
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(data)
+    out = AC.convert(spark, root, unique_subdir(spark, "warc-foreign"))
+    assert sorted((r.page_id, r.payload_bytes) for r in AC.read_warc(spark, out).collect()) == [(1, 6), (2, 6), (3, 6)]
+    ids = [r.id for r in AC.arc_index(AC._files(spark, root)).collect()]
+    assert len(set(ids)) == 3
+
+
 def test_archives_keep_bytes(spark):
     """Payloads that are no UTF-8 pass the text sink unchanged."""
     raw = bytes(range(256)) * 3
@@ -155,16 +175,128 @@ def test_mixed_documents_are_the_taken_words(spark):
     assert MX.mix_documents(df.limit(0)).count() == 0
 
 
+#: Two words that polynomials modulo a power of two cannot tell apart.
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_run_hash_tells_words_apart():
+    from skein.llm.common import RunHash
+
+    words = [THUE, MORSE, "", "a", "b", "ab", "ba", "a" * 70_000, "a" * 70_001, "b" + "a" * 70_000, *(f"w{i}" for i in range(500))]
+    raw = " ".join(words).encode()
+    a = np.frombuffer(raw + b" ", np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    for seed in (6, 20):
+        h = RunHash(seed)(a, starts, ends)
+        assert len(set(h.tolist())) == len(words)
+        one = [int(RunHash(seed)(np.frombuffer(b" " + w.encode() + b" ", np.uint8), np.array([1]), np.array([1 + len(w)]))[0]) for w in words]
+        assert one == h.tolist()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_cut_is_avoidable(seed):
+    """Replayed: a cut piece found no sequence with room, and others went to the cheapest with room."""
+    rng = np.random.default_rng(seed)
+    lengths = rng.lognormal(6, 1 + seed / 5, 1500).astype(int).tolist()
+    placed = PK.pack(lengths)
+    n_seq = -(-sum(lengths) // PK.CAPACITY)
+    full = sum(n // PK.CAPACITY for n in lengths)
+    used, cost = dict.fromkeys(range(full, n_seq), 0), dict.fromkeys(range(full, n_seq), 0.0)
+    order = sorted((i for i, n in enumerate(lengths) if n % PK.CAPACITY), key=lambda i: (-PK.cost(lengths[i] % PK.CAPACITY), i))
+    cuts = 0
+    for i in order:
+        left = lengths[i] % PK.CAPACITY
+        for _, m, s, off in placed[i][lengths[i] // PK.CAPACITY:]:
+            room = [q for q in used if PK.CAPACITY - used[q] >= left] or [q for q in used if used[q] < PK.CAPACITY]
+            cuts += PK.CAPACITY - used[s] < left
+            assert (cost[s], s) == min((cost[q], q) for q in room) and off == used[s]
+            used[s] += m
+            cost[s] += PK.cost(m)
+            left -= m
+    assert cuts > 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 62, 66, 462, 2046, 5000])
+def test_permutation(spark, n):
+    """A bijection that leaves no run, another one per source and pass, for any number of blocks."""
+    df = spark.range(n).withColumn("n", F.lit(n).cast("long"))
+    for k in range(3):
+        df = df.withColumn(f"p{k}", MX.permuted(F.col("id"), F.col("n"), F.lit(k % 2).cast("long"), F.lit(k // 2).cast("long"), 17))
+    rows = df.orderBy("id").collect()
+    lists = [[r[f"p{k}"] for r in rows] for k in range(3)]
+    assert all(sorted(x) == list(range(n)) for x in lists)
+    if n >= 62:
+        for x in lists:
+            steps = np.diff(x) % n
+            assert np.bincount(steps).max() < n / 8 and abs(np.corrcoef(np.arange(n), x)[0, 1]) < 0.35
+        assert sum(a == b for a, b in zip(*lists[:2])) < n / 8 and sum(a == b for a, b in zip(lists[0], lists[2])) < n / 8
+
+
+def test_shards_of_the_mix(spark):
+    """Multinomial counts say which slots a shard holds; the shards' words are the taken words."""
+    df = mix_docs(spark)
+    mix = MX.Mix(block=16, slots_per_shard=50)
+    rows, per = MX._sized(df.select("doc_id", "source", "text"), mix)
+    slots = {r.src: r.slots for r in per.collect()}
+    counts = MX.shard_counts(per, mix).collect()
+    held = {}
+    for r in sorted(counts, key=lambda r: (r.src, r.shard)):
+        assert r.first == held.get(r.src, 0) and r.slots > 0
+        held[r.src] = r.first + r.slots
+    assert held == {s: n for s, n in slots.items() if n}
+    shards = -(-sum(slots.values()) // 50)
+    big = max(slots, key=slots.get)
+    mean = slots[big] / shards
+    got = [r.slots for r in counts if r.src == big]
+    assert len(set(got)) > 1 and all(abs(x - mean) < 6 * mean ** 0.5 + 1 for x in got)
+    words = {}
+    for r in MX.mixed_blocks(df, mix).collect():
+        assert 0 <= r.shard < shards and r.words > 0
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.words
+    want = {}
+    for r in MX.taken_words(df, mix).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert words == {k: v for k, v in want.items() if v}
+
+
+def test_outlying_and_null_ids_are_dealt_out(spark):
+    rows = [(i, "s") for i in range(5000)] + [(10 ** 15, "s")] + [(None, "s")] * 5000 + [(7, "s")] * 5000
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("text", F.lit("a b c"))
+    seen = MX._sized(df, MX.Mix())[0]
+    ordered = sorted(r.off for r in seen.collect())
+    assert ordered == list(range(0, 3 * len(rows), 3))
+    slim = seen.select("src", "doc_id", "size", "key", "rid")
+    ranged = slim.repartitionByRange(-(-len(rows) // MX.ROWS_PER_RANGE), "src", "doc_id", "size", "key", "rid")
+    assert ranged.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 2 * MX.ROWS_PER_RANGE
+
+
+def test_stages_take_any_column_names(spark):
+    from skein.llm import ngram_rtree, quality_rules
+
+    text = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen."
+    df = spark.createDataFrame([(1, text, "a", 1), (1, text, "a", 0), (2, text, "b", 5), (3, None, "c", 2)],
+                               "doc_id long, text string, _stats string, _rows long")
+    df = df.withColumn("_first", F.lit("f")).withColumn("_rest", F.lit(0)).withColumn("n_words", F.lit("x")).withColumn("_row", F.lit(1))
+    kept = quality_rules.keep_good(df)
+    assert kept.columns == df.columns and {r._stats for r in kept.collect()} <= {"a", "b"}
+    one = ngram_rtree.keep_one(df)
+    assert one.columns == df.columns and sorted((r.doc_id, r._rows) for r in one.collect()) == [(1, 0), (3, 2)]
+    mixed = MX.mix_documents(df.withColumn("lang", F.lit("l")).withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1)).withColumn("key", F.lit(1)))
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in mixed.collect()} == {1, 2}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
     rnd = random.Random(3)
-    texts = [None, "", "<|endoftext|>", " a\u00a0b\x1cc ", "日本", "wörd " * 9000]
+    texts = [None, "", "<|endoftext|>", " a\u00a0b\x1cc ", "日本", "wörd " * 9000, "a <|endoftext|> b",
+             "<|endoftext|><|endoftext|>x\u3000y<|endoftext", f"{THUE} {MORSE} {THUE}", "z" * 70_000 + " " + "z" * 70_001]
     texts += ["".join(rnd.choice(["ab ", "\n", " ", "é", "1'll", "  x", "\t"]) for _ in range(rnd.randint(0, 900))) for _ in range(300)]
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, grp int, n int").repartition(3)
     rows = PK.pack_documents(df, tokenizer_path()).collect()
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     ids, seqs = {}, {}
     for r in sorted(rows, key=lambda r: r.start):
         part = np.frombuffer(bytes(r.ids), "<u4")
