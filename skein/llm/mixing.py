@@ -35,7 +35,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Modulus of the hashes by squares below (a prime; numbers of blocks stay under it).
 PRIME = 2147483647
-ROUNDS = 20
+ROUNDS = 12
 ROWS_PER_RANGE = 2048
 SLOTS_PER_PIECE = 1 << 16
 
@@ -133,7 +133,11 @@ def shard_counts(per: DataFrame, mix: Mix) -> DataFrame:
 def slots(per: DataFrame, mix: Mix) -> DataFrame:
     """(src, shard, slot, block): the slots that each shard holds, and the block that the
     source's permutation of the slot's turn puts there."""
-    one = shard_counts(per, mix).select("src", "blocks", "shard", F.explode(
+    counts = written(shard_counts(per, mix), "mix-shards")
+    total = counts.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first().n
+    # few rows make many slots: dealt out by the slots, not by their own size
+    parts = max(1, min(total // (SLOTS_PER_PIECE // 4) + 1, 100_000))
+    one = counts.repartition(parts, "src", "shard").select("src", "blocks", "shard", F.explode(
         F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     return one.select("src", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("src"), turn, mix.seed).alias("block"))
