@@ -64,7 +64,7 @@ def _grown(txt: Column, schema: Schema) -> Column:
     whole = txt == head
     grows = inside(first, True) & inside(before, True) & (before < U32_MAX) & inside(value, False)
     ok = F.when(whole, signed | inside(value, False)).otherwise(grows & (signed | inside(first, False)))
-    return txt.rlike(r"^-?[1-9][0-9]*(\.[0-9]+)?$") & ok
+    return txt.rlike(r"\A-?[1-9][0-9]*(\.[0-9]+)?\z") & ok
 
 
 def _valid(schema: Schema, v: Column, check_all: bool, grammar: bool = False) -> Column:
@@ -135,7 +135,7 @@ def is_valid(text: Column | str, schema: Schema, check_all: bool = False) -> Col
 
 def strict_regex(schema: Schema) -> str:
     """Anchored Java regex of the texts the schema grammar can produce."""
-    return "^" + _rx(schema) + "$"
+    return r"\A" + _rx(schema) + r"\z"  # "$" would also match before a last newline
 
 
 def _rx(schema: Schema) -> str:

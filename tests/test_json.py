@@ -52,6 +52,7 @@ def test_strict_grammar(spark):
         '{"tags":["x"],"n":5}': False,           # keys in required order
         '{"n":500,"tags":["x"]}': False,
         '{"n":5,"tags":[]}': False,
+        '{"n":5,"tags":["x"]}\n': False,         # nothing after the end
     }
     df = spark.createDataFrame(list(texts.items()), "t string, e boolean")
     for r in df.select("t", "e", J.is_strict("t", schema).alias("s")).collect():
