@@ -101,17 +101,22 @@ def _square(x: Column) -> Column:
     return x % PRIME * (x % PRIME) % PRIME * 48271 % PRIME
 
 
-def permuted(index: Column, n: Column, src: Column, turn: Column, seed: int) -> Column:
-    """``index`` of 0..n-1 in the permutation of (src, turn)."""
-    base = src * 7919 + turn * 104729 + (seed * 1299709 + 1)
+def _round(x: Column, n: Column, key: Column) -> Column:
+    """Where one round of the shuffle puts index ``x`` of 0..n-1."""
+    mirror = F.pmod(_square(key) % n - x, n)
+    return F.when(F.floor(_square(F.greatest(x, mirror) + key) / 65536) % 2 == 1, mirror).otherwise(x)
 
-    def round_(x: Column, r: Column) -> Column:
-        key = base + r * 15485863
-        mirror = F.pmod(_square(key) % n - x, n)
-        upper = F.greatest(x, mirror)
-        return F.when(F.floor(_square(upper + key) / 65536) % 2 == 1, mirror).otherwise(x)
 
-    return F.aggregate(F.array(*(F.lit(r).cast("long") for r in range(ROUNDS))), index, round_)
+def permuted(rows: DataFrame, index: str, n: str, src: str, turn: str, seed: int, name: str) -> DataFrame:
+    """``rows`` with ``name``, ``index`` of 0..n-1 in the permutation of (src, turn).
+
+    One projection per round: generated code, where a fold over the rounds as one
+    expression would be interpreted row by row."""
+    base = F.col(src) * 7919 + F.col(turn) * 104729 + (seed * 1299709 + 1)
+    out = rows.withColumn(name, F.col(index))
+    for r in range(ROUNDS):
+        out = out.withColumn(name, _round(F.col(name), F.col(n), base + r * 15485863))
+    return out
 
 
 def shard_counts(per: DataFrame, mix: Mix) -> DataFrame:
@@ -139,8 +144,8 @@ def slots(per: DataFrame, mix: Mix) -> DataFrame:
     parts = max(1, min(total // (SLOTS_PER_PIECE // 4) + 1, 100_000))
     one = counts.repartition(parts, "src", "shard").select("src", "blocks", "shard", F.explode(
         F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot"))
-    turn = F.floor(F.col("slot") / F.col("blocks"))
-    return one.select("src", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("src"), turn, mix.seed).alias("block"))
+    one = one.withColumn("turn", F.expr("slot div blocks")).withColumn("index", F.col("slot") % F.col("blocks"))
+    return permuted(one, "index", "blocks", "src", "turn", mix.seed, "block").select("src", "shard", "slot", "block")
 
 
 def pieces(placed: DataFrame, block: int) -> DataFrame:

@@ -223,7 +223,7 @@ def test_permutation(spark, n):
     """A bijection that leaves no run, another one per source and pass, for any number of blocks."""
     df = spark.range(n).withColumn("n", F.lit(n).cast("long"))
     for k in range(3):
-        df = df.withColumn(f"p{k}", MX.permuted(F.col("id"), F.col("n"), F.lit(k % 2).cast("long"), F.lit(k // 2).cast("long"), 17))
+        df = MX.permuted(df.withColumns({"src": F.lit(k % 2).cast("long"), "turn": F.lit(k // 2).cast("long")}), "id", "n", "src", "turn", 17, f"p{k}")
     rows = df.orderBy("id").collect()
     lists = [[r[f"p{k}"] for r in rows] for k in range(3)]
     assert all(sorted(x) == list(range(n)) for x in lists)
