@@ -145,7 +145,9 @@ def slots(per: DataFrame, mix: Mix) -> DataFrame:
     one = counts.repartition(parts, "src", "shard").select("src", "blocks", "shard", F.explode(
         F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot"))
     one = one.withColumn("turn", F.expr("slot div blocks")).withColumn("index", F.col("slot") % F.col("blocks"))
-    return permuted(one, "index", "blocks", "src", "turn", mix.seed, "block").select("src", "shard", "slot", "block")
+    placed = permuted(one, "index", "blocks", "src", "turn", mix.seed, "block").select("src", "shard", "slot", "block")
+    # written: a join's filter on the block would be pushed through the rounds, which triples it at each
+    return written(placed, "mix-slots")
 
 
 def pieces(placed: DataFrame, block: int) -> DataFrame:
