@@ -34,22 +34,24 @@ def responses(conv: DataFrame) -> DataFrame:
     return conv.filter(F.col("role") == "assistant").select("conv_id", "turn")
 
 
-def _stop_step(k: Column, tok: Column, stop: str) -> tuple[Column, Column]:
-    """One step of token-aligned stop matching for one stop string.
+def _stop_step(k: Column, tok: Column, stop: str | Column) -> tuple[Column, Column]:
+    """One step of token-aligned stop matching for one stop string (or a column of them).
 
     ``k`` = characters of ``stop`` matched so far. Returns (completed, new k).
     A match starts only at a token boundary; partial progress carries across
     tokens; on a mismatch with progress the same token is retried from 0
     (no fallback inside the stop string)."""
-    L = len(stop)
-    if L == 0:
-        return F.lit(True), k
-    s = F.lit(stop)
+    if isinstance(stop, str):
+        if not stop:
+            return F.lit(True), k
+        s, L = F.lit(stop), F.lit(len(stop))
+    else:
+        s, L = stop, F.length(stop)
     tl = F.length(tok)
 
     def from_state(kk: Column) -> tuple[Column, Column, Column]:
         rem = F.substring(s, kk + 1, L)
-        rl = F.lit(L) - kk
+        rl = L - kk
         done = (tl >= rl) & F.startswith(tok, rem)
         partial = (tl < rl) & F.startswith(rem, tok)
         return done, partial, kk + tl
@@ -116,6 +118,55 @@ def stop_tokens(responses: DataFrame, stops: Sequence[str], tokens_col: str = "t
     return responses.withColumn("stop_at", pos).withColumn(tokens_col, kept)
 
 
+def stop_match(tokens: Column | str, stops: Column | str) -> Column:
+    """``struct<at, stop>``: :func:`stop_position` for a column ``stops`` of stop strings,
+    and the first (in string order) of those that the token completes.
+
+    One fold whatever the number of stops: its state is an array, a member for each stop
+    that the response's text contains (a match spells the stop inside the text)."""
+    tk = F.col(tokens) if isinstance(tokens, str) else tokens
+    sets = F.col(stops) if isinstance(stops, str) else stops
+    present = F.filter(sets, lambda s: F.contains(F.array_join(tk, ""), s))
+    states = F.transform(present, lambda s: F.struct(s.alias("s"), F.lit(0).alias("k"), F.lit(False).alias("done")))
+    init = F.struct(F.lit(0).alias("i"), states.alias("states"))
+
+    def completed(acc: Column) -> Column:
+        return F.exists(acc["states"], lambda x: x["done"])
+
+    def advance(x: Column, tok: Column) -> Column:
+        done, k = _stop_step(x["k"], tok, x["s"])
+        return F.struct(x["s"].alias("s"), k.alias("k"), F.coalesce(done, F.lit(False)).alias("done"))
+
+    def merge(acc: Column, tok: Column) -> Column:
+        # the states stay as they are once a stop is complete
+        return F.when(completed(acc), acc).otherwise(F.struct(
+            (acc["i"] + 1).alias("i"), F.transform(acc["states"], lambda x: advance(x, tok)).alias("states")))
+
+    def finish(acc: Column) -> Column:
+        first = F.array_min(F.transform(F.filter(acc["states"], lambda x: x["done"]), lambda x: x["s"]))
+        return F.when(completed(acc), F.struct(acc["i"].alias("at"), first.alias("stop")))
+
+    return F.aggregate(tk, init, merge, finish)
+
+
+def stop_tokens_by_task(responses: DataFrame, stops: DataFrame, task: str = "task", stop: str = "stop",
+                        tokens_col: str = "tokens") -> DataFrame:
+    """:func:`stop_tokens` with the stop strings of each response's task, from a table
+    (``task``, ``stop``). Adds ``stop_at`` and ``stopped_by``.
+
+    A task's stops are one array, joined to its responses; responses are not moved where
+    Spark finds the arrays small enough to broadcast, else a task's are split by AQE.
+    Repeated and null stops count once and not at all, an empty stop ends a response at
+    its first token; a null task is a task; responses of a task without stops stay whole.
+    """
+    sets = stops.where(F.col(stop).isNotNull()).groupBy(F.col(task).alias(task)).agg(F.collect_set(stop).alias("__stops"))
+    with_stops = join_null_safe(responses, sets, [task], "left")
+    hit = with_stops.withColumn("__hit", stop_match(tokens_col, "__stops"))
+    tk, at = F.col(tokens_col), F.col("__hit.at")
+    return (hit.withColumn("stop_at", at).withColumn("stopped_by", F.col("__hit.stop"))
+            .withColumn(tokens_col, F.when(at.isNull(), tk).otherwise(F.slice(tk, 1, at - 1))).drop("__stops", "__hit"))
+
+
 def postprocess(responses: DataFrame, stops: Sequence[str] = (), max_tokens: int | None = None,
                 eot: str | None = None, private_tokens: Sequence[str] = (),
                 tokens_col: str = "tokens") -> DataFrame:

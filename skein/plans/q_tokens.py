@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import detokenize
+from ..functions.text import detokenize, tokenize
 from ..operators import tokens as G
 from ..sources.tables import table
 from . import sqlgen as S
@@ -45,6 +45,40 @@ def stop_tokens(spark, sf):
     return r.select("conv_id", "turn", F.col("stop_at").cast("long"), detokenize("tokens").alias("text"))
 
 
+#: A task per session; the stops of three of the four are the word pairs of the benchmark items.
+_BY_TASK_CTES = (
+    "WITH RECURSIVE r AS (SELECT row_number() OVER () AS rid, conv_id, turn, 'task' || conv_id % 4 AS task, tk "
+    f"FROM {_RESP}),\n"
+    "t AS (SELECT rid, unnest(range(1, len(tk) + 1)) AS i, unnest(tk) AS token FROM r),\n"
+    "b AS (SELECT 'task' || item_id % 3 AS task, tk, unnest(range(1, len(tk) - 1)) AS i "
+    f"FROM (SELECT item_id, {S.tokens('text')} AS tk FROM benchmark)),\n"
+    "st AS (SELECT DISTINCT task, array_to_string(tk[i:i + 2], '') AS stop FROM b WHERE tk[i + 1] = ' '),\n"
+    "m(rid, stop, i, k, hit) AS (SELECT rid, stop, 0::BIGINT, 0::BIGINT, false FROM r JOIN st USING (task) UNION ALL\n"
+    "  SELECT m.rid, stop, m.i + 1, CASE WHEN starts_with(token, stop[k + 1:]) THEN 0 "
+    "WHEN starts_with(stop[k + 1:], token) THEN k + len(token) WHEN starts_with(stop, token) THEN len(token) ELSE 0 END, "
+    "starts_with(token, stop[k + 1:]) OR (NOT starts_with(stop[k + 1:], token) AND starts_with(token, stop))\n"
+    "  FROM m JOIN t ON t.rid = m.rid AND t.i = m.i + 1 WHERE NOT hit),\n"
+    "c AS (SELECT rid, min(i) AS stop_at, arg_min(stop, (i, stop)) AS stopped_by FROM m WHERE hit GROUP BY rid)\n"
+)
+
+
+@query("stop_tokens_by_task",
+       _BY_TASK_CTES + f"SELECT conv_id, turn, task, stop_at::BIGINT AS stop_at, stopped_by, "
+                       f"coalesce(array_to_string({_CUT}, ''), '') AS text FROM r LEFT JOIN c USING (rid)")
+def stop_tokens_by_task(spark, sf):
+    """Stop sequences from a table, by task."""
+    tk = F.col("tk")
+    items = table(spark, sf, "benchmark").select(F.concat(F.lit("task"), F.col("item_id") % 3).alias("task"),
+                                                 tokenize("text").alias("tk"))
+    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(tk) - 2, F.lit(1))), lambda i: F.get(tk, i) == " "),
+                        lambda i: F.array_join(F.slice(tk, i, 3), ""))
+    stops = items.select("task", F.explode(pairs).alias("stop"))
+    replies = G.response_tokens(table(spark, sf, "conversations")).withColumn(
+        "task", F.concat(F.lit("task"), F.col("conv_id") % 4))
+    r = G.stop_tokens_by_task(replies, stops)
+    return r.select("conv_id", "turn", "task", F.col("stop_at").cast("long"), "stopped_by", detokenize("tokens").alias("text"))
+
+
 #: Leading tokens that the stop rules leave of a reply.
 KEPT_SQL = (f"least(len(tk), {MAX_TOKENS}, coalesce(stop_at - 1, len(tk)), "
             f"coalesce(nullif(list_position(tk, {S.lit(EOT)}), 0) - 1, len(tk)))")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import tokens as G
 
@@ -25,6 +26,46 @@ def test_stop_position(spark, stops, tokens, want):
     assert df.select(G.stop_position("tk", stops).alias("p")).first()["p"] == want
 
 
+def test_stops_by_task(spark):
+    """The cases as tasks of one table, besides a hundred stops each that never occur."""
+    stops = [(str(n), s) for n, c in enumerate(CASES) for s in [*c[0], *c[0], None, *(f"never{i}" for i in range(100))]]
+    stops += [(None, "b"), ("empty", "")]
+    replies = [(n, str(n), c[1], c[2]) for n, c in enumerate(CASES)]
+    replies += [(100, None, ["a", "b"], 2), (101, "other", ["END"], None), (102, "empty", ["a"], 1), (103, "empty", [], None),
+                (104, "0", None, None)]
+    df = spark.createDataFrame(replies, "id long, task string, tokens array<string>, want int")
+    got = G.stop_tokens_by_task(df, spark.createDataFrame(stops, "task string, stop string")).collect()
+    assert len(got) == len(replies)
+    source = {n: t for n, _, t, _ in replies}
+    for r in got:
+        assert r.stop_at == r.want, r
+        assert r.tokens == (source[r.id] if r.want is None else source[r.id][:r.want - 1])
+    by = {r.id: r.stopped_by for r in got}  # of 7 both complete, the first is named
+    assert by[7] == "ij" and by[100] == "b" and by[101] is None
+
+
+def test_stops_by_task_plan_does_not_grow(spark):
+    """1,000 stops over three tasks give the plan of three; results equal the literal stops'."""
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(i, f"t{i % 3}", [rnd.choice(["a", "b", "ab", "ba", " "]) for _ in range(rnd.randint(0, 12))])
+                                for i in range(150)], "id long, task string, tokens array<string>")
+
+    def stops(n):
+        return [(f"t{i % 3}", "".join(random.Random(i).choices("ab ", k=3 + i // 50))) for i in range(n)]
+
+    few, many = (G.stop_tokens_by_task(df, spark.createDataFrame(stops(n), "task string, stop string")) for n in (3, 1000))
+    plans = [len(x._jdf.queryExecution().optimizedPlan().toString()) for x in (few, many)]
+    assert abs(plans[0] - plans[1]) < 100
+    got = {r.id: (r.stop_at, r.tokens) for r in many.collect()}
+    for t in range(3):
+        some = [s for k, s in stops(1000) if k == f"t{t}"][:40]
+        want = G.stop_tokens(df.where(F.col("task") == f"t{t}"), some).collect()
+        mine = G.stop_tokens_by_task(df, spark.createDataFrame([(f"t{t}", s) for s in some], "task string, stop string"))
+        mine = {r.id: (r.stop_at, r.tokens) for r in mine.where(F.col("task") == f"t{t}").collect()}
+        assert {r.id: (r.stop_at, r.tokens) for r in want} == mine
+        assert all((got[i][0] or 99) <= (at or 99) for i, (at, _) in mine.items())
+
+
 def live_position(stops, tokens):
     matched = [0] * len(stops)
     for i, t in enumerate(tokens):
