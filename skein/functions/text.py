@@ -110,6 +110,58 @@ def chunk_bounds(tokens: Column | str, separators: Sequence[str], max_tokens: in
     ).otherwise(_level_bounds(tk, F.lit(0), n, tuple(separators), max_tokens))
 
 
+SEGMENTS_TYPE = "array<struct<s:int,e:int,open:boolean>>"
+
+
+def _split_segment(tk: Column, seg: Column, sep: Column, mx: Column) -> Column:
+    """One level of :func:`_level_bounds` with the separator and maximum as columns:
+    the chunks of an open segment in order, its oversize pieces open for the next level."""
+    lo, hi = seg["s"] - 1, seg["e"]
+    ends = F.filter(F.sequence(lo + 1, hi), lambda i: (F.element_at(tk, i) == sep) | (i == hi))
+    init = F.struct((lo + 1).alias("st"), lo.alias("en"), F.array().cast(SEGMENTS_TYPE).alias("out"))
+
+    def one(s: Column, e: Column, is_open: bool) -> Column:
+        return F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(is_open).alias("open")))
+
+    def flushed(acc: Column) -> Column:
+        return F.when(acc["en"] >= acc["st"], F.concat(acc["out"], one(acc["st"], acc["en"], False))).otherwise(acc["out"])
+
+    def merge(acc: Column, x: Column) -> Column:
+        big = (x - acc["en"]) > mx
+        fits = (x - acc["st"] + 1) < mx
+        out = F.when(big, F.concat(flushed(acc), one(acc["en"] + 1, x, True))).when(fits, acc["out"]).otherwise(flushed(acc))
+        st = F.when(big, x + 1).when(fits, acc["st"]).otherwise(acc["en"] + 1)
+        return F.struct(st.alias("st"), x.alias("en"), out.alias("out"))
+
+    return F.aggregate(ends, init, merge, flushed)
+
+
+def chunk_bounds_by(tokens: Column | str, separators: Column | str, max_tokens: Column | str) -> Column:
+    """:func:`chunk_bounds` with the separators (an array) and the maximum of each row as
+    columns: a fold over the separators splits the segments that are still oversize, level
+    by level, so the expression does not grow with the number of separators."""
+    tk, mx = _col(tokens), _col(max_tokens)
+    n = F.size(tk)
+    whole = F.array(F.struct(F.lit(1).alias("s"), n.alias("e"), (n > mx).alias("open")))
+    segments = F.aggregate(
+        _col(separators), whole.cast(SEGMENTS_TYPE),
+        lambda segs, sep: F.flatten(F.transform(
+            segs, lambda g: F.when(g["open"], _split_segment(tk, g, sep, mx)).otherwise(F.array(g)))))
+
+    def windows(g: Column) -> Column:
+        cut = F.transform(F.sequence(g["s"], g["e"], mx), lambda w: F.struct(w.alias("s"), F.least(w + mx - 1, g["e"]).alias("e")))
+        return F.when(g["open"], cut).otherwise(F.array(F.struct(g["s"].alias("s"), g["e"].alias("e"))))
+
+    return F.flatten(F.transform(segments, windows))
+
+
+def prefilter_by(text: Column | str, patterns: Column | str) -> Column:
+    """:func:`prefilter` with the patterns of each row as a column (an array)."""
+    pats = _col(patterns)
+    out = F.aggregate(pats, _col(text), lambda t, p: F.regexp_replace(t, p, F.lit(" ")))
+    return F.when(F.size(pats) > 0, F.replace(out, F.lit("  "), F.lit(" "))).otherwise(out)
+
+
 def chunk_tokens(tokens: Column | str, separators: Sequence[str], max_tokens: int,
                  post_filter: Sequence[str] = ()) -> Column:
     """``array<array<string>>``: the token lists of the chunks, post-filtered,

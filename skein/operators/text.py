@@ -7,10 +7,10 @@ distributed dense rank.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, TOKEN_PATTERN
@@ -104,6 +104,60 @@ def chunk(df: DataFrame, keys: Sequence[str], config: ChunkConfig = ChunkConfig(
     )
 
 
+SETTINGS = ("separators", "max_tokens", "pre_filters", "post_filter")
+
+
+def settings_table(spark: SparkSession, configs: Mapping[str, ChunkConfig]) -> DataFrame:
+    """Chunk settings by memory as a table: ``memory`` and the fields of the configuration."""
+    rows = [(name, *(list(v) if isinstance(v, tuple) else v for v in (getattr(c, f) for f in SETTINGS))) for name, c in configs.items()]
+    return spark.createDataFrame(rows, "memory string, separators array<string>, max_tokens int, "
+                                       "pre_filters array<string>, post_filter array<string>")
+
+
+def invalid_settings(settings: DataFrame) -> DataFrame:
+    """``memory, reason`` of settings that chunking refuses: a separator or post-filter string
+    that is not exactly one token, a maximum under 1, a null field or member, a repeated name."""
+    def several(field: str) -> Column:
+        return F.exists(field, lambda s: F.coalesce(F.size(T.tokenize(s)) != 1, F.lit(True)))
+
+    null = F.lit(False)
+    for f in SETTINGS:
+        null = null | F.col(f).isNull()
+    reason = (F.when(null | F.exists("pre_filters", lambda p: p.isNull()), "null")
+              .when(several("separators"), "separator").when(several("post_filter"), "post-filter")
+              .when(F.col("max_tokens") < 1, "maximum"))
+    twice = settings.groupBy("memory").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("memory", F.lit("repeated").alias("reason"))
+    return settings.select("memory", reason.alias("reason")).where("reason IS NOT NULL").unionByName(twice)
+
+
+def chunk_by_memory(df: DataFrame, settings: DataFrame, keys: Sequence[str], memory: str = "memory",
+                    text_col: str = "text") -> DataFrame:
+    """:func:`chunk` with the settings of each row's memory, from a table (see
+    :func:`settings_table`): ``keys..., memory, chunk_no, text, n_tokens``.
+
+    Rows of a null memory or of one without settings give no chunks (``unknown_names``
+    lists them); a null text gives none. Settings that :func:`invalid_settings` lists raise
+    :class:`InvalidChunkSeparator` before any text is read. The settings, a row a memory, are
+    joined to the documents; documents are not moved where Spark finds them small enough.
+    """
+    bad = invalid_settings(settings).first()
+    if bad is not None:
+        raise InvalidChunkSeparator(f"{bad.memory}: {bad.reason}")
+    named = settings.select(F.col("memory").alias("__memory"), *(F.col(f).alias(f"__{f}") for f in SETTINGS))
+    rows = spread(df.select(*keys, F.col(memory).alias("__name"), F.col(text_col).alias("__text")))
+    rows = rows.join(named, F.col("__name") == F.col("__memory")).withColumn(
+        "__tk", T.tokenize(T.prefilter_by("__text", "__pre_filters")))
+    tk = F.col("__tk")
+    bounds = rows.withColumn("__bounds", T.chunk_bounds_by(tk, "__separators", "__max_tokens"))
+    chunks = F.transform("__bounds", lambda b: F.filter(
+        F.slice(tk, b["s"], b["e"] - b["s"] + 1), lambda t: ~F.array_contains("__post_filter", t)))
+    return (bounds.select(*keys, F.col("__name").alias("memory"),
+                          F.posexplode_outer(F.filter(chunks, lambda c: F.size(c) > 0)).alias("chunk_no", "tk"))
+            .filter(F.col("tk").isNotNull())
+            .select(*keys, "memory", F.col("chunk_no").cast("long"), T.detokenize("tk").alias("text"),
+                    F.size("tk").cast("long").alias("n_tokens")))
+
+
 def chunk_fixed(df: DataFrame, keys: Sequence[str], max_tokens: int, text_col: str = "text") -> DataFrame:
     toks = spread(df.select(*keys, text_col)).select(*keys, T.tokenize(F.col(text_col)).alias("__tk"))
     chunks = T.fixed_chunk_tokens(F.col("__tk"), max_tokens)

@@ -99,6 +99,29 @@ def ingest_chunks(spark, sf):
     return ops.chunk(table(spark, sf, "documents"), ["doc_id"], INGEST)
 
 
+#: Three memories, each with its own chunk settings.
+MEMORIES = {"memory0": INGEST, "memory1": ChunkConfig(separators=(".",), max_tokens=40, pre_filters=(r"[\r\t]",)),
+            "memory2": ChunkConfig(separators=(), max_tokens=100, pre_filters=(), post_filter=(",", "."))}
+
+
+def _by_memory_oracle() -> str:
+    ctes, parts = [], []
+    for n, (name, cfg) in enumerate(MEMORIES.items()):
+        text = S.prefilter("text", cfg.pre_filters) if cfg.pre_filters else "text"
+        cte, last = S.chunk_ctes(f"(SELECT * FROM documents WHERE doc_id % 3 = {n})", "doc_id", text, cfg.separators,
+                                 cfg.max_tokens, cfg.post_filter, prefix=f"c{n}")
+        ctes.append(cte)
+        parts.append(f"SELECT doc_id, '{name}' AS memory, chunk_no, text, n_tokens FROM {last}")
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(parts)
+
+
+@query("chunk_by_memory", _by_memory_oracle())
+def chunk_by_memory(spark, sf):
+    """Documents of three memories, chunked by the settings of their memory."""
+    docs = table(spark, sf, "documents").withColumn("memory", F.concat(F.lit("memory"), F.col("doc_id") % 3))
+    return ops.chunk_by_memory(docs, ops.settings_table(spark, MEMORIES), ["doc_id"])
+
+
 @query("token_stats",
        f"SELECT doc_id, len({S.tokens('text')})::BIGINT AS n_tokens, "
        f"len(string_split_regex(text, '[ ]+'))::BIGINT AS n_words, "

@@ -54,6 +54,45 @@ def test_chunks_concatenate_to_clean_text(spark):
     assert chunks.filter(F.col("n_tokens") > 32).count() == 0
 
 
+def test_chunk_by_rows_equals_literal(spark):
+    """Separators and maximum as columns, all golden and random cases in one table."""
+    rnd = random.Random(4)
+    cases = [(t, s, m) for t, s, m, _ in GOLDEN]
+    cases += [("".join(rnd.choice("ab. \n") for _ in range(rnd.randint(0, 50))), s, m)
+              for s in ([" "], ["\n", "."], ["\n", ".", " "], []) for m in (1, 2, 5, 9) for _ in range(25)]
+    df = spark.createDataFrame([(i, list(t), s, m) for i, (t, s, m) in enumerate(cases)],
+                               "i int, tk array<string>, s array<string>, m int")
+    got = df.select("i", T.chunk_bounds_by("tk", "s", "m").alias("b")).collect()
+    for r in got:
+        t, s, m = cases[r.i]
+        assert [list(t[b.s - 1:b.e]) for b in r.b if b.e >= b.s] == [c for c in hierarchical_chunks(list(t), s, m) if c], cases[r.i]
+
+
+def test_chunk_by_memory(spark):
+    configs = {"a": ChunkConfig(), "b": ChunkConfig(separators=(), max_tokens=2, pre_filters=(), post_filter=(".",)),
+               "c": ChunkConfig(separators=(".", " "), max_tokens=3, pre_filters=(r"[\r\t]",))}
+    texts = ["a\tb....c\n\nd", "", None, "  x. y. z w  v", "a    b"]
+    rows = [(i, m, t, 0) for m in ("a", "b", "c") for i, t in enumerate(texts)] + [(9, None, "a", 0), (9, "none", "a", 0)]
+    df = spark.createDataFrame(rows, "id int, memory string, text string, max_tokens int")
+    got = sorted(map(tuple, ops.chunk_by_memory(df, ops.settings_table(spark, configs), ["id"]).collect()))
+    want = [(r.id, m, r.chunk_no, r.text, r.n_tokens) for m, c in configs.items()
+            for r in ops.chunk(df.where(F.col("memory") == m), ["id"], c).collect()]
+    assert got == sorted(want) and len(got) > 12
+    assert ops.chunk_by_memory(df.limit(0), ops.settings_table(spark, configs), ["id"]).count() == 0
+
+
+def test_settings_that_are_refused(spark):
+    ok = ChunkConfig()
+    bad = {"s": ChunkConfig(separators=("ab cd",)), "p": ChunkConfig(post_filter=("",)), "m": ChunkConfig(max_tokens=0), "ok": ok}
+    settings = ops.settings_table(spark, bad)
+    null = settings.where("memory = 'ok'").selectExpr("'n' AS memory", "separators", "max_tokens", "cast(null AS array<string>) AS pre_filters", "post_filter")
+    settings = settings.union(null).union(settings.where("memory = 'ok'"))
+    assert {tuple(r) for r in ops.invalid_settings(settings).collect()} == {
+        ("s", "separator"), ("p", "post-filter"), ("m", "maximum"), ("n", "null"), ("ok", "repeated")}
+    with pytest.raises(ops.InvalidChunkSeparator):
+        ops.chunk_by_memory(spark.createDataFrame([(1, "s", "x")], "id int, memory string, text string"), settings, ["id"])
+
+
 CLEANING = [
     ("a\tb", True, "a b"),
     ("a....b", True, "a b"),
