@@ -6,9 +6,11 @@ decoded to the codeword with the least weighted loss; a close second flags the
 prediction as ambiguous.
 
 The bit classifiers compare n-gram distributions, so training is one count of
-(language, hashed byte trigram) over all training documents: a table bounded by
-languages x features, summed on the map side. Each bit's margin is then put on the
-scale of log-odds with a bounded sample of training documents.
+(language, hashed byte trigram) over all training documents, summed on the map side
+and written. Joined with the codewords, it is summed per feature to the two sides of
+every bit: the driver holds features x bits and the codewords, whatever the number of
+languages. Each bit's margin is then put on the scale of log-odds with a bounded
+sample of training documents.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, map_batches
+from .common import fit_logistic, map_batches, written
 
 #: Hashed features (2^FEATURE_BITS); the counts table has one row per language and feature.
 FEATURE_BITS = 14
-MAX_LANGUAGES = 256
+#: Count of every n-gram of a language before its first text.
+PRIOR = 0.2
+#: Languages whose counts a task holds at once; further ones make it emit what it has.
+HELD_LANGUAGES = 256
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes other than letters become spaces.
@@ -54,17 +59,29 @@ def codewords(languages: int, seed: int = 5) -> np.ndarray:
         return np.array(cols, dtype=float).T
     rng = np.random.default_rng(seed)
     bits, best, far = 8 + 4 * int(np.ceil(np.log2(languages))), None, -1.0
-    for _ in range(200):
+    # least distances cost the square of the languages: fewer draws where there are many
+    draws = max(1, min(200, 20_000_000 // languages ** 2))
+    while draws > 0 or best is None:
+        draws -= 1
         code = rng.choice([-1.0, 1.0], size=(languages, bits))
         if (np.abs(code.sum(axis=0)) == languages).any():
             continue
-        dist = (bits - code @ code.T) / 2
-        np.fill_diagonal(dist, bits)
-        if dist.min() > far:
-            best, far = code, dist.min()
+        if (dist := least_distance(code)) > max(far, 0.0):
+            best, far = code, dist
     return best
 
 
+def least_distance(code: np.ndarray, rows: int = 1_024) -> float:
+    """The least number of bits in which two rows differ, by blocks of ``rows``."""
+    n, bits = code.shape
+    least = float(bits)
+    for a in range(0, n, rows):
+        dist = (bits - code[a:a + rows] @ code.T) / 2
+        dist[np.arange(len(dist)), np.arange(a, a + len(dist))] = bits
+        least = min(least, float(dist.min()))
+    return least
+
+
 @dataclass(frozen=True)
 class CodeModel:
     languages: tuple[str, ...]
@@ -87,16 +104,41 @@ class CodeModel:
         return int(two[0]), float(p[two[0]] / p.sum()), float(loss[two[1]] - loss[two[0]])
 
 
-def fit_counts(languages: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code, weights) from the language x feature counts; languages weigh alike."""
-    code = codewords(len(languages))
-    total = counts.sum(axis=1, keepdims=True)
-    p = (counts + 0.2) / (total + 0.2 * counts.shape[1])
-    cols = []
-    for j in range(code.shape[1]):
-        pos, neg = p[code[:, j] > 0].mean(axis=0), p[code[:, j] < 0].mean(axis=0)
-        cols.append(np.log(pos / neg))
-    return code, (np.array(cols).T if cols else np.zeros((counts.shape[1], 0)))
+def bit_weights(counts: DataFrame, languages: list[str], totals: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Features x bits: the log of the mean share of a feature over the languages with
+    the bit set against the mean over the others. ``counts`` (lang, f, n) is summed in
+    Spark per feature, in the order of languages, so that reruns agree to the last bit."""
+    size = 1 << FEATURE_BITS
+    at = {v: i for i, v in enumerate(languages)}
+    unit = 1.0 / (totals + PRIOR * size)  # a language's share of a single use
+    sent = counts.sparkSession.sparkContext.broadcast((at, unit, code))  # languages x bits
+
+    def add(batches):
+        where, one, words = sent.value
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            lang = np.array([where[v] for v in b.column(0).to_pylist()], dtype=np.int64)
+            share = b.column(2).to_numpy() * one[lang]
+            for f, k, v in zip(b.column(1).to_pylist(), lang.tolist(), share.tolist()):
+                if f not in sums:
+                    sums[f] = np.zeros((2, words.shape[1]))
+                sums[f][0] += v * (words[k] > 0)
+                sums[f][1] += v * (words[k] < 0)
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([v.ravel().tolist() for v in sums.values()], pa.list_(pa.float64()))],
+                ["f", "v"])
+
+    per_feature = counts.select("lang", "f", "n").repartition("f").sortWithinPartitions("f", "lang")
+    got = per_feature.mapInArrow(add, "f int, v array<double>").toArrow()  # at most one row a feature
+    bits = code.shape[1]
+    sides = np.zeros((size, 2, bits))
+    if got.num_rows:
+        sides[got.column("f").to_numpy()] = np.array(got.column("v").to_pylist()).reshape(-1, 2, bits)
+    has = np.stack([code > 0, code < 0])
+    sides += PRIOR * (has * unit[None, :, None]).sum(axis=1)
+    sides /= has.sum(axis=1)
+    return np.log(sides[:, 0] / sides[:, 1])
 
 
 def fit(train: DataFrame, calibration_rows: int = 4_000) -> CodeModel | None:
@@ -105,29 +147,38 @@ def fit(train: DataFrame, calibration_rows: int = 4_000) -> CodeModel | None:
     text or lang, or no letter, do not count. None when nothing remains."""
     rows = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
 
-    def count(batches):
-        sums: dict[str, np.ndarray] = {}
-        for b in batches:
-            for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = trigram_counts(t)
-                if c is not None:
-                    sums[lang] = sums[lang] + c if lang in sums else c
+    def rows_of(sums):
         for lang, c in sums.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "f", "n"])
 
-    got = (rows.select("text", "lang").mapInArrow(count, "lang string, f int, n bigint")
-           .groupBy("lang", "f").agg(F.sum("n").alias("n")).toArrow())
-    langs = sorted(set(got.column("lang").to_pylist()))
+    def count(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c = trigram_counts(t)
+                if c is None:
+                    continue
+                if lang in sums:
+                    sums[lang] += c
+                else:
+                    if len(sums) >= HELD_LANGUAGES:
+                        yield from rows_of(sums)
+                        sums = {}
+                    sums[lang] = c
+        yield from rows_of(sums)
+
+    counts = written(rows.select("text", "lang").mapInArrow(count, "lang string, f int, n bigint")
+                     .groupBy("lang", "f").agg(F.sum("n").alias("n")), "language-counts")
+    total = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(total)
     if not langs:
         return None
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} values of lang; at most {MAX_LANGUAGES} can be learned")
-    counts = np.zeros((len(langs), 1 << FEATURE_BITS))
+    code = codewords(len(langs))
+    weights = bit_weights(counts, langs, np.array([total[v] for v in langs], dtype=float), code) \
+        if code.shape[1] else np.zeros((1 << FEATURE_BITS, 0))
     at = {v: i for i, v in enumerate(langs)}
-    counts[[at[v] for v in got.column("lang").to_pylist()], got.column("f").to_numpy()] = got.column("n").to_numpy()
-    code, weights = fit_counts(langs, counts)
     bits = code.shape[1]
     raw = CodeModel(tuple(langs), code, weights, np.vstack([np.ones(bits), np.zeros(bits)]), np.ones(bits) / max(bits, 1))
     if not bits:

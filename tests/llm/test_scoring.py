@@ -114,6 +114,38 @@ def test_language_codes_edges(spark):
         assert not (np.abs(code.sum(axis=0)) == k).any()
 
 
+def dense_weights(rows, languages, code):
+    """The weights from a dense table of counts, straight from their definition."""
+    size = 1 << LC.FEATURE_BITS
+    counts = np.zeros((len(languages), size))
+    for text, lang, _ in rows:
+        counts[languages.index(lang)] += LC.trigram_counts(text)
+    p = (counts + LC.PRIOR) / (counts.sum(axis=1, keepdims=True) + LC.PRIOR * size)
+    return np.array([np.log(p[c > 0].mean(axis=0) / p[c < 0].mean(axis=0)) for c in code.T]).T
+
+
+def test_language_codes_against_dense_counts(spark):
+    """300 languages, more than a task holds at once: every one is learned, by the defined weights."""
+    rnd = random.Random(7)
+    names = [f"l{i:03d}" for i in range(300)]
+    letters = {v: rnd.sample("abcdefghijklmnopqrstuvwxyz", 7) for v in names}
+    say = lambda v: " ".join("".join(rnd.choices(letters[v], k=4)) for _ in range(60))
+    rows = [(say(v), v, i) for i, v in enumerate(names * 3)]
+    m = LC.fit(spark.createDataFrame(rows, "text string, lang string, key long"), calibration_rows=900)
+    assert m.languages == tuple(names) and LC.least_distance(m.code) >= 4
+    assert np.allclose(m.weights, dense_weights(rows, names, m.code), rtol=1e-9, atol=1e-9)
+    texts = [say(v) for v in names]
+    got = [r.lang_pred for r in LC.identify(docs(spark, texts), m).orderBy("doc_id").collect()]
+    want = []  # by definition: the codeword of least weighted loss
+    for x in texts:
+        c = LC.trigram_counts(x)
+        f = c @ m.weights / c.sum() * m.scale[0] + m.scale[1]
+        loss = [float(np.sum(m.trust * np.log1p(np.exp(-word * f)))) for word in m.code]
+        want.append(names[int(np.argmin(loss))])
+    assert got == want
+    assert sum(a == v for a, v in zip(got, names)) >= 240  # chance: 1; languages share most trigrams here
+
+
 def brute_segments(s):
     """Maximal scoring segments by their definition: the best segment, then those left and right of it."""
     out = []
