@@ -17,6 +17,7 @@ from ..config import ChunkConfig, TOKEN_PATTERN
 from ..functions import text as T
 from ..session import unique_subdir
 from ..sources.tables import spread
+from .segment import not_single, segment
 
 
 class InvalidChunkSeparator(ValueError):
@@ -84,17 +85,26 @@ def token_ids(rows: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def chunk(df: DataFrame, keys: Sequence[str], config: ChunkConfig = ChunkConfig(),
-          text_col: str = "text", clean_text: bool = True) -> DataFrame:
+          text_col: str = "text", clean_text: bool = True, vocab: DataFrame | None = None) -> DataFrame:
     """Ingest chunking: pre-filter → tokenise → hierarchical chunks →
     post-filter → drop empty → detokenise.
 
+    Tokens are those of the default pattern, or with ``vocab`` (token, token_id) the longest
+    tokens of that vocabulary (see :mod:`.segment`).
     Output ``keys..., chunk_no (0-based, after dropping empties), text, n_tokens``.
     """
-    check_single_tokens(config.separators)
-    check_single_tokens(config.post_filter)
     src = T.prefilter(F.col(text_col), config.pre_filters) if clean_text else F.col(text_col)
-    # tokens are materialised once per row: the chunk expression reads them many times
-    toks = spread(df.select(*keys, F.col(text_col))).select(*keys, T.tokenize(src).alias("__tk"))
+    if vocab is None:
+        check_single_tokens(config.separators)
+        check_single_tokens(config.post_filter)
+        # tokens are materialised once per row: the chunk expression reads them many times
+        toks = spread(df.select(*keys, F.col(text_col))).select(*keys, T.tokenize(src).alias("__tk"))
+    else:
+        bad = not_single([*config.separators, *config.post_filter], vocab)
+        if bad:
+            raise InvalidChunkSeparator(bad[0])
+        toks = segment(df.select(*keys, src.alias("__text")), vocab, "__text", "__seg").select(
+            *keys, F.col("__seg.token").alias("__tk"))
     chunks = T.chunk_tokens(F.col("__tk"), config.separators, config.max_tokens, config.post_filter)
     return (
         toks.select(*keys, F.posexplode_outer(chunks).alias("chunk_no", "tk"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..functions import text as T
+from ..operators import segment as SEG
 from ..operators import text as ops
 from ..sources.tables import table
 from . import sqlgen as S
@@ -122,6 +123,43 @@ def chunk_by_memory(spark, sf):
     return ops.chunk_by_memory(docs, ops.settings_table(spark, MEMORIES), ["doc_id"])
 
 
+# Pieces of a vocabulary besides whole tokens: their beginnings of these lengths.
+PIECES = (1, 2, 4)
+_VOCAB_SQL = (
+    f"words AS (SELECT DISTINCT unnest({S.tokens('text')}) AS w FROM documents),\n"
+    "vocab AS MATERIALIZED (SELECT token, dense_rank() OVER (ORDER BY token)::BIGINT AS token_id FROM ("
+    "SELECT w AS token FROM words" + "".join(f" UNION SELECT w[1:{n}] FROM words" for n in PIECES) + "))"
+)
+
+
+def _subword_vocabulary(spark, sf):
+    """The documents' tokens and their beginnings, with ids in binary order."""
+    words = ops.token_rows(table(spark, sf, "documents"), []).select("token").distinct()
+    parts = F.array(F.col("token"), *[F.substring("token", 1, n) for n in PIECES])
+    return ops.vocabulary(words.select(F.explode(parts).alias("token")))
+
+
+@query("vocab_segment",
+       f"WITH RECURSIVE {_VOCAB_SQL},\n"
+       "turns AS (SELECT conv_id, turn, text FROM conversations),\n"
+       "places AS (SELECT conv_id, turn, text, unnest(range(1, len(text) + 1)) AS p FROM turns),\n"
+       "sizes AS (SELECT DISTINCT len(token) AS n FROM vocab),\n"
+       "best AS MATERIALIZED (SELECT conv_id, turn, p, max(n) AS n FROM places, sizes "
+       "WHERE p + n - 1 <= len(text) AND text[p:p + n - 1] IN (SELECT token FROM vocab) GROUP BY ALL),\n"
+       "path AS (SELECT conv_id, turn, text, 0 AS pos, 1 AS p FROM turns WHERE len(text) > 0 UNION ALL "
+       "SELECT path.conv_id, path.turn, text, pos + 1, path.p + coalesce(best.n, 1) FROM path LEFT JOIN best "
+       "ON best.conv_id = path.conv_id AND best.turn = path.turn AND best.p = path.p "
+       "WHERE path.p + coalesce(best.n, 1) <= len(text)),\n"
+       "cut AS (SELECT path.conv_id, path.turn, pos::BIGINT AS pos, text[path.p:path.p + coalesce(n, 1) - 1] AS token FROM path "
+       "LEFT JOIN best ON best.conv_id = path.conv_id AND best.turn = path.turn AND best.p = path.p)\n"
+       "SELECT conv_id, turn, pos, cut.token, token_id FROM cut LEFT JOIN vocab ON vocab.token = cut.token")
+def vocab_segment(spark, sf):
+    """Chat turns cut into the longest pieces of a vocabulary of subwords."""
+    cut = SEG.segment(table(spark, sf, "conversations").select("conv_id", "turn", "text"), _subword_vocabulary(spark, sf))
+    return cut.select("conv_id", "turn", F.posexplode("tokens").alias("pos", "t")).select(
+        "conv_id", "turn", F.col("pos").cast("long").alias("pos"), "t.token", "t.token_id")
+
+
 @query("token_stats",
        f"SELECT doc_id, len({S.tokens('text')})::BIGINT AS n_tokens, "
        f"len(string_split_regex(text, '[ ]+'))::BIGINT AS n_words, "
