@@ -34,11 +34,18 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _is_number(v: Column) -> Column:
+def number_kind(v: Column) -> Column:
     k = _kind(v)
     return k.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
 
 
+def too_many_decimals(txt: Column, num: Column, most: Column) -> Column:
+    """Whether a number, as text and value, has more than ``most`` decimals (ending zeros do not count)."""
+    frac = F.regexp_extract(txt, r"\.([0-9]*?)0*$", 1)
+    scaled = num * F.pow(F.lit(10.0), most)
+    return F.when(txt.rlike("[eE]"), F.floor(scaled) != scaled).otherwise(F.length(frac) > most)
+
+
 def _grown(txt: Column, schema: Schema) -> Column:
     """Whether a number literal can be written character by character: a first digit
     is within [min, max] unless a minus precedes it; a literal grows on only while its
@@ -71,13 +78,13 @@ def _valid(schema: Schema, v: Column, check_all: bool, grammar: bool = False) ->
     t = schema.get("type")
     k = _kind(v)
     if t == "number" and grammar:
-        return F.coalesce(_is_number(v) & _grown(F.try_variant_get(v, "$", "string"), schema), F.lit(False))
+        return F.coalesce(number_kind(v) & _grown(F.try_variant_get(v, "$", "string"), schema), F.lit(False))
     if t == "boolean":
         return k == "BOOLEAN"
     if t == "null":
         return k == "VOID"
     if t == "number":
-        cond = _is_number(v)
+        cond = number_kind(v)
         num = F.try_variant_get(v, "$", "double")
         if schema.get("min") is not None:
             cond = cond & (num >= F.lit(float(schema["min"])))
@@ -86,10 +93,7 @@ def _valid(schema: Schema, v: Column, check_all: bool, grammar: bool = False) ->
         if check_all:
             md = int(schema.get("max_decimals") or 0)
             txt = F.try_variant_get(v, "$", "string")
-            frac = F.regexp_extract(txt, r"\.([0-9]*?)0*$", 1)
-            sci = txt.rlike("[eE]")
-            cond = cond & (F.when(sci, F.floor(num * F.lit(10.0 ** md)) == num * F.lit(10.0 ** md))
-                           .otherwise(F.length(frac) <= md))
+            cond = cond & ~too_many_decimals(txt, num, F.lit(md))
         return F.coalesce(cond, F.lit(False))
     if t == "string":
         cond = k == "STRING"
@@ -180,10 +184,13 @@ def _grammar_schema(schema: Schema) -> Schema:
 
 
 def is_strict(text: Column | str, schema: Schema) -> Column:
+    """Boolean: the schema grammar could have produced this JSON text. The grammar counts and
+    compares strings as written: no string of it holds a quote, so with its backslashes
+    doubled a text parses to the strings as written."""
     col = F.col(text) if isinstance(text, str) else text
-    v = F.try_parse_json(col)
-    return F.coalesce(col.rlike(strict_regex(schema)) & v.isNotNull() & _valid(_grammar_schema(schema), v, True, grammar=True),
-                      F.lit(False))
+    raw = F.try_parse_json(F.replace(col, F.lit("\\"), F.lit("\\\\")))
+    return F.coalesce(col.rlike(strict_regex(schema)) & F.try_parse_json(col).isNotNull()
+                      & _valid(_grammar_schema(schema), raw, True, grammar=True), F.lit(False))
 
 
 #: The lexeme classes.

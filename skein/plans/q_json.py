@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import jsonschema as J
 from ..functions.text import tokenize
 from ..operators import jsonmask as JM
+from ..operators import schemas as SC
 from ..operators import text as ops
 from ..sources.tables import spread, table
 from . import sqlgen as S
@@ -27,6 +30,44 @@ def json_is_valid(spark, sf):
     return e.select("event_id", J.is_valid("props", PROPS_SCHEMA).alias("valid"))
 
 
+#: A registry of result schemas, one for each task.
+SCHEMAS = {
+    "task0": PROPS_SCHEMA,
+    "task1": {"type": "object", "required": [], "properties": {
+        "k": {"type": "number", "min": 20}, "tags": {"type": "array", "min_items": 2, "items": {"type": "number", "max": 300}}}},
+    "task2": {"type": "object", "required": ["o"], "properties": {
+        "o": {"type": "object", "required": ["k"], "properties": {"k": {"type": "number", "max": 40}}}, "s": {"type": "string"}}},
+}
+
+
+@query("json_valid_by_schema",
+       "WITH t AS (SELECT event_id, 'task' || (event_id % 3) AS task, props, regexp_extract(props, '([0-9]+)', 1) AS d FROM events),\n"
+       "v AS (SELECT event_id, task, unnest([props, '{\"tags\":[' || d || ',7' || d || ']}', "
+       "'{\"s\":\"' || d || '\",\"o\":{\"k\":' || d || '}}', '{\"o\":{},\"s\":' || d || '}', '{\"tags\":[' || d || '],\"k\":' || d || '}', d]) AS j, "
+       "unnest([0, 1, 2, 3, 4, 5])::BIGINT AS variant FROM t),\n"
+       "k AS (SELECT *, json_type(j) = 'OBJECT' AS obj, coalesce(json_keys(j), []) AS ks, json_keys(j, '$.o') AS ok, "
+       "TRY_CAST(json_extract_string(j, '$.k') AS DOUBLE) AS k, TRY_CAST(json_extract_string(j, '$.o.k') AS DOUBLE) AS o, "
+       "TRY_CAST(json_extract(j, '$.tags') AS DOUBLE[]) AS tags FROM v)\n"
+       "SELECT event_id, variant, task, obj AND CASE task "
+       "WHEN 'task0' THEN coalesce(ks = ['k'] AND k BETWEEN 0 AND 50, false) "
+       "WHEN 'task1' THEN list_has_all(['k', 'tags'], ks) AND coalesce(k >= 20, true) "
+       "AND coalesce(len(tags) >= 2 AND list_max(tags) <= 300, true) "
+       "ELSE list_has_all(['o', 's'], ks) AND coalesce(ok = ['k'] AND o <= 40, false) "
+       "AND coalesce(json_type(j, '$.s') = 'VARCHAR', true) END AS valid FROM k")
+def json_valid_by_schema(spark, sf):
+    """Results of three tasks, each held against its task's schema from a registry table: the
+    payloads, and arrays, nested objects and a bare number made of their values."""
+    e = spread(table(spark, sf, "events").select("event_id", "props"))
+    d = F.regexp_extract("props", "([0-9]+)", 1)
+    text = lambda *parts: F.concat(*[d if p is None else F.lit(p) for p in parts])
+    texts = F.array(F.col("props"), text('{"tags":[', None, ",7", None, "]}"), text('{"s":"', None, '","o":{"k":', None, "}}"),
+                    text('{"o":{},"s":', None, "}"), text('{"tags":[', None, '],"k":', None, "}"), d)
+    rows = e.select("event_id", F.concat(F.lit("task"), F.col("event_id") % 3).alias("task"),
+                    F.posexplode(texts).alias("variant", "text"))
+    registry = spark.createDataFrame([(k, json.dumps(v)) for k, v in SCHEMAS.items()], "schema string, definition string")
+    return SC.valid_by_schema(rows, registry, "task").select("event_id", F.col("variant").cast("long").alias("variant"), "task", "valid")
+
+
 #: Number bounds (min, max) whose grammars the strict query runs.
 BOUNDS = ((0, 50), (5, 50), (20, 50), (None, None), (0, None), (None, 3))
 

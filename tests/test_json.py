@@ -1,6 +1,9 @@
+import json
+
 import pytest
 
 from skein.functions import jsonschema as J
+from skein.operators import schemas as SC
 
 NUM = {"type": "number", "min": 0, "max": 10, "max_decimals": 1}
 ENUM = {"type": "string", "enum": ["g", "ml"], "max_length": 2}
@@ -113,3 +116,54 @@ def test_free_string_mask(spark):
     vocab = spark.createDataFrame([("ab",), ("é",), ("long",), ('"',), ('a"',), ("",), ("\n",)], "token string")
     run = lambda *a: {r.token for r in JM.any_string_mask(vocab, *a).collect()}
     assert run(2) == {"ab", "é", '"'} and run(0) == {'"'} and run() == {"ab", "é", "long", '"'}
+
+
+@pytest.mark.parametrize("text,most,want", [
+    (r'"\u0041\u0042"', 2, False),   # twelve bytes as written
+    (r'"\u0041\u0042"', 12, True),
+    (r'"\\"', 2, True),
+    (r'"\\"', 1, False),
+    (r'"\x"', 9, False),             # not JSON
+    ('"é"', 1, False),
+    ('"é"', 2, True),
+    ('"ab"\n', 2, False),
+])
+def test_strict_strings_as_written(spark, text, most, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(J.is_strict("t", {"type": "string", "max_length": most}).alias("s")).first().s is want
+
+
+NESTED = {"type": "object", "required": ["a/b", "c~"], "properties": {
+    "a/b": {"type": "array", "items": OBJ, "max_items": 2}, "c~": {"type": "array", "items": {"type": "array", "items": NUM}},
+    "[]": {"type": "null"}}}
+NESTED_TEXTS = ['{"a/b":[],"c~":[]}', '{"a/b":[{"a":1}],"c~":[[1.5,2],[]],"[]":null}', '{"a/b":[{"a":1},{"b":"x"}],"c~":[]}',
+                '{"a/b":[{"a":1,"z":2}],"c~":[]}', '{"a/b":[],"c~":[[11]]}', '{"a/b":[],"c~":[1]}', '{"a/b":[]}', '{"a/b":[],"c~":[[1.55]]}',
+                '{"a/b":{},"c~":[]}', '{"a/b":[],"c~":[],"[]":0}', "[]", '{"a/b":[{"a":1},{"a":1},{"a":1}],"c~":[]}', "null", "", None]
+
+
+@pytest.mark.parametrize("check_all,most", [(False, 8 << 20), (True, 0)])
+def test_schemas_as_rows_equal_literal_schemas(spark, check_all, most):
+    """Every text against every schema of a table, as by the schema compiled alone."""
+    schemas = [NUM, ENUM, ARR, OBJ, NESTED, {"type": "boolean"}, {"type": "null"}, {"type": "number", "max_decimals": 2}]
+    texts = sorted({t for _, t, _, _ in CASES} | {t for t in NESTED_TEXTS if t is not None}) + ["1e1", "1.250", "-0.5", '"ml"', None]
+    registry = spark.createDataFrame([(str(i), json.dumps(x)) for i, x in enumerate(schemas)], "schema string, definition string")
+    df = spark.createDataFrame([(str(i), t, "v") for i in range(len(schemas)) for t in texts], "schema string, text string, valid string")
+    got = SC.valid_by_schema(df, registry, check_all=check_all, broadcast_bytes=most)
+    assert got.columns == ["schema", "text", "valid"]
+    for i, x in enumerate(schemas):
+        part = got.where(got["schema"] == str(i)).select("text", "valid", J.is_valid("text", x, check_all).alias("want")).collect()
+        assert len(part) == len(texts) and [(r.text, r.valid) for r in part] == [(r.text, r.want) for r in part], x
+
+
+def test_schemas_as_rows_edges(spark):
+    registry = spark.createDataFrame([("a", '{"type":"null"}')], "schema string, definition string")
+    df = spark.createDataFrame([("a", "null"), ("a", "null"), ("b", "null"), (None, "null"), ("a", None)], "schema string, text string")
+    got = SC.valid_by_schema(df, registry).collect()
+    assert sorted(str(r.valid) for r in got) == ["False", "None", "None", "True", "True"]
+    assert SC.valid_by_schema(df.limit(0), registry).count() == 0
+    bad = [("a", "{"), ("b", '{"type":"date"}'), ("c", '{"type":"array"}'), ("d", None), ("e", '{"type":"string","max_length":"x"}'),
+           ("f", '{"type":"null"}'), ("f", '{"type":"null"}'), (None, '{"type":"null"}'), ("g", "[]")]
+    rules = SC.schema_rules(spark.createDataFrame(bad, registry.schema))
+    assert {r.name for r in SC.invalid_schemas(rules).collect()} == {"a", "b", "c", "d", "e", "f", None, "g"}
+    with pytest.raises(SC.InvalidSchema):
+        SC.valid_by_schema(df, registry.union(registry))
