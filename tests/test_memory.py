@@ -1,3 +1,4 @@
+import re
 import uuid
 
 import numpy as np
@@ -71,6 +72,50 @@ def test_equal_vectors_keep_tie_order(spark):
             assert got == {(k, r): k + 20 * (r - 1) for k in range(20) for r in (1, 2, 3)}
 
 
+def test_blocks_and_hits_carry_no_payload(spark):
+    """Payloads are fetched for the hits alone: rows that share their tie keys keep their own,
+    equal rows count each, and null keys and payloads are found."""
+    rows = [(1, "a", [0.0, 1.0]), (1, "b", [0.0, 2.0]), (1, "b", [0.0, 2.0]), (None, None, [0.0, 3.0]), (2, "c", [9.0, 9.0])]
+    mem = spark.createDataFrame(rows, "pos long, text string, embedding array<float>")
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (None, [8.0, 8.0])], "qid long, embedding array<float>")
+    for strategy, most in (("broadcast", 200_000), ("blocked", 200_000), ("blocked", 0)):
+        R.BROADCAST_HITS = most
+        try:
+            hits = R.knn(q, mem, 4, tie_keys=["pos"], payload=["text"], strategy=strategy)
+        finally:
+            R.BROADCAST_HITS = 200_000
+        got = {(r.qid, r["rank"]): (r.text, r.pos) for r in hits.collect()}
+        assert len(got) == 12
+        for k in (1, 2):
+            assert [got[k, i] for i in (1, 2, 3, 4)] == [("a", 1), ("b", 1), ("b", 1), (None, None)]
+        assert got[None, 1] == ("c", 2)
+
+
+def test_blocks_are_few(spark):
+    """20,000 queries against 20,000 rows: the exchanged copies stay few, the hits those of brute force."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (20_000, 4)).astype(float)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in enumerate(v)], "pos long, embedding array<float>")
+    hits = R.knn(df.withColumnRenamed("pos", "qid"), df, 2, tie_keys=["pos"], dims=4, strategy="blocked")
+    last = [int(x) for x in re.findall(r"explode\(sequence\(0, (\d+)", hits._jdf.queryExecution().analyzed().toString())]
+    assert len(last) == 2 and min(last) == 0 and max(last) < 8, last  # 5 and 5 blocks before: four copies more of either side
+    got = {(r.qid, r["rank"]): r.pos for r in hits.where("qid < 50").collect()}
+    for k in range(50):
+        d = ((v - v[k]) ** 2).sum(axis=1)
+        assert [got[k, 1], got[k, 2]] == np.lexsort((np.arange(len(v)), d))[:2].tolist()
+
+
+def test_kernel_rounds_nothing_away():
+    """Single-precision products only find candidates: close, huge, tiny and equal vectors rank as in double precision."""
+    rng = np.random.default_rng(4)
+    for make in (lambda n: 1e6 + rng.standard_normal((n, 5)), lambda n: rng.standard_normal((n, 5)) * 1e30,
+                 lambda n: rng.standard_normal((n, 5)) * 1e-30, lambda n: rng.integers(0, 2, (n, 5)).astype(float)):
+        Q, M = make(20), make(9000)
+        d = ((Q[:, None, :] - M[None, :, :]) ** 2).sum(axis=2)
+        want = np.lexsort((np.broadcast_to(np.arange(len(M)), d.shape), d), axis=1)[:, :3]
+        assert (R._top_n(Q, M, 3, "l2")[0] == want).all()
+
+
 def test_empty_memory_without_dims(spark):
     empty = spark.createDataFrame([], "pos long, text string, embedding array<float>")
     hits = R.knn(_queries(spark), empty, 3, tie_keys=["pos"], payload=["text"])
