@@ -5,12 +5,16 @@ begins there is taken, and a character at which none begins is a token of its ow
 without id. So the tokens of a text always join to the text.
 
 Two ways with equal results. A vocabulary of at most ``broadcast_bytes``, measured first,
-is sent to the workers. A larger one stays a table: every piece of a text that has the
-length of some token meets it in an equi-join, and each text walks its longest matches.
+is sent to the workers. A larger one stays a table, dealt out by the first two characters
+of its tokens. A character that no longer token has ends every match, so texts are cut
+there into runs, and each distinct run is looked up once: every place of it goes, with the
+characters that a token may have, to the tokens that begin like it.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -25,8 +29,11 @@ from ..sources.tables import spread
 ENTRY_BYTES = 160
 TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("token_id", T.LongType())]))
 _ARROW = pa.list_(pa.struct([("token", pa.string()), ("token_id", pa.int64())]))
-#: Pieces in an Arrow batch on their way to the join.
+#: Places in an Arrow batch on their way to the vocabulary, and places and vocabulary
+#: (by :data:`ENTRY_BYTES`) that meet in one group.
 PIECES = 20_000
+GROUP_PLACES = 500_000
+GROUP_BYTES = 4 << 20
 
 
 class VocabularyMatcher:
@@ -72,7 +79,7 @@ def segment(df: DataFrame, vocab: DataFrame, text_col: str = "text", out_col: st
     size = table.agg(F.coalesce(F.sum(F.octet_length("token") + F.lit(ENTRY_BYTES)), F.lit(0)).alias("n")).first().n
     if size <= broadcast_bytes:
         return _by_matcher(spread(df), table, text_col, out_col)
-    return _by_join(df, table, text_col, out_col)
+    return _by_join(df, table, text_col, out_col, 16 + size // GROUP_BYTES)
 
 
 def _by_matcher(df: DataFrame, table: DataFrame, text_col: str, out_col: str) -> DataFrame:
@@ -99,46 +106,124 @@ def _free(base: str, taken: list[str]) -> str:
     return base
 
 
-def _by_join(df: DataFrame, table: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """The rows are numbered and written once. Pieces (row, place, text) join the vocabulary;
-    of the matches at a place the longest stays, and each row walks its own."""
+def _by_join(df: DataFrame, table: DataFrame, text_col: str, out_col: str, buckets: int) -> DataFrame:
+    """The rows are numbered and written once. Their distinct runs are cut and joined back.
+    Tokens of one character need no exchange: there are no more of them than characters."""
     spark = df.sparkSession
-    number, matches = _free("__row", df.columns), _free("__matches", df.columns)
+    number, cuts = _free("__row", df.columns), _free("__cuts", df.columns)
     path = unique_subdir(spark, "segment")
     df.withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    # one number for each distinct length of a token
-    lengths = sorted(r.n for r in table.select(F.length("token").alias("n")).distinct().collect())
+    singles = {r.token: r.token_id for r in table.where(F.length("token") == 1).collect()}
+    inside = table.where(F.length("token") > 1).select(F.explode(F.split("token", "")).alias("c")).where("c <> ''").distinct().collect()
+    run = re.compile("[" + "".join(re.escape(r.c) for r in inside) + "]{2,}" if inside else "(?!)")
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(row, m.start(), m.group()) for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+                     for m in run.finditer(text)]
+            for s in range(0, len(found), PIECES):
+                row, at, text = zip(*found[s:s + PIECES])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.string())], ["row", "at", "run"])
+
+    found = (spread(rows.select(number, text_col).where(F.length(text_col) > 1))
+             .mapInArrow(runs, "row long, at int, run string"))
+    known = _cut(found.select("run").distinct(), table, singles, buckets)
+    found = found.join(known, "run").groupBy(F.col("row").alias(number)).agg(
+        F.collect_list(F.struct("at", "tokens")).alias(cuts))
+    joined = rows.join(found, number, "left").select(*df.columns, cuts)
+    names = df.columns
+    text_at = names.index(text_col)
+
+    def whole(text: str, cuts: list[dict] | None) -> list[dict]:
+        out, at = [], 0
+        for c in sorted(cuts or (), key=lambda c: c["at"]):
+            out += [{"token": x, "token_id": singles.get(x)} for x in text[at:c["at"]]]
+            out += c["tokens"]
+            at = c["at"] + sum(len(t["token"]) for t in c["tokens"])
+        return out + [{"token": x, "token_id": singles.get(x)} for x in text[at:]]
+
+    def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = [None if t is None else whole(t, c)
+                      for t, c in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tokens, _ARROW)], [*names, out_col])
+
+    return joined.mapInArrow(run_rows, _schema(df, out_col))
+
+
+def _cut(runs: DataFrame, table: DataFrame, singles: dict[str, int], buckets: int) -> DataFrame:
+    """(run, tokens) of distinct runs. Places and tokens meet in buckets of first two
+    characters; where a bucket has many places, they are dealt out over several copies of
+    its tokens."""
+    spark = runs.sparkSession
+    path = unique_subdir(spark, "segment-runs")
+    runs.withColumn("number", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    texts = rows.select("number", "run")
+    # ints on both sides of the exchange
+    bucket = lambda c: F.pmod(F.xxhash64(F.substring(c, 1, 2)), F.lit(buckets)).cast("int").alias("bucket")
+    tokens = table.where(F.length("token") > 1).select(bucket("token"), "token", "token_id")
+    longest = tokens.agg(F.max(F.length("token")).alias("n")).first().n or 0
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter[str] = Counter()
+            for text in b.column(1).to_pylist():
+                seen.update(map("".join, zip(text, text[1:])))
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["pair", "n"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, str]] = []
 
         def emit() -> pa.RecordBatch:
-            row, place, piece = zip(*held)
+            row, place, window = zip(*held)
             return pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(place, pa.int64()), pa.array(piece, pa.string())], ["row", "place", "piece"])
+                [pa.array(row, pa.int64()), pa.array(place, pa.int32()), pa.array(window, pa.string())], ["row", "place", "window"])
 
         for b in batches:
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for place in range(len(text)):
-                    for n in lengths:
-                        if place + n > len(text):
-                            break
-                        held.append((row, place, text[place:place + n]))
+                for place in range(len(text) - 1):
+                    held.append((row, place, text[place:place + longest]))
                     if len(held) >= PIECES:
                         yield emit()
                         held = []
         if held:
             yield emit()
 
-    found = (spread(rows.select(number, text_col).where(F.length(text_col) > 0))
-             .mapInArrow(pieces, "row long, place long, piece string")
-             .join(table, F.col("piece") == F.col("token"))
-             .groupBy("row", "place").agg(F.max(F.struct(F.length("token").alias("n"), "token_id")).alias("best"))
-             .groupBy(F.col("row").alias(number)).agg(F.collect_list(F.struct("place", "best.n", "best.token_id")).alias(matches)))
-    joined = rows.join(found, number, "left").select(*df.columns, matches)
-    names = df.columns
-    text_at = names.index(text_col)
+    # one row a bucket: the length of its longest token, and copies of its tokens
+    asked = spread(texts).mapInArrow(pairs, "pair string, n long").groupBy(bucket("pair")).agg(F.sum("n").alias("places"))
+    sizes = F.broadcast(tokens.groupBy("bucket").agg(F.max(F.length("token")).alias("longest")).join(asked, "bucket").select(
+        "bucket", "longest", F.ceil(F.col("places") / GROUP_PLACES).cast("int").alias("copies")))
+    places = (spread(texts).mapInArrow(windows, "row long, place int, window string").withColumn("bucket", bucket("window"))
+              .join(sizes, "bucket").select(
+                  "bucket", F.pmod(F.xxhash64("row", "place"), "copies").cast("int").alias("copy"),
+                  "row", "place", F.expr("substring(window, 1, longest)").alias("window")))
+    dealt = tokens.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "token", "token_id")
+
+    def match(asked: pa.Table, known: pa.Table) -> pa.Table:
+        ids = dict(zip(known.column("token").to_pylist(), known.column("token_id").to_pylist()))
+        lengths: dict[str, set[int]] = {}
+        for t in ids:
+            lengths.setdefault(t[:2], set()).add(len(t))
+        tried = {c: tuple(sorted(v, reverse=True)) for c, v in lengths.items()}
+        at, size, found = [], [], []
+        for i, window in enumerate(asked.column("window").to_pylist()):
+            for n in tried.get(window[:2], ()):
+                number = ids.get(window[:n]) if n <= len(window) else None
+                if number is not None:
+                    at.append(i)
+                    size.append(n)
+                    found.append(number)
+                    break
+        hits = asked.select(["row", "place"]).take(pa.array(at, pa.int64()))
+        return pa.table([*hits.columns, pa.array(size, pa.int32()), pa.array(found, pa.int64())], names=["row", "place", "n", "token_id"])
+
+    found = (places.groupBy("bucket", "copy").cogroup(dealt.groupBy("bucket", "copy"))
+             .applyInArrow(match, "row long, place int, n int, token_id long")
+             .groupBy(F.col("row").alias("number")).agg(F.collect_list(F.struct("place", "n", "token_id")).alias("matches")))
+    joined = rows.join(found, "number", "left").select("run", "matches")
 
     def walk(text: str, matches: list[dict] | None) -> list[dict]:
         best = {m["place"]: m for m in matches or ()}
@@ -146,17 +231,16 @@ def _by_join(df: DataFrame, table: DataFrame, text_col: str, out_col: str) -> Da
         while at < len(text):
             m = best.get(at)
             n = m["n"] if m else 1
-            out.append({"token": text[at:at + n], "token_id": m["token_id"] if m else None})
+            out.append({"token": text[at:at + n], "token_id": m["token_id"] if m else singles.get(text[at])})
             at += n
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = [None if t is None else walk(t, m)
-                      for t, m in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tokens, _ARROW)], [*names, out_col])
+            tokens = [walk(t, m) for t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, _ARROW)], ["run", "tokens"])
 
-    return joined.mapInArrow(run, _schema(df, out_col))
+    return joined.mapInArrow(walked, T.StructType([T.StructField("run", T.StringType()), T.StructField("tokens", TOKENS)]))
 
 
 def not_single(strings: Sequence[str], vocab: DataFrame, token_col: str = "token") -> list[str]:

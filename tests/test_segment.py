@@ -48,6 +48,21 @@ def test_segments_against_model(spark, broadcast_bytes):
     assert all("".join(x for x, _ in seen[i]) == t for i, t in enumerate(texts) if t is not None)
 
 
+def test_large_vocabulary_meets_each_place_once(spark, monkeypatch):
+    """A vocabulary that stays a table: rows exchanged follow the characters, not the lengths of
+    its tokens, nothing of it is broadcast, and a bucket with many places is dealt out."""
+    monkeypatch.setattr(SEG, "GROUP_PLACES", 50)
+    rnd = random.Random(7)
+    ids = {"".join(rnd.choice("ab") for _ in range(n)): 100 * n + k for n in range(1, 25) for k in range(4)}
+    texts = ["".join(rnd.choice("aaabbb-.]^") for _ in range(60)) for _ in range(40)] + ["aaaa" * 30] * 10 + ["b", "c", "", "ab-"]
+    ids["-"] = 9
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    out = SEG.segment(df, vocab(spark, ids), broadcast_bytes=0)
+    assert got(out) == {i: model(t, ids) for i, t in enumerate(texts)}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "(piece" not in plan
+
+
 @pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
 def test_segment_edges(spark, broadcast_bytes):
     df = spark.createDataFrame([(1, "ab"), (1, "ab"), (None, "ab"), (2, None)], "i int, text string")
