@@ -10,12 +10,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokenize
+from ..session import unique_subdir
 from ..sources.tables import spread
 from .prefix import join_null_safe, running_sum
 
 
+#: Leading characters by which a stop is looked up in a reply.
+ANCHOR = 8
+
+
 def response_tokens(conv: DataFrame) -> DataFrame:
     """Assistant turns as token arrays: ``conv_id, turn, tokens``."""
     replies = spread(conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text"))
@@ -154,13 +160,32 @@ def stop_tokens_by_task(responses: DataFrame, stops: DataFrame, task: str = "tas
     """:func:`stop_tokens` with the stop strings of each response's task, from a table
     (``task``, ``stop``). Adds ``stop_at`` and ``stopped_by``.
 
-    A task's stops are one array, joined to its responses; responses are not moved where
-    Spark finds the arrays small enough to broadcast, else a task's are split by AQE.
+    A reply is only matched with stops that begin like the text at one of its token
+    boundaries: the first :data:`ANCHOR` characters there meet those of the task's stops in
+    an equi-join, so work follows the replies and what they may hold, not all stops of a task.
     Repeated and null stops count once and not at all, an empty stop ends a response at
     its first token; a null task is a task; responses of a task without stops stay whole.
     """
-    sets = stops.where(F.col(stop).isNotNull()).groupBy(F.col(task).alias(task)).agg(F.collect_set(stop).alias("__stops"))
-    with_stops = join_null_safe(responses, sets, [task], "left")
+    spark = responses.sparkSession
+    path = unique_subdir(spark, "stops")  # numbered once, so that a reply finds its own stops again
+    responses.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.schema(T.StructType([*responses.schema.fields, T.StructField("__row", T.LongType())])).parquet(path)
+    sets = stops.where(F.col(stop).isNotNull()).select(F.col(task).alias(task), F.col(stop).alias("__stop")).distinct()
+    sets = sets.withColumn("__anchor", F.substring("__stop", 1, ANCHOR))
+    # at most ANCHOR + 1 numbers
+    lengths = sorted(r.n for r in sets.select(F.length("__anchor").alias("n")).distinct().collect())
+    sizes = F.array(*[F.lit(n) for n in lengths if n]) if any(lengths) else F.array().cast("array<int>")
+    # a column of its own: inside the transform it would be made again for every token
+    filled = rows.select("__row", F.col(task).alias(task), F.size(tokens_col).alias("__n"),
+                         F.filter(tokens_col, lambda t: F.length(t) > 0).alias("__full"))
+    full = F.col("__full")
+    starts = F.array_distinct(F.transform(full, lambda t, i: F.substring(F.array_join(F.slice(full, i + 1, ANCHOR), ""), 1, ANCHOR)))
+    pieces = F.flatten(F.transform(starts, lambda w: F.transform(
+        F.filter(sizes, lambda n: n <= F.length(w)), lambda n: w.substr(F.lit(1), n))))
+    empty = F.when(F.col("__n") > 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    asked = filled.select("__row", task, F.explode(F.array_distinct(F.concat(pieces, empty))).alias("__anchor"))
+    met = join_null_safe(asked, sets, [task, "__anchor"]).groupBy("__row").agg(F.collect_set("__stop").alias("__stops"))
+    with_stops = rows.join(met, "__row", "left").select(*responses.columns, "__stops")
     hit = with_stops.withColumn("__hit", stop_match(tokens_col, "__stops"))
     tk, at = F.col(tokens_col), F.col("__hit.at")
     return (hit.withColumn("stop_at", at).withColumn("stopped_by", F.col("__hit.stop"))

@@ -66,6 +66,23 @@ def test_stops_by_task_plan_does_not_grow(spark):
         assert all((got[i][0] or 99) <= (at or 99) for i, (at, _) in mine.items())
 
 
+def test_stops_by_task_are_looked_up(spark):
+    """Of 20,000 stops of a task a reply is matched with those that begin like its text at a
+    token; odd tokens (empty, null, longer than the anchor) and stops change nothing."""
+    rnd = random.Random(9)
+    pool = ["a", "b", "", " ", None, "abababababab", "é😀"]
+    df = spark.createDataFrame([(i, None if i % 2 else "t", [rnd.choice(pool) for _ in range(rnd.randint(0, 14))]) for i in range(120)]
+                               + [(500, "t", None), (501, "t", [""])], "id long, task string, tokens array<string>")
+    used = ["".join(rnd.choice(["a", "b", " ", "é", "😀"]) for _ in range(rnd.randint(1, 12))) for _ in range(30)] + ["ababababab", "abababababab a"]
+    stops = [(k, s) for k in ("t", None) for s in used] + [("t", f"z{i}") for i in range(20_000)]
+    table = spark.createDataFrame(stops, "task string, stop string")
+    out = G.stop_tokens_by_task(df, table)
+    want = {r.id: (r.stop_at, r.tokens) for r in G.stop_tokens(df, used).collect()}
+    assert {r.id: (r.stop_at, r.tokens) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "__anchor" in plan and plan.index("collect_set(__stop") > plan.index("Project")
+
+
 def live_position(stops, tokens):
     matched = [0] * len(stops)
     for i, t in enumerate(tokens):
