@@ -49,8 +49,9 @@ def token_rows(df: DataFrame, keys: Sequence[str], text_col: str = "text") -> Da
             .filter(F.col("token").isNotNull()))
 
 
-def vocabulary(tokens: DataFrame, token_col: str = "token", partitions: int | None = None) -> DataFrame:
-    """Distinct tokens with dense ids ``1..V`` in binary string order.
+def vocabulary(tokens: DataFrame, token_col: str = "token", partitions: int | None = None, counts: bool = False) -> DataFrame:
+    """Distinct tokens with dense ids ``1..V`` in binary string order, with ``counts`` also
+    their number of occurrences ``n``.
 
     A global ``dense_rank`` would put the whole vocabulary in one task. Instead
     the distinct tokens are range-partitioned and sorted; each partition numbers
@@ -59,7 +60,8 @@ def vocabulary(tokens: DataFrame, token_col: str = "token", partitions: int | No
     once, so that counts and rows are of the same ranges; only one row per
     partition reaches the small offsets table.
     """
-    distinct = tokens.select(F.col(token_col).alias("token")).distinct()
+    distinct = tokens.select(F.col(token_col).alias("token"))
+    distinct = distinct.groupBy("token").agg(F.count(F.lit(1)).alias("n")) if counts else distinct.distinct()
     n = partitions or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         distinct.repartitionByRange(n, "token").sortWithinPartitions("token")
@@ -70,18 +72,49 @@ def vocabulary(tokens: DataFrame, token_col: str = "token", partitions: int | No
     path = unique_subdir(spark, "vocabulary")
     ranged.write.parquet(path)
     ranged = spark.read.schema(ranged.schema).parquet(path)
-    counts = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"))
-    offsets = counts.select(
+    per_range = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"))
+    offsets = per_range.select(
         "pid",
         (F.sum("cnt").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))).alias("base"),
     ).fillna(0, ["base"])
     return ranged.join(F.broadcast(offsets), "pid").select(
-        "token", (F.col("base") + F.col("local") + 1).alias("token_id"))
+        "token", (F.col("base") + F.col("local") + 1).alias("token_id"), *(["n"] if counts else []))
+
+
+#: Bytes of the tokens that are sent to every executor, each with what its entry needs besides.
+BROADCAST_BYTES, ENTRY_BYTES = 16 << 20, 64
+
+
+def _common(vocab: DataFrame) -> tuple[int | None, bool]:
+    """The least power of two such that the tokens that occur at least so often fit
+    ``BROADCAST_BYTES`` (none: no such number), and whether these are all tokens."""
+    sizes = vocab.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.sum(F.octet_length("token") + ENTRY_BYTES).alias("size")).collect()
+    least, total = None, 0
+    for bits, size in sorted(sizes, reverse=True):
+        total += size
+        if total > BROADCAST_BYTES:
+            return least, False
+        least = 1 << (bits - 1)
+    return least, True
 
 
 def token_ids(rows: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Token rows with the ``token_id`` of a vocabulary (null: not in it)."""
-    return rows.join(vocab.select("token", "token_id"), "token", "left").select(*rows.columns, "token_id")
+    """Token rows with the ``token_id`` of a vocabulary (null: not in it).
+
+    With the tokens' numbers of occurrences (``vocabulary(counts=True)``) the most common
+    tokens, as many as fit a broadcast, meet the rows in place; only the rows of rarer tokens
+    are shuffled, and no token has many of those."""
+    def joined(part: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return part.join(ids.select("token", "token_id"), "token", how).select(*rows.columns, "token_id")
+
+    least, whole = _common(vocab) if "n" in vocab.columns else (None, False)
+    if least is None:
+        return joined(rows, vocab, "left")
+    common = F.broadcast(vocab.where(F.col("n") >= least))
+    if whole:
+        return joined(rows, common, "left")
+    rare = rows.join(common.select("token"), "token", "left_anti").select(*rows.columns)
+    return joined(rows, common, "inner").unionByName(joined(rare, vocab.where(F.col("n") < least), "left"))
 
 
 def chunk(df: DataFrame, keys: Sequence[str], config: ChunkConfig = ChunkConfig(),

@@ -38,7 +38,7 @@ def prefilter(spark, sf):
 def tokenize(spark, sf):
     """Tokens with their ids in the corpus vocabulary."""
     rows = ops.token_rows(table(spark, sf, "documents"), ["doc_id"])
-    return ops.token_ids(rows, ops.vocabulary(rows)).withColumn("pos", F.col("pos").cast("long"))
+    return ops.token_ids(rows, ops.vocabulary(rows, counts=True)).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("token_counts",

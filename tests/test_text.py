@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,23 @@ def test_vocabulary_dense_ids(spark):
     assert rows == {"a": 1, "b": 2, "c": 3, "z": 4, "é": 5}
 
 
+def test_token_ids_shuffle_rare_tokens_only(spark, monkeypatch):
+    """The same ids whether all, some or none of the tokens are sent to the rows."""
+    words = "a " * 40 + "b " * 9 + "c c d"
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(re.findall(r"\w|\s", words))], "pos int, token string")
+    vocab = ops.vocabulary(rows, counts=True).cache()
+    assert {r.token: r.n for r in vocab.collect()} == {" ": 51, "a": 40, "b": 9, "c": 2, "d": 1}
+    asked = rows.union(spark.createDataFrame([(900, "not there"), (901, None)], "pos int, token string"))
+    want = sorted(map(str, ops.token_ids(asked, vocab.drop("n")).collect()))
+    assert len(want) == rows.count() + 2 and "Row(pos=0, token='a', token_id=2)" in want
+    for size, common in ((60, None), (3 * 65, 8), (1000, 1)):
+        monkeypatch.setattr(ops, "BROADCAST_BYTES", size)
+        assert ops._common(vocab) == (common, size == 1000)
+        got = ops.token_ids(asked, vocab)
+        assert sorted(map(str, got.collect())) == want
+        assert ("LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()) == (common == 8)
+
+
 def test_token_stats(spark):
     df = spark.createDataFrame([(1, " a  b ")], "doc_id long, text string")
     r = ops.token_stats(df, ["doc_id"]).first()
