@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 
 from .recall import DEFAULT_BLOCK_ROWS, _top_n, usable
 
+#: Buckets whose sizes are sent to every executor, so that the vectors are shuffled once.
+BROADCAST_BUCKETS = 1 << 18
+
 
 def hyperplanes(dims: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dims))
@@ -68,6 +71,7 @@ def lsh_knn(queries: DataFrame, memory: DataFrame, n: int, *, query_key: str, me
 
     # blocks per bucket and side (tables x 2^bits rows): a hot bucket becomes a grid of tasks
     sizes = subs(m, "__ms").join(subs(q, "__qs"), ["__t", "__code"])
+    sizes = F.broadcast(sizes) if tables << bits <= BROADCAST_BUCKETS else sizes
     m = (m.join(sizes, ["__t", "__code"]).withColumn("__sub", F.pmod(F.xxhash64("__mid"), F.col("__ms")).cast("int"))
          .withColumn("__qsub", F.explode(F.sequence(F.lit(0), F.col("__qs") - 1))).drop("__ms", "__qs"))
     q = (q.join(sizes, ["__t", "__code"]).withColumn("__qsub", F.pmod(F.xxhash64("__qid"), F.col("__qs")).cast("int"))

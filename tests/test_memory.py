@@ -203,6 +203,22 @@ def test_lsh_recall_against_exact(spark):
     assert hit / exact.count() >= 0.8
 
 
+def test_recall_lsh_asks_every_fiftieth_row(spark):
+    """All rows are searched; the vectors go to their buckets without a shuffle before."""
+    from skein.plans.q_memory import RECALL_N, recall_lsh
+
+    sf = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    got = recall_lsh(spark, sf)
+    assert "SortMergeJoin [__t" not in got._jdf.queryExecution().sparkPlan().toString()
+    got = got.cache()
+    assert {r.qid for r in got.select("qid").collect()} == {r.qid for r in q.collect()}
+    assert got.where("vec_id % 50 <> 0").count() > 0
+    exact = R.knn(q, e, RECALL_N, query_key="qid", tie_keys=["vec_id"], dims=64)
+    assert exact.join(got, ["qid", "vec_id"]).count() / exact.count() >= 0.9
+
+
 def test_lsh_answers_every_query(spark):
     from skein.operators.lsh import lsh_knn
 
