@@ -30,12 +30,15 @@ SCALE, SHIFT = 1024, 100_000
 LARGEST = 2.0 ** 30
 #: Cells of a matrix that a task holds at once.
 CELLS = 1 << 20
+#: Neighbouring eigenvalues whose ratio exceeds 1 by less count as equal.
+TIED = 1e-9
 
 
 @dataclass(frozen=True)
 class Feast:
     """components; nodes of the quadrature on a half circle; spare: further columns of
-    the subspace; gap: ratio of neighbouring eigenvalues that parts two intervals."""
+    the subspace; gap: ratio of neighbouring eigenvalues that parts two intervals; rounds:
+    of projections before the subspace grows."""
 
     components: int = 8
     nodes: int = 8
@@ -101,24 +104,27 @@ def contour(v: np.ndarray, lo: float, hi: float, y: np.ndarray, nodes: int) -> n
 def feast(v: np.ndarray, lo: float, hi: float, wanted: int, how: Feast) -> np.ndarray:
     """Unit eigenvectors of the ``wanted`` eigenvalues in (lo, hi), by falling eigenvalue."""
     size = min(len(v), wanted + how.spare)
-    y = np.random.default_rng([how.seed, wanted, len(v)]).standard_normal((len(v), size))
-    scale, best, stalled = np.abs(v).sum(1).max(), np.inf, 0
-    answer = None
-    for _ in range(how.rounds):
-        q, _ = np.linalg.qr(contour(v, lo, hi, y, how.nodes))
-        value, small = np.linalg.eigh(q.T @ v @ q)  # Rayleigh-Ritz in the subspace
-        y = q @ small
-        inside = np.flatnonzero((value > lo) & (value < hi))[::-1]
-        if len(inside) == wanted:
-            x = y[:, inside]
-            error = np.linalg.norm(v @ x - x * value[inside], axis=0).max() / scale
-            if error < best:
-                best, stalled, answer = error, 0, x
-            else:
-                stalled += 1
-            if best < 1e-15 or stalled > 2 and best < 1e-12:
-                return answer
-    raise ArithmeticError(f"no {wanted} eigenvalues converged between {lo} and {hi} (residual {best})")
+    scale = np.abs(v).sum(1).max()
+    while True:
+        y = np.random.default_rng([how.seed, wanted, len(v)]).standard_normal((len(v), size))
+        stalled, answer, best = 0, None, np.inf
+        for _ in range(how.rounds):
+            q, _ = np.linalg.qr(contour(v, lo, hi, y, how.nodes))
+            value, small = np.linalg.eigh(q.T @ v @ q)  # Rayleigh-Ritz in the subspace
+            y = q @ small
+            inside = np.flatnonzero((value > lo) & (value < hi))[::-1]
+            if len(inside) == wanted:
+                x = y[:, inside]
+                error = np.linalg.norm(v @ x - x * value[inside], axis=0).max() / scale
+                if error < best:
+                    best, stalled, answer = error, 0, x
+                else:
+                    stalled += 1
+                if best < 1e-15 or stalled > 2 and best < 1e-12:
+                    return answer
+        if size == len(v):
+            raise ArithmeticError(f"no {wanted} eigenvalues converged between {lo} and {hi} (residual {best})")
+        size = min(len(v), 2 * size)
 
 
 def leading(v: np.ndarray, how: Feast = Feast()) -> tuple[np.ndarray, np.ndarray]:
@@ -132,10 +138,12 @@ def leading(v: np.ndarray, how: Feast = Feast()) -> tuple[np.ndarray, np.ndarray
     if k == 0:
         return np.zeros(0), np.zeros((d, 0))
     # past the last one wanted, the widest gap that follows is where the lowest interval ends
-    most = min(count.above(floor), k + how.components)
-    near = [count.value(i + 1) for i in range(most)] + [count.value(most + 1) if most < d else 0.0]
-    near = [max(x, floor) for x in near]
-    last = max(range(k, most + 1), key=lambda m: near[m - 1] / near[m])
+    for most in (min(count.above(floor), k + how.components), count.above(floor)):
+        near = [count.value(i + 1) for i in range(most)] + [count.value(most + 1) if most < d else 0.0]
+        near = [max(x, floor) for x in near]
+        last = max(range(k, most + 1), key=lambda m: near[m - 1] / near[m])
+        if near[last - 1] > (1 + TIED) * near[last]:
+            break  # else no number lies between them: look further down
     starts = [0] + [m for m in range(1, last) if near[m - 1] > how.gap * near[m]]
     vectors = []
     for a, b in zip(starts, [*starts[1:], last]):

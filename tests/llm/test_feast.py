@@ -97,3 +97,22 @@ def test_query(spark):
     got = Q.op12_feast_whitening(spark, "/root/testdata/sf0.001").toPandas()
     assert got.identity_error.max() < 1e-9 and set(got.component) == set(range(1, 9))
     assert got.groupby("vec_id").size().eq(8).all()
+
+
+@pytest.mark.parametrize("rows", [2_000_000, 20_000_000, 10 ** 12])
+def test_eigenvalues_of_very_many_vectors_without_structure(rows):
+    """The covariance of that many random vectors, by Bartlett's decomposition."""
+    rng, d = np.random.default_rng(3), 64
+    a = np.tril(rng.standard_normal((d, d)), -1) + np.diag(np.sqrt(rng.chisquare(rows - np.arange(d))))
+    v = a @ a.T / rows * 16300
+    e, x = FW.leading(v)
+    assert np.abs(e - np.linalg.eigvalsh(v)[::-1][:8]).max() <= 1e-12 * e[0]
+    assert np.abs(x.T @ x - np.eye(8)).max() < 1e-9
+    assert np.linalg.norm(v @ x - x * e, axis=0).max() <= 1e-12 * e[0]
+
+
+def test_more_equal_eigenvalues_than_components_look_ahead():
+    v = np.eye(64) - 1 / 64  # one vector per axis
+    e, x = FW.leading(v)
+    assert np.abs(e - 1).max() < 1e-12 and np.abs(x.T @ x - np.eye(8)).max() < 1e-9
+    assert np.abs(v @ x - x).max() < 1e-12
