@@ -9,7 +9,8 @@ dead-letter folder for the same batch id; they never stop the stream.
 
 ``maxFilesPerTrigger`` bounds each micro-batch (the back-pressure of a bounded
 ingest queue); ``wait=True`` runs everything available and blocks
-(``availableNow``), ``wait=False`` keeps running in the background.
+(``availableNow``), as long as that takes unless a ``timeout`` is given;
+``wait=False`` keeps running in the background.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def ingest_batch(memory: VectorMemory, config: ChunkConfig, keys: list[str], dea
 
 def start_ingest(stream: DataFrame, memory: VectorMemory, config: ChunkConfig, checkpoint: str,
                  dead_letters: str, keys: list[str] | None = None, wait: bool = True,
-                 timeout: float | None = 600, processing_time: str = "5 seconds", writer: str | None = None,
+                 timeout: float | None = None, processing_time: str = "5 seconds", writer: str | None = None,
                  embed: Callable[[DataFrame], DataFrame] = E.hash_embed) -> StreamingQuery:
     """Start the stream. ``writer`` names its folder in the memory; by default the name
     follows from the checkpoint, so a restart is the same writer and another stream is not."""
