@@ -5,10 +5,11 @@ begins there is taken, and a character at which none begins is a token of its ow
 without id. So the tokens of a text always join to the text.
 
 Two ways with equal results. A vocabulary of at most ``broadcast_bytes``, measured first,
-is sent to the workers. A larger one stays a table, dealt out by the first two characters
-of its tokens. A character that no longer token has ends every match, so texts are cut
-there into runs, and each distinct run is looked up once: every place of it goes, with the
-characters that a token may have, to the tokens that begin like it.
+is sent to the workers. A larger one stays a table, dealt out by how its tokens begin: by
+as many characters, two at least, as leave few enough tokens that begin alike. A character
+that no longer token has ends every match, so texts are cut there into runs, and each
+distinct run is looked up once: every place of it goes, with the characters that a token may
+have, to the tokens that begin like it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,8 @@ _ARROW = pa.list_(pa.struct([("token", pa.string()), ("token_id", pa.int64())]))
 PIECES = 20_000
 GROUP_PLACES = 500_000
 GROUP_BYTES = 4 << 20
+#: Characters of text whose tokens a worker holds as Python objects.
+TEXT_CHARS = 1 << 18
 
 
 class VocabularyMatcher:
@@ -89,13 +94,26 @@ def _by_matcher(df: DataFrame, table: DataFrame, text_col: str, out_col: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = sent.value
-        for b in batches:
+        for b in _few(batches, at):
             tokens = [None if t is None else match.segment(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, _ARROW)], [*b.schema.names, out_col])
 
     return df.mapInArrow(run, _schema(df, out_col))
 
 
+def _few(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the texts of a piece have about ``TEXT_CHARS`` characters."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        chars = np.cumsum(pc.fill_null(pc.utf8_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
+        piece = chars // TEXT_CHARS
+        ends = np.append(np.flatnonzero(np.diff(piece)) + 1, b.num_rows).tolist()
+        for start, end in zip([0, *ends], ends):
+            yield b.slice(start, end - start)
+
+
 def _schema(df: DataFrame, out_col: str) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(out_col, TOKENS)])
 
@@ -114,12 +132,15 @@ def _by_join(df: DataFrame, table: DataFrame, text_col: str, out_col: str, bucke
     path = unique_subdir(spark, "segment")
     df.withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
+    path = unique_subdir(spark, "segment-vocabulary")  # read several times
+    table.write.parquet(path)
+    table = spark.read.schema(table.schema).parquet(path)
     singles = {r.token: r.token_id for r in table.where(F.length("token") == 1).collect()}
     inside = table.where(F.length("token") > 1).select(F.explode(F.split("token", "")).alias("c")).where("c <> ''").distinct().collect()
     run = re.compile("[" + "".join(re.escape(r.c) for r in inside) + "]{2,}" if inside else "(?!)")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches, 1):
             found = [(row, m.start(), m.group()) for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
                      for m in run.finditer(text)]
             for s in range(0, len(found), PIECES):
@@ -136,56 +157,116 @@ def _by_join(df: DataFrame, table: DataFrame, text_col: str, out_col: str, bucke
     names = df.columns
     text_at = names.index(text_col)
 
-    def whole(text: str, cuts: list[dict] | None) -> list[dict]:
-        out, at = [], 0
-        for c in sorted(cuts or (), key=lambda c: c["at"]):
-            out += [{"token": x, "token_id": singles.get(x)} for x in text[at:c["at"]]]
-            out += c["tokens"]
-            at = c["at"] + sum(len(t["token"]) for t in c["tokens"])
-        return out + [{"token": x, "token_id": singles.get(x)} for x in text[at:]]
-
     def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens = [None if t is None else whole(t, c)
-                      for t, c in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tokens, _ARROW)], [*names, out_col])
+        for b in _few(batches, text_at):
+            found = b.column(len(names))
+            ends = np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            places, cut = found.flatten().flatten()
+            first = [0, *np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False)).tolist()]
+            places, (strings, numbers) = places.to_pylist(), (c.to_pylist() for c in cut.flatten().flatten())
+            tokens: list[str] = []
+            ids: list[int | None] = []
+            sizes, texts = [0], b.column(text_at)
+
+            def between(rest: str) -> None:
+                tokens.extend(rest)
+                ids.extend(map(singles.get, rest))
+
+            for text, start, end in zip(texts.to_pylist(), [0, *ends], ends):
+                at = 0
+                for k in sorted(range(start, end), key=places.__getitem__):
+                    between(text[at:places[k]])
+                    run = strings[first[k]:first[k + 1]]
+                    tokens += run
+                    ids += numbers[first[k]:first[k + 1]]
+                    at = places[k] + sum(map(len, run))
+                between((text or "")[at:])
+                sizes.append(len(tokens))
+            out = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(ids, pa.int64())], fields=list(_ARROW.value_type))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), out, type=_ARROW, mask=texts.is_null())], [*names, out_col])
 
     return joined.mapInArrow(run_rows, _schema(df, out_col))
 
 
+def _split(tokens: DataFrame, most: int) -> set[str]:
+    """The beginnings, of two characters and more, of more than ``most`` tokens each. Of one
+    length there are at most the vocabulary's size / ``most``."""
+    out: set[str] = set()
+    level = {r.p for r in tokens.groupBy(F.substring("token", 1, 2).alias("p")).count().where(F.col("count") > most).collect()}
+    spark, n = tokens.sparkSession, 2
+    while level:
+        out |= level
+        longer = F.broadcast(spark.createDataFrame([(p,) for p in sorted(level)], "p string"))
+        under = tokens.where(F.length("token") > n).join(longer, F.substring("token", 1, n) == F.col("p"), "left_semi")
+        n += 1
+        level = {r.p for r in under.groupBy(F.substring("token", 1, n).alias("p")).count().where(F.col("count") > most).collect()}
+    return out
+
+
+def _depth(text: str, split: set[str], at: int = 0) -> int:
+    """How many characters of ``text[at:]`` say where it is looked up; 0 if it ends before."""
+    n = 2
+    while text[at:at + n] in split:
+        n += 1
+        if at + n > len(text):
+            return 0
+    return n
+
+
 def _cut(runs: DataFrame, table: DataFrame, singles: dict[str, int], buckets: int) -> DataFrame:
-    """(run, tokens) of distinct runs. Places and tokens meet in buckets of first two
-    characters; where a bucket has many places, they are dealt out over several copies of
-    its tokens."""
+    """(run, tokens) of distinct runs. Places and tokens meet in buckets of beginnings; where
+    a bucket has many places, they are dealt out over several copies of its tokens. A token
+    that is itself a beginning of too many is no longer than those few, and goes with the runs."""
     spark = runs.sparkSession
     path = unique_subdir(spark, "segment-runs")
     runs.withColumn("number", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
     texts = rows.select("number", "run")
+    long = table.where(F.length("token") > 1)
+    split = _split(long, max(1, GROUP_BYTES // ENTRY_BYTES))
+    begins = F.broadcast(spark.createDataFrame([(p,) for p in sorted(split)], "p string"))
+    inner = {r.token: r.token_id for r in long.join(begins, F.col("token") == F.col("p"), "left_semi").collect()}
+    inner_lengths = sorted({len(t) for t in inner}, reverse=True)
     # ints on both sides of the exchange
-    bucket = lambda c: F.pmod(F.xxhash64(F.substring(c, 1, 2)), F.lit(buckets)).cast("int").alias("bucket")
-    tokens = table.where(F.length("token") > 1).select(bucket("token"), "token", "token_id")
-    longest = tokens.agg(F.max(F.length("token")).alias("n")).first().n or 0
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            begins = [(t[:n] if (n := _depth(t, split)) else None) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(begins, pa.string()), *b.columns], ["begin", "token", "token_id"])
+
+    tokens = (long.select("token", "token_id").mapInArrow(begin, "begin string, token string, token_id long")
+              .where("begin IS NOT NULL").select(bucket("begin"), "token", "token_id"))
+    path = unique_subdir(spark, "segment-tokens")
+    tokens.write.parquet(path)
+    tokens = spark.read.schema(tokens.schema).parquet(path)
+    longest = long.agg(F.max(F.length("token")).alias("n")).first().n or 0
+
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _few(batches, 1):
             seen: Counter[str] = Counter()
             for text in b.column(1).to_pylist():
-                seen.update(map("".join, zip(text, text[1:])))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["pair", "n"])
+                for place in range(len(text) - 1):
+                    n = _depth(text, split, place)
+                    if n:
+                        seen[text[place:place + n]] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["begin", "n"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, str]] = []
+        held: list[tuple[int, int, str, str]] = []
 
         def emit() -> pa.RecordBatch:
-            row, place, window = zip(*held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(place, pa.int32()), pa.array(window, pa.string())], ["row", "place", "window"])
+            row, place, begin, window = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), pa.array(begin, pa.string()),
+                                               pa.array(window, pa.string())], ["row", "place", "begin", "window"])
 
         for b in batches:
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for place in range(len(text) - 1):
-                    held.append((row, place, text[place:place + longest]))
+                    n = _depth(text, split, place)
+                    if n:
+                        held.append((row, place, text[place:place + n], text[place:place + longest]))
                     if len(held) >= PIECES:
                         yield emit()
                         held = []
@@ -193,10 +274,10 @@ def _cut(runs: DataFrame, table: DataFrame, singles: dict[str, int], buckets: in
             yield emit()
 
     # one row a bucket: the length of its longest token, and copies of its tokens
-    asked = spread(texts).mapInArrow(pairs, "pair string, n long").groupBy(bucket("pair")).agg(F.sum("n").alias("places"))
+    asked = spread(texts).mapInArrow(beginnings, "begin string, n long").groupBy(bucket("begin")).agg(F.sum("n").alias("places"))
     sizes = F.broadcast(tokens.groupBy("bucket").agg(F.max(F.length("token")).alias("longest")).join(asked, "bucket").select(
         "bucket", "longest", F.ceil(F.col("places") / GROUP_PLACES).cast("int").alias("copies")))
-    places = (spread(texts).mapInArrow(windows, "row long, place int, window string").withColumn("bucket", bucket("window"))
+    places = (spread(texts).mapInArrow(windows, "row long, place int, begin string, window string").withColumn("bucket", bucket("begin"))
               .join(sizes, "bucket").select(
                   "bucket", F.pmod(F.xxhash64("row", "place"), "copies").cast("int").alias("copy"),
                   "row", "place", F.expr("substring(window, 1, longest)").alias("window")))
@@ -230,13 +311,17 @@ def _cut(runs: DataFrame, table: DataFrame, singles: dict[str, int], buckets: in
         out, at = [], 0
         while at < len(text):
             m = best.get(at)
-            n = m["n"] if m else 1
-            out.append({"token": text[at:at + n], "token_id": m["token_id"] if m else singles.get(text[at])})
+            if m:
+                n, number = m["n"], m["token_id"]
+            else:
+                n = next((n for n in inner_lengths if text[at:at + n] in inner and at + n <= len(text)), 1)
+                number = inner[text[at:at + n]] if n > 1 else singles.get(text[at])
+            out.append({"token": text[at:at + n], "token_id": number})
             at += n
         return out
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches, 0):
             tokens = [walk(t, m) for t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, _ARROW)], ["run", "tokens"])
 

@@ -96,3 +96,29 @@ def test_gate_on_vocabulary_tokens(spark):
     assert r.columns == ["i", "text", "status", "error"]
     assert [x.status for x in r.orderBy("i").collect()] == [400, 200, 200, 200]  # 4: the longer token is another
     assert r.where(F.col("error") == "IllegalToken").count() == 1
+
+
+def test_tokens_that_begin_alike_are_parted(spark, monkeypatch):
+    """Most of a vocabulary begins like "ab": no bucket holds much more of it than another, and
+    tokens that are themselves beginnings of many are found."""
+    monkeypatch.setattr(SEG, "GROUP_BYTES", 40 * SEG.ENTRY_BYTES)
+    folders = {}
+    monkeypatch.setattr(SEG, "unique_subdir", lambda s, name, f=SEG.unique_subdir: folders.setdefault(name, f(s, name)))
+    rnd = random.Random(3)
+    tail = lambda lo, hi: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(lo, hi)))
+    ids = {t: k for k, t in enumerate(dict.fromkeys(["ab", "aba", "abab", "a", *("ab" + tail(1, 6) for _ in range(3000)), *(tail(2, 3) for _ in range(50))]))}
+    texts = [tail(1, 40) for _ in range(60)] + ["ab", "ababx", "abab", "xab", "aab a", "", None, *list(ids)[:100]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert got(SEG.segment(df, vocab(spark, ids), broadcast_bytes=0)) == {i: model(t, ids) for i, t in enumerate(texts)}
+    sizes = [r["count"] for r in spark.read.parquet(folders["segment-tokens"]).groupBy("bucket").count().collect()]
+    assert max(sizes) <= 4 * 40 and sum(sizes) > 0.8 * len(ids)
+
+
+def test_texts_become_objects_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(SEG, "TEXT_CHARS", 10)
+    texts = ["abc", None, "defg", "é" * 30, "", "h", "ij" * 4, "k"]
+    pieces = list(SEG._few(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])]), 0))
+    assert [t for p in pieces for t in p.column(0).to_pylist()] == texts
+    assert all(sum(len(t or "") for t in p.column(0).to_pylist()[1:]) <= 10 for p in pieces) and len(pieces) >= 3
