@@ -308,3 +308,24 @@ def test_user_model_embedder_slot(spark):
     df = spark.createDataFrame([("a b",), ("hello",)], "text string")
     out = sorted(tuple(r.embedding) for r in model_embed(df, embedder).collect())
     assert out == [(3.0, 1.0, 1.0), (5.0, 0.0, 1.0)]
+
+
+def test_embedder_hashes_a_word_once_per_piece(monkeypatch):
+    """Whatever the piece that a row's words fall in, its vector is the sum over its words."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from skein.functions import vectors as V
+
+    asked = []
+    monkeypatch.setattr(V, "WORDS_AT_ONCE", 4)
+    monkeypatch.setattr(V, "_codes", lambda w, dims, f=V._codes: asked.append(w) or f(w, dims))
+    rows = [["a", "b", "a"], None, [], ["b", "b", "é", "a", "b", "b", "b"], ["日本"], []]
+    got = V._make_bincount(16).func(pa.array(rows, pa.list_(pa.string()))).to_pylist()
+    for words, vector in zip(rows, got):
+        want = [0.0] * 16
+        for h in (hashlib.md5(w.encode()).hexdigest() for w in words or ()):
+            want[int(h[:4], 16) % 16] += 1 if int(h[4], 16) < 8 else -1
+        assert vector == want
+    assert len(asked) == 2 + 3 + 2  # distinct words of three pieces, not all eleven
